@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Month abbreviations in the two languages that occur.
 SPANISH_MONTHS = ("ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sep", "oct", "nov", "dic")
@@ -77,70 +77,65 @@ def _date_of(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
 
 
-def complete_date(raw: Column, start: Column, end: Column) -> Column:
-    """Display date ``dd/mm/yyyy`` of a partial date, completed from the statement period.
+def complete_date(df: DataFrame, raw: str, start: str, end: str, name: str = "shown") -> DataFrame:
+    """Adds the display date ``dd/mm/yyyy`` of a partial date, completed from the statement period.
 
-    ``start`` and ``end`` are dates. In order: ``dd/mmm`` with the year from the period, a full
-    numeric date, then a bare day placed in the start month, the end month or the month after the
-    start, whichever falls inside the period.
+    ``raw`` is a text column, ``start`` and ``end`` are dates. In order: ``dd/mmm`` with the year
+    from the period, a full numeric date, then a bare day placed in the start month, the end month
+    or the month after the start, whichever falls inside the period. The steps are columns of
+    their own, so each part is computed once per row.
     """
-    text = F.trim(raw)
-    month_no = F.array_position(F.array(*[F.lit(m) for m in SPANISH_MONTHS]), F.lower(F.regexp_extract(text, r"^\d{1,2}/([a-zA-Z]{3})", 1))).cast("int")
-    named_day = F.regexp_extract(text, r"^(\d{1,2})/[a-zA-Z]{3}", 1).try_cast("int")
-    is_named = text.rlike(r"^\d{1,2}/[a-zA-Z]{3}")
+    begin, finish = F.col(start), F.col(end)
+    named_rx, full_rx = r"^(\d{1,2})/([a-zA-Z]{3})", r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})\b"
+    text = F.col("_text")
+
+    parts = df.withColumn("_text", F.trim(F.coalesce(F.col(raw), F.lit("")))).withColumns({
+        "_mon": F.array_position(F.array(*[F.lit(m) for m in SPANISH_MONTHS]), F.lower(F.regexp_extract(text, named_rx, 2))).cast("int"),
+        "_named": F.regexp_extract(text, named_rx, 1).try_cast("int"),
+        "_y": F.regexp_extract(text, full_rx, 3).try_cast("int"),
+        "_m": F.regexp_extract(text, full_rx, 2).try_cast("int"),
+        "_d": F.regexp_extract(text, full_rx, 1).try_cast("int"),
+        "_num": F.coalesce(
+            F.nullif(F.regexp_extract(text, r"\b(\d{1,3})\b", 1), F.lit("")),
+            F.nullif(F.regexp_replace(text, r"\D", ""), F.lit("")),
+        ).try_cast("decimal(38,0)"),
+    })
+    tail = F.right(F.col("_num").cast("string"), F.lit(2)).try_cast("int")
+    days = parts.withColumns({
+        "_full": _date_of(F.when(F.col("_y") < 100, F.col("_y") + 2000).otherwise(F.col("_y")), F.col("_m"), F.col("_d")),
+        "_day": F.when(F.col("_num") == 0, F.lit(1)).when(F.col("_num") <= 31, F.col("_num").cast("int")).when(tail.between(1, 31), tail),
+        "_next": F.add_months(month_start(begin), 1),
+    })
+    other_month = (F.month(finish) != F.month(begin)) | (F.year(finish) != F.year(begin))
+    day = F.col("_day")
+    placed = days.withColumn("_cand", F.array_compact(F.array(
+        _date_of(F.year(begin), F.month(begin), day),
+        F.when(other_month, _date_of(F.year(finish), F.month(finish), day)),
+        _date_of(F.year("_next"), F.month("_next"), day),
+    )))
+    cand = F.col("_cand")
+    later = finish.isNotNull() & (F.month(begin) != F.month(finish)) & (day < F.dayofmonth(begin)) & (F.size(cand) > 1)
+    chosen = placed.withColumn("_pick", F.coalesce(
+        F.get(F.filter(cand, lambda c: c.between(begin, finish)), F.lit(0)),
+        F.get(cand, F.when(later, F.lit(1)).otherwise(F.lit(0))),
+    ))
     year_named = (
-        F.when((F.year(end) != F.year(start)) & (month_no == F.month(end)), F.year(end))
-        .when((F.month(start) >= 11) & (month_no == 1), F.year(start) + 1)
-        .otherwise(F.year(start))
+        F.when((F.year(finish) != F.year(begin)) & (F.col("_mon") == F.month(finish)), F.year(finish))
+        .when((F.month(begin) >= 11) & (F.col("_mon") == 1), F.year(begin) + 1)
+        .otherwise(F.year(begin))
     )
-    named = F.when(
-        (month_no > 0) & start.isNotNull(), F.format_string("%02d/%02d/%d", named_day, month_no, year_named)
-    ).otherwise(text)
-
-    full_rx = r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})\b"
-    full_year = F.regexp_extract(text, full_rx, 3).try_cast("int")
-    full = _date_of(
-        F.when(full_year < 100, full_year + 2000).otherwise(full_year),
-        F.regexp_extract(text, full_rx, 2).try_cast("int"),
-        F.regexp_extract(text, full_rx, 1).try_cast("int"),
-    )
-
-    digits = F.coalesce(
-        F.nullif(F.regexp_extract(text, r"\b(\d{1,3})\b", 1), F.lit("")),
-        F.nullif(F.regexp_replace(text, r"\D", ""), F.lit("")),
-    )
-    number = digits.try_cast("decimal(38,0)")
-    tail = F.right(number.cast("string"), F.lit(2)).try_cast("int")
-    day = (
-        F.when(number == 0, F.lit(1))
-        .when(number <= 31, number.cast("int"))
-        .when(tail.between(1, 31), tail)
-    )
-    in_start = _date_of(F.year(start), F.month(start), day)
-    other_month = (F.month(end) != F.month(start)) | (F.year(end) != F.year(start))
-    in_end = F.when(other_month, _date_of(F.year(end), F.month(end), day))
-    following = F.add_months(month_start(start), 1)
-    in_next = _date_of(F.year(following), F.month(following), day)
-    candidates = F.array_compact(F.array(in_start, in_end, in_next))
-    inside = F.get(F.filter(candidates, lambda d: d.between(start, end)), F.lit(0))
-    second = F.when(F.size(candidates) > 1, F.get(candidates, F.lit(1))).otherwise(F.get(candidates, F.lit(0)))
-    nearest = F.when(
-        end.isNotNull() & (F.month(start) != F.month(end)) & (day < F.dayofmonth(start)), second
-    ).otherwise(F.get(candidates, F.lit(0)))
-    chosen = F.coalesce(inside, nearest)
-    bare = (
-        F.when(digits.isNull(), text)
-        .when(day.isNull(), F.concat(number.cast("string"), F.lit("/??/???? (Inválido)")))
-        .when(start.isNull(), F.format_string("%02d/??/????", day))
-        .when(chosen.isNotNull(), F.date_format(chosen, "dd/MM/yyyy"))
-        .otherwise(F.format_string("%02d/%02d/%d", day, F.month(start), F.year(start)))
-    )
-    return (
-        F.when(F.coalesce(text, F.lit("")) == "", F.lit(""))
-        .when(is_named, named)
-        .when(full.isNotNull(), F.date_format(full, "dd/MM/yyyy"))
-        .otherwise(bare)
+    shown = (
+        F.when(text == "", F.lit(""))
+        .when(F.col("_named").isNotNull() & (F.col("_mon") > 0) & begin.isNotNull(), F.format_string("%02d/%02d/%d", F.col("_named"), F.col("_mon"), year_named))
+        .when(F.col("_named").isNotNull(), text)
+        .when(F.col("_full").isNotNull(), F.date_format("_full", "dd/MM/yyyy"))
+        .when(F.col("_num").isNull(), text)
+        .when(day.isNull(), F.concat(F.col("_num").cast("string"), F.lit("/??/???? (Inválido)")))
+        .when(begin.isNull(), F.format_string("%02d/??/????", day))
+        .when(F.col("_pick").isNotNull(), F.date_format("_pick", "dd/MM/yyyy"))
+        .otherwise(F.format_string("%02d/%02d/%d", day, F.month(begin), F.year(begin)))
     )
+    return chosen.withColumn(name, shown).drop("_text", "_mon", "_named", "_y", "_m", "_d", "_num", "_full", "_day", "_next", "_cand", "_pick")
 
 
 def movement_period(display: Column, start: Column) -> Column:

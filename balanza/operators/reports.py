@@ -84,3 +84,39 @@ def network_report(nodes: DataFrame, as_of) -> DataFrame:
     return nodes.withColumns({
         "age": D.rfc_age(F.col("rfc"), as_of), "share_fixed": fix_percent(F.col("share")),
     })
+
+
+def scenario_matrix(series: DataFrame, points: DataFrame, digits: int = 2, months: int = 12) -> DataFrame:
+    """Twelve past and twelve future months per metric, model and scenario; short histories are
+    padded with zeros on the left. Columns h01..h12 and p01..p12."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("taxpayer", "metric").orderBy(F.col("month").desc())
+    placed = series.withColumn("_back", F.row_number().over(w))
+    past = placed.filter(F.col("_back") <= months).groupBy("taxpayer", "metric").agg(*[
+        F.round(F.coalesce(F.max(F.when(F.col("_back") == months + 1 - i, F.col("amount").cast("double"))), F.lit(0.0)), digits).alias(f"h{i:02d}")
+        for i in range(1, months + 1)
+    ])
+    future = points.groupBy("taxpayer", "metric", "model", "scenario").agg(*[
+        F.round(F.max(F.when(F.col("step") == i, F.col("value"))), digits).alias(f"p{i:02d}") for i in range(1, months + 1)
+    ])
+    return future.join(past, ["taxpayer", "metric"])
+
+
+def credit_detail(lines: DataFrame) -> DataFrame:
+    """Bureau lines as listed: labels, dates for display and the MOP month."""
+    return lines.withColumns({
+        "opened_shown": D.short_us_date(F.col("opened")),
+        "final_shown": F.coalesce(D.short_us_date(F.col("final_date")), F.lit("")),
+        "mop_month": F.coalesce(D.month_label(F.col("opened")), F.lit("N/A")),
+    })
+
+
+def concentration_matrix(months: DataFrame, top: DataFrame, as_months: list) -> DataFrame:
+    """Monthly amounts of the listed counterparties, one column per month, 0 where there is none."""
+    rows = months.join(top.select("taxpayer", "counterparty", "total").withColumnRenamed("total", "amount"), ["taxpayer", "counterparty"])
+    label = F.date_format("month", "yyyy-MM")
+    zero = F.lit(0).cast("decimal(18,2)")
+    return rows.groupBy("taxpayer", "counterparty").agg(
+        F.first("amount").alias("total"), *[F.coalesce(F.sum(F.when(label == m, F.col("total"))), zero).alias(m) for m in as_months]
+    )

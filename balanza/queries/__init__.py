@@ -6,7 +6,7 @@ from balanza.queries.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "load_all"]
 
-FAMILIES = ("statements", "documents")
+FAMILIES = ("statements", "documents", "scalars", "series")
 
 
 def load_all() -> None:
