@@ -147,17 +147,7 @@ def _smoothed(series: DataFrame, model: str, season: int, phi: float, min_months
         })
 
     rows = _indexed(series).filter(F.col("_n") >= min_months).select(F.col("taxpayer").cast("bigint").alias("taxpayer"), "metric", "month", "_y")
-    return rows.groupBy(*KEYS).applyInPandas(_by_value(per_series), _FORECAST_SCHEMA)
-
-
-def _by_value(fn):
-    """Ships a function and this module's helpers by value, so workers need no installed package."""
-    import sys
-
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    return fn
+    return rows.groupBy(*KEYS).applyInPandas(per_series, _FORECAST_SCHEMA)
 
 
 def forecast_damped(series: DataFrame, horizon: int = HORIZON) -> DataFrame:

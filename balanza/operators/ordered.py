@@ -33,11 +33,12 @@ def position(df: DataFrame, keys, order, block: Column, name: str = "seq") -> Da
     return running_sum(df, keys, order, {name: F.lit(1)}, block)
 
 
-def last_known(df: DataFrame, keys, order, values: dict[str, Column], block: Column) -> DataFrame:
-    """Last value that was not NULL up to and including each row, per entry of ``values``."""
+def last_known(df: DataFrame, keys, order, values: dict[str, Column], block: Column, inclusive: bool = True) -> DataFrame:
+    """Last value that was not NULL up to each row, per entry of ``values``; the row's own value
+    counts unless ``inclusive`` is false."""
     keys = list(keys)
     data = df.withColumn("_block", block)
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     at = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
     ends = data.groupBy(*keys, "_block").agg(

@@ -6,7 +6,7 @@ from balanza.queries.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "load_all"]
 
-FAMILIES = ("statements", "documents", "scalars", "series", "finance", "people")
+FAMILIES = ("statements", "documents", "scalars", "series", "finance", "people", "layout", "reports", "streams")
 
 
 def load_all() -> None:
