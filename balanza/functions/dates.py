@@ -73,8 +73,13 @@ def parse_period_date(text: Column) -> Column:
     )
 
 
-def _date_of(year: Column, month: Column, day: Column) -> Column:
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
+def _day_in(month: Column, day: Column) -> Column:
+    """Date of a day in the month that starts at ``month``; NULL when the month has no such day."""
+    return F.when((day >= 1) & (day <= F.dayofmonth(F.last_day(month))), F.date_add(month, day - 1))
+
+
+def _two(number: Column) -> Column:
+    return F.lpad(number.cast("string"), 2, "0")
 
 
 def complete_date(df: DataFrame, raw: str, start: str, end: str, name: str = "shown") -> DataFrame:
@@ -102,16 +107,18 @@ def complete_date(df: DataFrame, raw: str, start: str, end: str, name: str = "sh
     })
     tail = F.right(F.col("_num").cast("string"), F.lit(2)).try_cast("int")
     days = parts.withColumns({
-        "_full": _date_of(F.when(F.col("_y") < 100, F.col("_y") + 2000).otherwise(F.col("_y")), F.col("_m"), F.col("_d")),
+        "_full": F.when(F.col("_m").between(1, 12) & (F.col("_y") >= 0), _day_in(
+            F.add_months(F.make_date(F.when(F.col("_y") < 100, F.col("_y") + 2000).otherwise(F.col("_y")), F.lit(1), F.lit(1)), F.col("_m") - 1), F.col("_d")
+        )),
         "_day": F.when(F.col("_num") == 0, F.lit(1)).when(F.col("_num") <= 31, F.col("_num").cast("int")).when(tail.between(1, 31), tail),
         "_next": F.add_months(month_start(begin), 1),
     })
     other_month = (F.month(finish) != F.month(begin)) | (F.year(finish) != F.year(begin))
     day = F.col("_day")
     placed = days.withColumn("_cand", F.array_compact(F.array(
-        _date_of(F.year(begin), F.month(begin), day),
-        F.when(other_month, _date_of(F.year(finish), F.month(finish), day)),
-        _date_of(F.year("_next"), F.month("_next"), day),
+        _day_in(month_start(begin), day),
+        F.when(other_month, _day_in(month_start(finish), day)),
+        _day_in(F.col("_next"), day),
     )))
     cand = F.col("_cand")
     later = finish.isNotNull() & (F.month(begin) != F.month(finish)) & (day < F.dayofmonth(begin)) & (F.size(cand) > 1)
@@ -126,14 +133,14 @@ def complete_date(df: DataFrame, raw: str, start: str, end: str, name: str = "sh
     )
     shown = (
         F.when(text == "", F.lit(""))
-        .when(F.col("_named").isNotNull() & (F.col("_mon") > 0) & begin.isNotNull(), F.format_string("%02d/%02d/%d", F.col("_named"), F.col("_mon"), year_named))
+        .when(F.col("_named").isNotNull() & (F.col("_mon") > 0) & begin.isNotNull(), F.concat_ws("/", _two(F.col("_named")), _two(F.col("_mon")), year_named.cast("string")))
         .when(F.col("_named").isNotNull(), text)
         .when(F.col("_full").isNotNull(), F.date_format("_full", "dd/MM/yyyy"))
         .when(F.col("_num").isNull(), text)
         .when(day.isNull(), F.concat(F.col("_num").cast("string"), F.lit("/??/???? (Inválido)")))
-        .when(begin.isNull(), F.format_string("%02d/??/????", day))
+        .when(begin.isNull(), F.concat(_two(day), F.lit("/??/????")))
         .when(F.col("_pick").isNotNull(), F.date_format("_pick", "dd/MM/yyyy"))
-        .otherwise(F.format_string("%02d/%02d/%d", day, F.month(begin), F.year(begin)))
+        .otherwise(F.concat_ws("/", _two(day), _two(F.month(begin)), F.year(begin).cast("string")))
     )
     return chosen.withColumn(name, shown).drop("_text", "_mon", "_named", "_y", "_m", "_d", "_num", "_full", "_day", "_next", "_cand", "_pick")
 

@@ -33,8 +33,36 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(src), "".join(dst), wide
 
 
-def to_ascii(text: Column) -> Column:
-    """ASCII form of a text; what has no ASCII form is dropped."""
+# Letters and signs that make up nearly all non-ASCII text in statements. They are replaced one by
+# one, which is far cheaper per character than a translate table.
+_COMMON = "áàâäãåéèêëíìîïóòôöõúùûüñçýÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝºªß¿¡–—‘’“”€°"
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed a single time however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def to_ascii(text: Column, lowered: bool = False) -> Column:
+    """ASCII form of a text; what has no ASCII form is dropped.
+
+    ASCII text passes as it is, then the common letters are replaced, and only what still is not
+    ASCII goes through the full tables.
+    """
+    common = text
+    for char in _COMMON:
+        if not lowered or char == char.lower():
+            common = F.replace(common, F.lit(char), F.lit(fold_literal(char)))
+    return F.when(is_ascii(text), text).otherwise(
+        once(common, lambda t: F.when(is_ascii(t), t).otherwise(_full_ascii(t)))
+    )
+
+
+def _full_ascii(text: Column) -> Column:
     src, dst, wide = _fold_tables()
     single = F.translate(text, src, dst)
     table = F.map_from_arrays(F.array(*[F.lit(k) for k in wide]), F.array(*[F.lit(v) for v in wide.values()]))
@@ -45,7 +73,7 @@ def to_ascii(text: Column) -> Column:
 
 def fold_text(text: Column) -> Column:
     """Lower case, ASCII, blanks collapsed."""
-    return F.trim(F.regexp_replace(to_ascii(F.lower(F.coalesce(text, F.lit("")))), r"\s+", " "))
+    return F.trim(F.regexp_replace(to_ascii(F.lower(F.coalesce(text, F.lit(""))), lowered=True), r"\s+", " "))
 
 
 def fold_literal(word: str) -> str:
@@ -55,7 +83,7 @@ def fold_literal(word: str) -> str:
 
 def fold_plain(text: Column) -> Column:
     """As :func:`fold_text` with punctuation removed as well."""
-    return F.trim(F.regexp_replace(F.regexp_replace(to_ascii(F.lower(text)), r"[^\w\s]", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(to_ascii(F.lower(text), lowered=True), r"[^\w\s]", ""), r"\s+", " "))
 
 
 def squeeze_blanks(text: Column) -> Column:
@@ -85,7 +113,7 @@ def clean_company(name: Column, strip_dotted: bool = False) -> Column:
     survives them; ``strip_dotted`` removes dotted forms too.
     """
     low = F.lower(F.coalesce(name, F.lit("")))
-    out = to_ascii(low)
+    out = to_ascii(low, lowered=True)
     if strip_dotted:
         out = F.regexp_replace(out, r"(?<=\b\w)\.", "")
     for suffix in COMPANY_SUFFIXES:

@@ -39,7 +39,7 @@ def own_by_account(mov: DataFrame, pool: DataFrame, key: str = "mov_id") -> Data
 
 def name_text(text: Column) -> Column:
     """Description as it is compared with names: folded, no punctuation."""
-    return F.regexp_replace(to_ascii(F.lower(text)), r"[^\w\s]", "")
+    return F.regexp_replace(to_ascii(F.lower(text), lowered=True), r"[^\w\s]", "")
 
 
 def _windows(text: Column, words: Column) -> Column:
@@ -52,15 +52,15 @@ def _windows(text: Column, words: Column) -> Column:
 def own_by_name_exact(mov: DataFrame, names: DataFrame, key: str = "mov_id") -> DataFrame:
     """Keys of movements whose text contains a holder name of the same job.
 
-    Names and texts meet on job and on the first three characters of the name at a place of the
+    Names and texts meet on job and on the first four characters of the name at a place of the
     text, so a job with many names does not pair each text with each name.
     """
     text = mov.select("job_id", key, name_text(F.col("description")).alias("_text"))
     grams = F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - 2, F.lit(1))), lambda i: F.substr(F.col("_text"), i, F.lit(3)))
+        F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - 3, F.lit(1))), lambda i: F.substr(F.col("_text"), i, F.lit(4)))
     )
     left = text.select("job_id", key, "_text", F.explode(grams).alias("_gram"))
-    right = names.select("job_id", "name", F.left("name", F.lit(3)).alias("_gram"))
+    right = names.select("job_id", "name", F.left("name", F.lit(4)).alias("_gram"))
     return (
         left.join(right, ["job_id", "_gram"])
         .filter(F.col("_text").contains(F.col("name")))

@@ -214,8 +214,9 @@ def _blocks(spark, d):
 
 
 _LANES = _BLOCKS + """,
-c AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id ORDER BY x) < 0.04 THEN 0 ELSE 1 END AS cut FROM blk WHERE row_no < 150),
-l AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY x ROWS UNBOUNDED PRECEDING) AS lane FROM c), s AS (SELECT doc_id, lane, count(*) AS size, avg(x) AS center FROM l GROUP BY ALL),
+g AS (SELECT doc_id, x, count(*) AS k FROM blk WHERE row_no < 150 GROUP BY ALL),
+c AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id ORDER BY x) < 0.04 THEN 0 ELSE 1 END AS cut FROM g),
+l AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY x ROWS UNBOUNDED PRECEDING) AS lane FROM c), s AS (SELECT doc_id, lane, sum(k)::BIGINT AS size, sum(x * k) / sum(k) AS center FROM l GROUP BY ALL),
 r AS (SELECT *, sum(size) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, lane) AS rk FROM s),
 lanes AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY center) AS lane, center, size FROM r WHERE n >= 10 AND rk <= 3)"""
 
