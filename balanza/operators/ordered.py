@@ -64,10 +64,9 @@ def attach_group(df: DataFrame, per_group: DataFrame, keys, weight: str = "_n",
     """
     keys = list(keys)
     fields = [c for c in per_group.columns if c not in keys and c != weight]
-    total = per_group.agg(F.sum(weight).alias("_all"))
     packed = per_group.select(*keys, weight, F.struct(*fields).alias("_cold"))
     hot = (
-        packed.join(F.broadcast(total), F.col(weight) * hot_share > F.col("_all"))
+        packed.filter(F.col(weight) * hot_share > per_group.agg(F.sum(weight).alias("_all")).scalar())
         .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_cold").alias("_hot"))
     )
     match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from balanza.functions.plan import settle
 from balanza.operators import layout as L
+from balanza.session import cut
 
 PAGE = list(L.PAGE)
 
@@ -13,10 +15,11 @@ def extract_movements(words: DataFrame, pages: DataFrame, bank: str = "") -> Dat
     """Movement rows (doc_id, page, row place, date, description, amount, kind).
 
     ``words`` has doc_id, page, x0, y0, x1, y1 and text; ``pages`` doc_id, page, width and height.
-    Page geometry and columns are one small row per page; the words are joined to them once.
+    Page geometry and columns are one small row per page; the words are joined to them once. Frames
+    that several steps read are written to the shared folder in between.
     """
     line_rows = L.lines(words)
-    headers = L.page_headers(line_rows, pages.select(*PAGE, "height")).join(pages, PAGE)
+    headers = cut(L.page_headers(line_rows, pages.select(*PAGE, "height")).join(pages, PAGE))
     footers = L.page_footers(line_rows, headers)
     layouts = L.column_layout(words, headers, bank)
     stops = L.hard_stop(line_rows).filter("stopped").groupBy(*PAGE).agg((F.min("y") - 5).alias("stop_y"))
@@ -25,20 +28,25 @@ def extract_movements(words: DataFrame, pages: DataFrame, bank: str = "") -> Dat
     wide = date_box["x1"] - date_box["x0"] > 70
     low = F.when(wide, F.greatest(date_box["x0"] - 10, F.lit(0.0))).otherwise(F.greatest(date_box["x0"] - 40, F.lit(0.0)))
     high = F.when(wide, date_box["x0"] + 60).otherwise(date_box["x1"] + 10)
-    geometry = headers.join(footers, PAGE).join(layouts, PAGE).join(stops, PAGE, "left").select(
-        *PAGE, "width", "header_y", F.least("footer_y", F.coalesce("stop_y", "footer_y")).alias("footer_y"), "columns",
-        F.coalesce(low, F.lit(0.0)).alias("date_from"), F.coalesce(high, F.col("width") * 0.14).alias("date_to"),
-    ).withColumns({"zones": L.amount_zones(F.col("columns")), "text_from": F.col("date_to") + 5, "desc_center": F.coalesce("columns.DESCRIPCION.center", F.lit(-1.0))})
+    layouts = cut(layouts)
+    pages_once = headers.join(footers, PAGE).join(layouts, PAGE).join(stops, PAGE, "left")
+    geometry = settle(pages_once, {
+        "footer_y": F.least("footer_y", F.coalesce("stop_y", "footer_y")),
+        "date_from": F.coalesce(low, F.lit(0.0)),
+        "date_to": F.coalesce(high, F.col("width") * 0.14),
+        "zones": L.amount_zones(F.col("columns")),
+        "desc_center": F.coalesce("columns.DESCRIPCION.center", F.lit(-1.0)),
+    }).select(*PAGE, "width", "header_y", "footer_y", "date_from", "date_to", "zones", "desc_center", (F.col("date_to") + 5).alias("text_from"))
 
     middle = (F.col("y0") + F.col("y1")) / 2
-    body = words.join(geometry, PAGE).filter(middle.between(F.col("header_y"), F.col("footer_y"))).select(
+    body = words.join(cut(geometry), PAGE).filter(middle.between(F.col("header_y"), F.col("footer_y"))).select(
         *PAGE, "x0", "y0", "x1", "y1", "text", "zones", "text_from", "date_from", "date_to", "width", "desc_center"
     )
     anchors = L.date_anchors(body, F.col("date_from"), F.col("date_to"), F.col("width"))
-    sliced = L.anchor_slices(L.stitch_signs(body), anchors).filter(F.col("anchor_page").isNotNull())
+    sliced = cut(L.anchor_slices(L.stitch_signs(body), cut(anchors)).filter(F.col("anchor_page").isNotNull()))
     zoned = L.zone_mode(line_rows).select(*PAGE, "y", "mode") if bank.upper() == "MIFEL" else None
-    rows = L.amount_rows(L.assign_amounts(sliced))
-    described = L.stitch_orphans(L.row_descriptions(rows, sliced), L.orphan_texts(sliced, rows))
+    rows = cut(L.amount_rows(L.assign_amounts(sliced)))
+    described = L.stitch_orphans(cut(L.row_descriptions(rows, sliced)), L.orphan_texts(sliced, rows))
     if zoned is None:
         out = described.withColumn("mode", F.lit(None).cast("string"))
     else:

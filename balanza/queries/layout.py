@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from balanza.operators import layout as L, reports, totals as T
 from balanza.queries.registry import LINES, PAGES, WORDS, query, with_ctes
+from balanza.session import cut
 from balanza.sources import adapters as A
 
 WORD_LINES = """wl AS (SELECT doc_id, page, floor(y0 / 3) * 3 AS y, string_agg(text, ' ' ORDER BY x0) AS text, max(y1) AS y_max, count(*) AS words FROM doc_words GROUP BY ALL)"""
@@ -156,6 +157,7 @@ def stitch_signs(spark, d):
 def _sliced_amounts(spark, d):
     rows = _amount_words(spark, d)
     sliced = L.anchor_slices(rows.select("doc_id", "page", "line", "place", "text", "x0", "y0", "x1", "y1", "zones", "text_from"), _simple_anchors(spark, d))
+    sliced = cut(sliced)
     return sliced, L.amount_rows(L.assign_amounts(sliced))
 
 
@@ -173,7 +175,7 @@ def row_descriptions(spark, d):
 @query("stitch_orphans")
 def stitch_orphans(spark, d):
     sliced, rows = _sliced_amounts(spark, d)
-    described = L.row_descriptions(rows, sliced)
+    described = cut(L.row_descriptions(rows, sliced))
     return L.stitch_orphans(described, L.orphan_texts(sliced, described)).select("doc_id", "page", "row_no", "anchor_y", "description")
 
 

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning the operators rely on; all are safe to set on a shared session.
 RUNTIME_CONF = {
@@ -48,3 +49,14 @@ def checkpoint_root(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame written to the shared checkpoint folder and read back.
+
+    Long pipelines read some frames several times; from here on they read the table instead of the
+    whole plan before it, and a lost executor costs no recomputation.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/cuts/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
