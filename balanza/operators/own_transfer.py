@@ -79,6 +79,10 @@ def seq_ratio(left: Column, right: Column) -> Column:
     return F.pandas_udf(ratio, T.DoubleType())(left, right)
 
 
+def _count(text: Column, char: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, char, F.lit("")))
+
+
 def own_by_name_fuzzy(mov: DataFrame, names: DataFrame, key: str = "mov_id", threshold: float = 0.85) -> DataFrame:
     """Keys of movements with a run of words at least ``threshold`` similar to a holder name.
 
@@ -86,7 +90,7 @@ def own_by_name_fuzzy(mov: DataFrame, names: DataFrame, key: str = "mov_id", thr
     n - tn/(2-t) characters of a name of length n stay unmatched and at most (1-t)(n+m) edits
     separate the two, so of ``edits + 1`` equal parts of the name at least one is in the run
     unchanged. Runs and names meet on such a part together with the number of words; the ratio
-    is then computed for the pairs that also agree in length. Nothing is left out.
+    is then computed for the pairs whose lengths and characters allow it. Nothing is left out.
     """
     t = threshold
     parts = names.select(
@@ -101,28 +105,42 @@ def own_by_name_fuzzy(mov: DataFrame, names: DataFrame, key: str = "mov_id", thr
         ),
     )
     right = parts.select("job_id", "name", "_n", "_words", F.explode(F.array_distinct(piece)).alias("_part"))
-    # Per job the few (word count, part length) pairs that its names need.
-    sizes = right.groupBy("job_id").agg(
-        F.collect_set(F.struct("_words", F.length("_part").alias("_len"))).alias("_sizes")
+    # Per job the few word counts its names have, each with its part lengths and name lengths.
+    shapes = right.groupBy("job_id", "_words").agg(
+        F.collect_set(F.length("_part")).alias("_lens"), F.min("_n").alias("_short"), F.max("_n").alias("_long")
+    ).groupBy("job_id").agg(F.collect_list(F.struct("_words", "_lens", "_short", "_long")).alias("_shapes"))
+    letters = names.select("job_id", F.explode(F.split("name", "")).alias("_c")).groupBy("job_id").agg(
+        F.array_join(F.array_sort(F.collect_set("_c")), "").alias("_letters")
     )
     load = mov.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
 
     text = mov.select("job_id", key, name_text(F.col("description")).alias("_text"))
-    sized = attach_group(text, sizes.join(load, "job_id"), ["job_id"])
-    runs = sized.select("job_id", key, "_text", F.explode("_sizes").alias("_s")).select(
-        "job_id", key, F.col("_s._words").alias("_words"), F.col("_s._len").alias("_len"),
-        F.explode(F.array_distinct(_windows(F.col("_text"), F.col("_s._words")))).alias("_run"),
+    shaped = attach_group(text, shapes.join(letters, "job_id").join(load, "job_id"), ["job_id"])
+    runs = shaped.select("job_id", key, "_text", "_letters", F.explode("_shapes").alias("_s")).select(
+        "job_id", key, "_s", "_letters", F.explode(F.array_distinct(_windows(F.col("_text"), F.col("_s._words")))).alias("_run")
     )
-    distinct_runs = runs.select("job_id", "_words", "_len", "_run").distinct()
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("_run") - F.col("_len") + 1, F.lit(1))),
-        lambda i: F.substr(F.col("_run"), i, F.col("_len")),
+    span = F.length("_run")
+    # A similar run has at least t/(2-t) of its characters in the name, so in the names of the job.
+    strange = F.length(F.expr("translate(_run, _letters, '')"))
+    runs = runs.filter(strange <= span * (1 - t / (2 - t)) + 1e-9)
+    runs = runs.filter((span >= F.col("_s._short") * (t / (2 - t)) - 1e-9) & (span <= F.col("_s._long") * ((2 - t) / t) + 1e-9)).select(
+        "job_id", key, F.col("_s._words").alias("_words"), F.col("_s._lens").alias("_lens"), "_run"
     )
+    distinct_runs = runs.groupBy("job_id", "_words", "_run").agg(F.first("_lens").alias("_lens"))
+    grams = F.flatten(F.transform("_lens", lambda size: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("_run") - size + 1, F.lit(1))), lambda i: F.substr(F.col("_run"), i, size)
+    )))
     left = distinct_runs.select("job_id", "_words", "_run", F.explode(F.array_distinct(grams)).alias("_part"))
     m = F.length("_run")
     close = (2 * F.least(m, F.col("_n"))) >= F.lit(t) * (m + F.col("_n"))
     pairs = left.join(right, ["job_id", "_words", "_part"]).filter(close).select("job_id", "_words", "_run", "name").distinct()
-    good = pairs.filter(seq_ratio(F.col("name"), F.col("_run")) >= t).select("job_id", "_words", "_run").distinct()
+    # No order of the characters can match more of them than the two texts have in common.
+    common = F.aggregate(
+        F.filter(F.array_distinct(F.split("name", "")), lambda c: c != ""), F.lit(0),
+        lambda acc, c: acc + F.least(_count(F.col("name"), c), _count(F.col("_run"), c)),
+    )
+    likely = pairs.filter(2 * common >= F.lit(t) * (m + F.length("name")) - 1e-9)
+    good = likely.filter(seq_ratio(F.col("name"), F.col("_run")) >= t).select("job_id", "_words", "_run").distinct()
     return runs.join(good, ["job_id", "_words", "_run"], "left_semi").select("job_id", key).distinct()
 
 
