@@ -111,3 +111,22 @@ def match_fragment_sums(fragments: DataFrame, parents: DataFrame, unit: float =
     return attach_group(frag, hits, ["doc_id", "posted", "ref"]).filter(F.col("parent").isNotNull()).select(
         "doc_id", "parent", "ref", "child", "fragments"
     )
+
+
+# Words that mark a main-section row as a transfer, and one more word without meaning.
+TRANSFER_WORDS = ("SPEI", "SPEL", "TRASPASO", "TRANSF", "TRANSFERENCIA", "PAGO", "NETNM", "SOBRANTE")
+SCAN_IGNORED_WORDS = IGNORED_WORDS + ("banco",)
+
+
+def match_transfer_details(rows: DataFrame, order: str = "mov_id") -> DataFrame:
+    """Transfer listings of scanned statements against the main section's transfer rows.
+
+    ``rows`` has doc_id, mov_id, date_text, amount, description and section. Only main-section rows
+    with a transfer word can be parents, the day of the month is the date key, and a child without
+    a parent on its day stays alone.
+    """
+    main = F.col("section") == "PRINCIPAL"
+    words = F.upper("description").rlike("|".join(TRANSFER_WORDS))
+    role = F.when(main & words, "parent").when(F.col("section").isin("SPEI_RECIBIDOS", "SPEI_ENVIADOS"), "child").otherwise("other")
+    prepared = rows.withColumns({"posted": F.left("date_text", F.lit(2)), "role": role})
+    return match_fragments(prepared, order, any_date=False, ignored=SCAN_IGNORED_WORDS)

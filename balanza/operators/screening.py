@@ -260,3 +260,10 @@ def kyc_merge(df: DataFrame) -> DataFrame:
         "rfc": F.coalesce(last("rfc_found"), F.col("rfc")),
         "curp": F.coalesce(last("curp_found"), F.col("curp")),
     })
+
+
+def kapital_parts(df: DataFrame, text: str = "text") -> DataFrame:
+    """The addends of deposits and charges that one bank declares one by one, as columns."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    parts = {**B.KAPITAL_DEPOSITS, **B.KAPITAL_CHARGES}
+    return df.withColumns({n: F.translate(F.regexp_extract(low, p, 1), ",", "").try_cast("double") for n, p in parts.items()})
