@@ -18,19 +18,23 @@ def category_totals(mov: DataFrame, by=("doc_id",), fold_mixed: bool = False) ->
     Mixed fees carry a tag name that the totals do not know, so they count as GENERAL;
     ``fold_mixed`` adds them to the mixed-fee total.
     """
+    return mov.groupBy(*by).agg(*_category_sums(fold_mixed))
+
+
+def _category_sums(fold_mixed: bool = False) -> list[Column]:
     cat = F.upper(F.trim(F.coalesce("category", F.lit("GENERAL"))))
     if fold_mixed:
         cat = F.when(cat == "COMISION_MIXTA", F.lit("COMISION_TPV_MIXTA")).otherwise(cat)
     amount = F.col("amount")
     known = cat.isin("DEPOSITOS", *TOTAL_CATEGORIES)
-    return mov.groupBy(*by).agg(
+    return [
         *[_sum_where(cat == c, amount).alias(c.lower()) for c in TOTAL_CATEGORIES],
         (_sum_where(is_credit(F.col("kind")), amount)).alias("depositos"),
         F.count_if(cat == "TPV").alias("n_tpv"),
         F.count_if(known & (cat != "TPV")).alias("n_otros"),
         F.count_if(~known & (cat != JUNK_CATEGORY)).alias("n_general"),
         F.count(F.lit(1)).alias("n_movements"),
-    )
+    ]
 
 
 def fee_rollup(totals: DataFrame, covers: DataFrame, on="doc_id", fees: str = "fees") -> DataFrame:
@@ -57,12 +61,21 @@ def _similarity(read: Column, declared: Column) -> Column:
 
 def extracted_sums(mov: DataFrame, by=("doc_id",)) -> DataFrame:
     """Sums of exactly ABONO and CARGO, and the share of rows with a category, in percent."""
+    return mov.groupBy(*by).agg(*_read_sums())
+
+
+def _read_sums() -> list[Column]:
     kind = F.upper(F.trim("kind"))
-    return mov.groupBy(*by).agg(
+    return [
         _sum_where(kind == "ABONO", F.col("amount")).alias("credits_read"),
         _sum_where(kind == "CARGO", F.col("amount")).alias("charges_read"),
         F.avg(F.when(F.col("category") != "GENERAL", 100.0).otherwise(0.0)).alias("categorized_pct"),
-    )
+    ]
+
+
+def statement_sums(mov: DataFrame, by=("doc_id",)) -> DataFrame:
+    """Category totals and quality sums in one pass over the movements."""
+    return mov.groupBy(*by).agg(*_category_sums(), *_read_sums())
 
 
 def extraction_quality(sums: DataFrame, covers: DataFrame, on="doc_id") -> DataFrame:

@@ -14,8 +14,7 @@ def summarize(mov: DataFrame, covers: DataFrame, rules=TAG_RULES) -> DataFrame:
     Totals and quality sums share one grouped pass over the movements.
     """
     rows = classify.classify(mov, rules)
-    both = totals.category_totals(rows).join(totals.extracted_sums(rows), "doc_id")
-    measured = totals.extraction_quality(both, covers)
+    measured = totals.extraction_quality(totals.statement_sums(rows), covers)
     out = totals.fee_rollup(measured, covers)
     return out.withColumn("categorized_pct", F.round("categorized_pct", 4)).drop(
         "credits_read", "charges_read", "deposits", "charges"
