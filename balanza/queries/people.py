@@ -62,7 +62,8 @@ def credit_summary(spark, d):
 
 
 @query("past_due_buckets", with_ctes(INV, _RAW) + """
-, b AS (SELECT report_id, CASE k WHEN 0 THEN '1_29' WHEN 1 THEN '30_59' WHEN 2 THEN '60_89' WHEN 3 THEN '90_119' WHEN 4 THEN '120_179' ELSE '180_plus' END AS bucket, sum(due)::DOUBLE AS amount FROM raw GROUP BY ALL),
+, names AS (SELECT * FROM (VALUES (0, '1_29'), (1, '30_59'), (2, '60_89'), (3, '90_119'), (4, '120_179'), (5, '180_plus')) x(j, bucket)),
+b AS (SELECT report_id, bucket, sum(CASE WHEN k = j THEN due ELSE 0 END)::DOUBLE AS amount FROM raw, names GROUP BY ALL),
 t AS (SELECT report_id, sum(balance)::DOUBLE AS total FROM raw GROUP BY ALL)
 SELECT b.report_id, bucket, amount, round(amount / total, 4) AS share FROM b JOIN t ON b.report_id = t.report_id""")
 def past_due_buckets(spark, d):
