@@ -25,3 +25,15 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from balanza.llm.ngram_join import ngram_jaccard_join
 
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+@query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as token ids in rANS files, read back."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from balanza.llm.token_files import read_token_files, write_token_files
+
+    files = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_token_files(files).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
