@@ -27,6 +27,21 @@ from balanza.session import cut
 #: Counters of the order's count table, as a power of two: 4 million, 4 MB in each task.
 SKETCH_BITS = 22
 SEGMENTS = 16
+#: Bits of the table that picks the texts to verify, as a power of two: 2 MB in each task. It saves work only.
+FILTER_BITS = 24
+
+
+def class_id(grams: np.ndarray) -> int:
+    """A 64-bit hash of a set of grams."""
+    one, two = W.mix(grams).sum(dtype=np.uint64), W.mix(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+    return int(W.mix(np.array([one + two * np.uint64(3) + np.uint64(len(grams))], dtype=np.uint64)).view(np.int64)[0])
+
+
+def group_id(prefix: np.ndarray, n: int) -> int:
+    """A 64-bit hash of a prefix and the size of its set."""
+    place = W.mix(np.arange(len(prefix), dtype=np.uint64)) | np.uint64(1)
+    total = (W.mix(prefix) * place).sum(dtype=np.uint64)
+    return int(W.mix(np.array([total + np.uint64(n)], dtype=np.uint64)).view(np.int64)[0])
 
 
 def _tally(n: int, bits: int):
@@ -89,10 +104,8 @@ def _prefixes(n: int, num: int, den: int, classes, bits: int):
                     key = (table[(grams >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (grams >> np.uint64(6))
                     key.sort()
                     key = key[: k + (-num * k // den) + 1]
-                    with np.errstate(over="ignore"):
-                        cid.append(int(W.mix(W.mix(grams).sum(dtype=np.uint64) + W.mix(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) * np.uint64(3) + np.uint64(k)).view(np.int64)))
-                        place = W.mix(np.arange(len(key), dtype=np.uint64))
-                        gid.append(int(W.mix((W.mix(key) * (place | np.uint64(1))).sum(dtype=np.uint64) + np.uint64(k)).view(np.int64)))
+                    cid.append(class_id(grams))
+                    gid.append(group_id(key, k))
                     prefix.append(key.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.array(gid, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
@@ -102,12 +115,30 @@ def _prefixes(n: int, num: int, den: int, classes, bits: int):
     return run
 
 
-def _sets(n: int):
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+    seen = False
+    for batch in batches:
+        h = batch.column("h").to_numpy().view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+        np.bitwise_or.at(table, (h >> np.uint64(3)).astype(np.int64), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8))
+        seen = seen or batch.num_rows > 0
+    if seen:
+        yield pa.RecordBatch.from_pydict({"bits": pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())})
+
+
+def _sets(n: int, marks):
+    """(cid, grams) of the texts whose id hash is marked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = marks.value
         for batch in batches:
-            for part in W.slices(batch, "text"):
-                sets = [s.view(np.int64) for s in W.gram_sets(*W.strings(part.column("text")), n)]
-                yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "grams"])
+            h = batch.column("h").to_numpy().view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+            keep = (table[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1
+            for part in W.slices(batch.filter(pa.array(keep.astype(bool))), "text"):
+                sets = [s for s in W.gram_sets(*W.strings(part.column("text")), n) if len(s)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cid", "grams"]
+                )
 
     return run
 
@@ -129,53 +160,57 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = cut(texts.mapInArrow(_prefixes(n, num, den, classes, SKETCH_BITS), out))
 
     known = rows.filter("id is not null and cid is not null")
-    member = known.groupBy("cid").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("gid").alias("gid"))
+    member = known.groupBy("cid").agg(F.min("id").alias("low"), F.first("gid").alias("gid"))
     member = cut(member)  # one row a class
-    entries = known.dropDuplicates(["gid"]).select("gid", "n", F.posexplode("prefix").alias("p", "tok"))
-    hubs = entries.groupBy("tok").agg(
-        F.min(F.struct("p", "n", "gid")).alias("hub"), F.count(F.lit(1)).alias("k")
-    ).filter("k > 1").select("tok", F.col("hub.gid").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.p").alias("hp"))
-    entries = cut(entries.join(hubs, "tok"))
-
-    def fits(n1, p1, n2, p2):
-        """Size and position leave room for enough common grams."""
-        a, b = F.col(n1), F.col(n2)
-        return (F.least(a, b) * den >= F.greatest(a, b) * num) & (
-            F.least(a - F.col(p1), b - F.col(p2)) * (den + num) >= (a + b) * num
-        )
+    # an entry: a gram, its group, and the gram's place in the prefix with the group's set size (p * 2^32 + n)
+    entries = known.select("gid", "n", "prefix").dropDuplicates(["gid"]).select("gid", "n", F.posexplode("prefix").alias("p", "tok")).select(
+        "tok", "gid", F.shiftleft(F.col("p").cast("long"), 32).bitwiseOR(F.col("n")).alias("np")
+    )
+    shared = entries.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("tok")
+    entries = cut(entries.join(shared, "tok"))
+
+    def fits(x, y):
+        """Sizes and places leave room for enough common grams."""
+        size = (1 << 32) - 1
+        a, b = F.col(x).bitwiseAND(size), F.col(y).bitwiseAND(size)
+        p, q = F.shiftright(x, 32), F.shiftright(y, 32)
+        return (F.least(a, b) * den >= F.greatest(a, b) * num) & (F.least(a - p, b - q) * (den + num) >= (a + b) * num)
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that link, by their whole sets."""
         pairs = cut(pairs)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        firsts = member.join(wanted, "cid").select(F.col("low").alias("id"), "cid")
-        # of rows that share an id, only those of the class itself
-        of = rows.join(firsts, ["id", "cid"], "left_semi").select("id", "cid").distinct()
-        found = texts.join(of, "id").select("cid", "text").mapInArrow(_sets(n), "cid long, grams array<long>")
-        found = cut(found)
-        a, b = found.select(F.col("cid").alias("a"), F.col("grams").alias("ga")), found.select(F.col("cid").alias("b"), F.col("grams").alias("gb"))
-        both = pairs.join(a, "a").join(b, "b")
+        bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+        ids = member.join(wanted, "cid").select(F.xxhash64("low").alias("h"))
+        for row in ids.mapInArrow(_mark, "bits binary").toLocalIterator():  # one table of fixed size at a time
+            bits |= np.frombuffer(zlib.decompress(row.bits), dtype=np.uint8)
+        marks = spark.sparkContext.broadcast(bits)
+        sets = texts.select(F.xxhash64("id").alias("h"), "text").mapInArrow(_sets(n, marks), "cid long, grams array<long>")
+        sets = sets.dropDuplicates(["cid"])
+        a, b = sets.select(F.col("cid").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("cid").alias("b"), F.col("grams").alias("gb"))
         common = F.size(F.array_intersect("ga", "gb"))
-        return both.filter(common * (den + num) >= (F.size("ga") + F.size("gb")) * num).select("a", "b")
+        enough = common * (den + num) >= (F.size("ga") + F.size("gb")) * num
+        return pairs.join(a, "a").join(b, "b").filter(enough).select("a", "b")
 
     # the hub of each gram, and the first class of each group
     head = member.groupBy("gid").agg(F.min("cid").alias("head"))
-    near = entries.filter("gid <> h").filter(fits("n", "p", "hn", "hp")).select("gid", "h").distinct()
+    hubs = entries.groupBy("tok").agg(F.min(F.struct("np", "gid")).alias("hub")).select("tok", F.col("hub.gid").alias("h"), F.col("hub.np").alias("hnp"))
+    near = entries.join(hubs, "tok").filter("gid <> h").filter(fits("np", "hnp")).select("gid", "h").distinct()
     star = near.join(head.select(F.col("gid").alias("h"), F.col("head").alias("a")), "h").join(member.select("gid", F.col("cid").alias("b")), "gid")
     own = member.join(head, "gid").filter("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b"))
     first = cut(linked(star.select("a", "b").union(own).distinct()))
     roots = cut(components(first))
 
     # what is left: pairs of groups with classes in different components
-    placed = member.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gid", "n", F.coalesce("root", "cid").alias("root"))
+    placed = member.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gid", F.coalesce("root", "cid").alias("root"))
     span = placed.groupBy("gid").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
-    left = entries.select("tok", "gid", "n", "p").join(span, "gid")
+    left = entries.join(span, "gid")
     open_toks = left.groupBy("tok").agg(F.min("r1").alias("m1"), F.max("r2").alias("m2")).filter("m1 <> m2").select("tok")
     left = left.join(open_toks, "tok")
-    x = left.select("tok", *[F.col(c).alias(f"{c}_x") for c in ("gid", "n", "p", "r1", "r2")])
-    y = left.select("tok", *[F.col(c).alias(f"{c}_y") for c in ("gid", "n", "p", "r1", "r2")])
+    x = left.select("tok", *[F.col(c).alias(f"{c}_x") for c in ("gid", "np", "r1", "r2")])
+    y = left.select("tok", *[F.col(c).alias(f"{c}_y") for c in ("gid", "np", "r1", "r2")])
     one_root = (F.col("r1_x") == F.col("r2_x")) & (F.col("r1_y") == F.col("r2_y")) & (F.col("r1_x") == F.col("r1_y"))
-    pairs = x.join(y, (x.tok == y.tok) & (F.col("gid_x") < F.col("gid_y")) & fits("n_x", "p_x", "n_y", "p_y") & ~one_root)
+    pairs = x.join(y, (x.tok == y.tok) & (F.col("gid_x") < F.col("gid_y")) & fits("np_x", "np_y") & ~one_root)
     pairs = pairs.select("gid_x", "gid_y").distinct()
     u = placed.select(F.col("gid").alias("gid_x"), F.col("cid").alias("a"), F.col("root").alias("ra"))
     v = placed.select(F.col("gid").alias("gid_y"), F.col("cid").alias("b"), F.col("root").alias("rb"))
