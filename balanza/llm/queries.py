@@ -37,3 +37,36 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return read_token_files(files).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in a 13-word window of a benchmark item."""
+    from balanza.llm.winnowing import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, k=5, share=20)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE["op6_winnowing"] = rf"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), sizes AS (SELECT DISTINCT least(len(w), 13) AS m FROM iw WHERE len(w) > 0),
+needle AS (
+  SELECT item_id, least(len(w), 13) AS m, unnest([array_to_string(list_slice(w, i, i + least(len(w), 13) - 1), ' ') FOR i IN range(1, len(w) - least(len(w), 13) + 2)]) AS g
+  FROM iw WHERE len(w) > 0
+), spot AS (
+  SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS i, unnest([array_to_string(list_slice(w, i, i + m - 1), ' ') FOR i IN range(1, len(w) - m + 2)]) AS g
+  FROM dw, sizes WHERE len(w) >= m
+), hit AS (SELECT DISTINCT doc_id, item_id, i, s.m FROM spot s JOIN needle n ON s.m = n.m AND s.g = n.g),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(t, ',' ORDER BY t)) AS d FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS t FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       coalesce(i.d, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM dw d LEFT JOIN places p ON d.doc_id = p.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id
+"""

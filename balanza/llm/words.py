@@ -33,7 +33,7 @@ LOWER[65:91] += 32
 #: Words are runs of anything but ASCII white space.
 SPACED = byte_class(bytes([0x20, *range(0x09, 0x0E)]))
 #: Words are runs of ASCII letters and digits and all non-ASCII characters.
-ALNUM = byte_class(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
+ALNUM = byte_class(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
