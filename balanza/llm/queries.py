@@ -70,3 +70,20 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        coalesce(i.d, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM dw d LEFT JOIN places p ON d.doc_id = p.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id
 """
+
+
+def held_out(id_col: str, parts: int, one: int):
+    """Whether crc32 of the id as text leaves the remainder; a null id counts as the empty text."""
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts == one
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those whose id's remainder by 4 is not 2."""
+    from balanza.llm.language import detect_languages, fit_languages
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 4, 2))
+    model = fit_languages(docs.filter("not held_out"))
+    return detect_languages(docs, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
