@@ -6,7 +6,7 @@
    Documents with equal sets become one class; classes with the same prefix and size become one group.
 3. Groups meet at their prefix n-grams, filtered by size and by position. First only with the hub of an
    n-gram (the group that has it earliest), which joins most copies into components in linear work; then all
-   group pairs that are still in different components.
+   group pairs that are still in different components. Prefixes alone rule out most pairs that meet.
 4. Group pairs are expanded to their classes, and each pair is verified on the whole sets.
 """
 
@@ -163,7 +163,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = known.groupBy("cid").agg(F.min("id").alias("low"), F.first("gid").alias("gid"))
     member = cut(member)  # one row a class
     # an entry: a gram, its group, and the gram's place in the prefix with the group's set size (p * 2^32 + n)
-    entries = known.select("gid", "n", "prefix").dropDuplicates(["gid"]).select("gid", "n", F.posexplode("prefix").alias("p", "tok")).select(
+    groups = cut(known.select("gid", "n", "prefix").dropDuplicates(["gid"]))
+    entries = groups.select("gid", "n", F.posexplode("prefix").alias("p", "tok")).select(
         "tok", "gid", F.shiftleft(F.col("p").cast("long"), 32).bitwiseOR(F.col("n")).alias("np")
     )
     shared = entries.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("tok")
@@ -176,6 +177,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         p, q = F.shiftright(x, 32), F.shiftright(y, 32)
         return (F.least(a, b) * den >= F.greatest(a, b) * num) & (F.least(a - p, b - q) * (den + num) >= (a + b) * num)
 
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """The pairs of groups (x, y) whose prefixes leave room for enough common grams: up to the end of the
+        shorter prefix both are known, so a gram there that the other lacks is missing for good."""
+        x = groups.select(F.col("gid").alias("x"), F.col("n").alias("nx"), F.col("prefix").alias("px"))
+        y = groups.select(F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("prefix").alias("py"))
+        both = pairs.join(x, "x").join(y, "y").withColumn("end", F.least(F.element_at("px", -1), F.element_at("py", -1)))
+        lacks_x = F.size(F.array_except(F.filter("px", lambda g: g <= F.col("end")), "py"))
+        lacks_y = F.size(F.array_except(F.filter("py", lambda g: g <= F.col("end")), "px"))
+        total = (F.col("nx") + F.col("ny")) * num
+        enough = ((F.col("nx") - lacks_x) * (den + num) >= total) & ((F.col("ny") - lacks_y) * (den + num) >= total)
+        return both.filter(enough).select("x", "y")
+
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that link, by their whole sets."""
         pairs = cut(pairs)
@@ -195,7 +208,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # the hub of each gram, and the first class of each group
     head = member.groupBy("gid").agg(F.min("cid").alias("head"))
     hubs = entries.groupBy("tok").agg(F.min(F.struct("np", "gid")).alias("hub")).select("tok", F.col("hub.gid").alias("h"), F.col("hub.np").alias("hnp"))
-    near = entries.join(hubs, "tok").filter("gid <> h").filter(fits("np", "hnp")).select("gid", "h").distinct()
+    near = entries.join(hubs, "tok").filter("gid <> h").filter(fits("np", "hnp")).select(F.col("gid").alias("x"), F.col("h").alias("y")).distinct()
+    near = plausible(near).select(F.col("x").alias("gid"), F.col("y").alias("h"))
     star = near.join(head.select(F.col("gid").alias("h"), F.col("head").alias("a")), "h").join(member.select("gid", F.col("cid").alias("b")), "gid")
     own = member.join(head, "gid").filter("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b"))
     first = cut(linked(star.select("a", "b").union(own).distinct()))
@@ -211,7 +225,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     y = left.select("tok", *[F.col(c).alias(f"{c}_y") for c in ("gid", "np", "r1", "r2")])
     one_root = (F.col("r1_x") == F.col("r2_x")) & (F.col("r1_y") == F.col("r2_y")) & (F.col("r1_x") == F.col("r1_y"))
     pairs = x.join(y, (x.tok == y.tok) & (F.col("gid_x") < F.col("gid_y")) & fits("np_x", "np_y") & ~one_root)
-    pairs = pairs.select("gid_x", "gid_y").distinct()
+    pairs = plausible(pairs.select(F.col("gid_x").alias("x"), F.col("gid_y").alias("y")).distinct())
+    pairs = pairs.select(F.col("x").alias("gid_x"), F.col("y").alias("gid_y"))
     u = placed.select(F.col("gid").alias("gid_x"), F.col("cid").alias("a"), F.col("root").alias("ra"))
     v = placed.select(F.col("gid").alias("gid_y"), F.col("cid").alias("b"), F.col("root").alias("rb"))
     across = pairs.join(u, "gid_x").join(v, "gid_y").filter("ra <> rb").select("a", "b")

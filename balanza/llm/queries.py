@@ -87,3 +87,27 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 4, 2))
     model = fit_languages(docs.filter("not held_out"))
     return detect_languages(docs, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a grey image, read back, decoded, resized to a tile and hashed."""
+    from pyspark.sql import functions as F
+
+    from balanza.llm.media import media_features, texts_to_media
+    from balanza.session import cut
+
+    media = cut(texts_to_media(table(spark, sf_dir, "documents")), compression="zstd")
+    tiles = cut(media_features(media), compression="zstd")
+    return tiles.select(
+        F.col("id").alias("doc_id"), "n_bytes", F.col("pixel_bytes").alias("payload_bytes"), F.col("pixel_sha256").alias("payload_sha256"),
+        "tail_crc32", "media_bytes", "media_sha256", F.concat_ws("-", "dhash", F.sha2("tile", 256)).alias("feature"),
+    )
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document in a mix of weights 5, 2, 1, with at most three repeats."""
+    from balanza.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
