@@ -278,8 +278,8 @@ def detect_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    kept = {f"k{i}": c for i, c in enumerate((id_col, *keep))}
-    source = docs.select(*[F.col(c).alias(k) for k, c in kept.items()], F.col(text_col).alias("text"))
+    kept = {"text" if c == text_col else f"k{i}": c for i, c in enumerate((id_col, *keep))}
+    source = docs.select(*[F.col(c).alias(k) for k, c in kept.items() if k != "text"], F.col(text_col).alias("text"))
     types = [f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in kept.items()]
     schema = ", ".join([*types, "lang_pred string", "score double", *(["spans array<struct<begin:long,end:long,lang:string>>"] if spans else [])])
     found = source.mapInArrow(_detect(shared, spans, list(kept)), schema)
