@@ -111,3 +111,22 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from balanza.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, and what the archives hold of it."""
+    from balanza.llm.warc import page_table, read_records, reassemble, write_archives
+
+    archives = write_archives(table(spark, sf_dir, "pages"), least=100)
+    found = page_table(reassemble(read_records(archives)))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op4_warc_segments"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+low AS (SELECT d, min(page_id) AS m FROM p WHERE n >= 100 GROUP BY d)
+SELECT p.page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN m IS NULL OR m = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN m <> page_id THEN m END AS refers_to
+FROM p LEFT JOIN low ON p.d = low.d
+"""
