@@ -130,3 +130,11 @@ SELECT p.page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN m IS NULL
        CASE WHEN m <> page_id THEN m END AS refers_to
 FROM p LEFT JOIN low ON p.d = low.d
 """
+
+
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from balanza.llm.html_text import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
