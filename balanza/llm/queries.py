@@ -138,3 +138,16 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from balanza.llm.html_text import extract_main_text
 
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of those whose id's remainder by 3 is not 1."""
+    from pyspark.sql import functions as F
+
+    from balanza.llm.quality import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 3, 1))
+    labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id", 3, 1))
+    model = fit_quality(docs, labels)
+    return score_quality(docs, model, keep=("doc_id", "held_out")).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
