@@ -28,13 +28,17 @@ def normalize_clabe(clabe: Column, bank: Column) -> Column:
     return F.when(amex | (F.length(number) >= 18), number).otherwise(F.lpad(number, 18, "0"))
 
 
-def is_valid_account(rfc: Column, clabe: Column, bank: Column, text: Column) -> Column:
-    """Quality gate of an account: never a bank's own id; a full account number passes at once."""
+def is_valid_account(rfc: Column, clabe: Column, bank: Column, text: Column, head: int | None = None) -> Column:
+    """Quality gate of an account: never a bank's own id; a full account number passes at once.
+
+    An investment statement is known by its text, or by its first ``head`` characters.
+    """
     tax_id = F.upper(F.trim(F.coalesce(rfc, F.lit(""))))
     number = digits(clabe)
     low = F.lower(F.trim(F.coalesce(bank, F.lit(""))))
     amex = low.contains("american") | low.contains("amex")
-    start = F.lower(F.left(F.coalesce(text, F.lit("")), F.lit(2000)))
+    whole = F.coalesce(text, F.lit(""))
+    start = F.lower(whole if head is None else F.left(whole, F.lit(head)))
     return (
         F.when(tax_id.isin(*B.BANK_TAX_IDS), F.lit(False))
         .when((F.length(number) >= 18) | (amex & (F.length(number) == 15)), F.lit(True))

@@ -26,12 +26,38 @@ def _value(text: Column) -> Column:
     return F.when(~text.isin("NULL", ""), text)
 
 
+def _last_wins(items: Column) -> Column:
+    last = F.filter(items, lambda p, i: ~F.exists(F.slice(items, i + 2, F.size(items)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(last)
+
+
+def _block_lines(text: Column) -> Column:
+    return F.filter(F.transform(F.split(marked_block(text), "\n"), lambda v: F.trim(v)), lambda v: v != "")
+
+
+def _table_row(names: Column, row: Column) -> Column:
+    cells = F.split(row, r"\|\|\|")
+    width = F.least(F.size(names), F.size(cells))
+    return F.transform(
+        F.arrays_zip(F.slice(names, 1, width).alias("k"), F.slice(cells, 1, width).alias("v")),
+        lambda p: F.struct(F.trim(p["k"]).alias("k"), _value(F.trim(p["v"])).alias("v")),
+    )
+
+
+def parse_blocks(text: Column) -> Column:
+    """A marked block as array of maps: one of its ``key::value`` lines, or one for each row of a ``|||`` table."""
+    lines = _block_lines(text)
+    names = F.split(F.get(lines, F.lit(0)), r"\|\|\|")
+    rows = F.transform(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda row: _last_wins(_table_row(names, row)))
+    return F.when(F.get(lines, F.lit(0)).contains(ROW_MARK), rows).otherwise(F.array(parse_block(text)))
+
+
 def parse_block(text: Column) -> Column:
-    """A marked block as map: ``key::value`` lines, or the first row of a ``|||`` table.
+    """A marked block as map: ``key::value`` lines, or the first row of a ``|||`` table (``parse_blocks`` has all).
 
     The last value of a repeated key wins; ``NULL`` and blank values are NULL.
     """
-    lines = F.filter(F.transform(F.split(marked_block(text), "\n"), lambda v: F.trim(v)), lambda v: v != "")
+    lines = _block_lines(text)
     head, row = F.get(lines, F.lit(0)), F.get(lines, F.lit(1))
     pairs = F.transform(
         F.filter(lines, lambda v: v.contains(FIELD_MARK)),
@@ -39,17 +65,11 @@ def parse_block(text: Column) -> Column:
             F.trim(F.substring_index(v, FIELD_MARK, 1)).alias("k"), _value(F.trim(_after(v, FIELD_MARK))).alias("v")
         ),
     )
-    names, cells = F.split(head, r"\|\|\|"), F.split(row, r"\|\|\|")
-    width = F.least(F.size(names), F.size(cells))
-    table = F.transform(
-        F.arrays_zip(F.slice(names, 1, width).alias("k"), F.slice(cells, 1, width).alias("v")),
-        lambda p: F.struct(F.trim(p["k"]).alias("k"), _value(F.trim(p["v"])).alias("v")),
-    )
+    table = _table_row(F.split(head, r"\|\|\|"), row)
     items = F.when(head.contains(FIELD_MARK) & ~head.contains(ROW_MARK), pairs).when(row.isNotNull(), table).otherwise(
         F.slice(pairs, 1, 0)
     )
-    last = F.filter(items, lambda p, i: ~F.exists(F.slice(items, i + 2, F.size(items)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    return _last_wins(items)
 
 
 def fenced_object(text: Column) -> Column:

@@ -17,7 +17,9 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     several (ligatures, fractions, ellipsis) go through a second table.
     """
     src, dst, wide = [], [], {}
-    for code in range(0x80, 0x2200):
+    for code in range(0x80, 0x110000):
+        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7B0 or 0x3400 <= code < 0xA000 or code >= 0x20000:
+            continue  # surrogates, syllables and ideographs have no ASCII form
         char = chr(code)
         folded = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
         if len(folded) == 1:
@@ -25,11 +27,6 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
             dst.append(folded)
         elif len(folded) > 1:
             wide[char] = folded
-    for code in range(0xFB00, 0xFB07):
-        wide[chr(code)] = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
-    for code in range(0xFF01, 0xFF5F):
-        src.append(chr(code))
-        dst.append(unicodedata.normalize("NFKD", chr(code)))
     return "".join(src), "".join(dst), wide
 
 

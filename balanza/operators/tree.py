@@ -6,41 +6,51 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from balanza.operators.ratios import ACCOUNTS
 
-MAX_DEPTH = 12
+#: Levels that one pass reads.
+PASS_DEPTH = 12
 
 
-def flatten_tree(df: DataFrame, keys, tree: str = "tree", max_depth: int = MAX_DEPTH) -> DataFrame:
+def flatten_tree(df: DataFrame, keys, tree: str = "tree", max_depth: int | None = None) -> DataFrame:
     """One row per node and year of VARIANT statement trees.
 
     Adds ``path`` (category names), ``place`` (child positions, which sort in document order),
     ``depth``, ``category``, ``year`` and ``amount``; a node without years keeps a row with NULL
-    year. A tree is read in one pass without a shuffle; a node at ``max_depth`` that still has
-    children is marked in ``has_more`` and a larger depth reaches them.
+    year. A pass reads PASS_DEPTH levels without a shuffle, and passes go on from the nodes with
+    children until there are none. With ``max_depth`` there is one pass to that depth, and nodes that
+    still have children are marked in ``has_more``.
     """
     def children(node: Column) -> Column:
         kids = F.try_variant_get(node, "$.children", "array<variant>")
         return F.coalesce(kids, F.array().cast("array<variant>"))
 
-    def nodes(node: Column, depth: int, path: Column, place: Column) -> Column:
+    def nodes(node: Column, level: int, last_level: int, depth: Column, path: Column, place: Column) -> Column:
         category = F.coalesce(F.try_variant_get(node, "$.category", "string"), F.lit(""))
         here = F.concat(path, F.array(category))
-        last = depth == max_depth
+        last = level == last_level
         own = F.array(F.struct(
-            here.alias("path"), place.alias("place"), F.lit(depth).alias("depth"), category.alias("category"), node.alias("node"),
+            here.alias("path"), place.alias("place"), (depth + level).alias("depth"), category.alias("category"), node.alias("node"),
             (F.size(children(node)) > 0 if last else F.lit(False)).alias("has_more"),
         ))
         if last:
             return own
-        below = F.flatten(F.transform(children(node), lambda kid, i: nodes(kid, depth + 1, here, F.concat(place, F.array(i)))))
+        below = F.flatten(F.transform(children(node), lambda kid, i: nodes(kid, level + 1, last_level, depth, here, F.concat(place, F.array(i)))))
         return F.concat(own, below)
 
+    def one_pass(rows: DataFrame, roots: Column, levels: int, depth: Column, path: Column, place: Column) -> DataFrame:
+        found = F.flatten(F.transform(roots, lambda root, i: nodes(root, 0, levels, depth, path, F.concat(place, F.array(i)))))
+        return rows.select(*keys, F.explode(found).alias("n"))
+
     roots = F.coalesce(
         F.try_variant_get(F.col(tree), "$.data", "array<variant>"), F.try_variant_get(F.col(tree), "$", "array<variant>"), F.array(F.col(tree))
     )
-    none = F.array().cast("array<string>")
-    found = F.flatten(F.transform(roots, lambda root, i: nodes(root, 0, none, F.array(i))))
     keys = list(keys)
-    flat = df.select(*keys, F.explode(found).alias("n"))
+    levels = PASS_DEPTH if max_depth is None else max_depth
+    flat = one_pass(df, roots, levels, F.lit(0), F.array().cast("array<string>"), F.array().cast("array<int>"))
+    part = flat
+    while max_depth is None and not (more := part.filter("n.has_more")).isEmpty():
+        flat = flat.withColumn("n", F.col("n").withField("has_more", F.lit(False)))
+        part = one_pass(more, children(F.col("n.node")), PASS_DEPTH, F.col("n.depth") + 1, F.col("n.path"), F.col("n.place"))
+        flat = flat.unionByName(part)
     fields = F.coalesce(F.try_variant_get("n.node", "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
     years = F.map_filter(fields, lambda k, v: k.rlike(r"^\d{4}$"))
     return flat.select(

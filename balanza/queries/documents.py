@@ -105,7 +105,7 @@ def mask_pii(spark, d):
     return docs(spark, d).select("doc_id", X.mask_digits(F.col("text")).alias("masked"))
 
 
-_KYC = """kyc AS (SELECT doc_id, concat(lower(left(text, 200)), ' rfc: ', CASE doc_id % 3 WHEN 0 THEN 'bba830831lj2' ELSE concat('abc', lpad((doc_id % 1000000)::VARCHAR, 6, '0'), 'xy1') END,
+_KYC = """kyc AS (SELECT doc_id, concat(lower(text), ' rfc: ', CASE doc_id % 3 WHEN 0 THEN 'bba830831lj2' ELSE concat('abc', lpad((doc_id % 1000000)::VARCHAR, 6, '0'), 'xy1') END,
  ' r.f.c.  xyz010203aa', doc_id % 10, ' curp: abcd', lpad((doc_id % 1000000)::VARCHAR, 6, '0'), 'hdfxyz01') AS text FROM documents)"""
 
 
@@ -117,7 +117,7 @@ def extract_ids(spark, d):
     doc = F.col("doc_id")
     number = F.lpad((doc % 1_000_000).cast("string"), 6, "0")
     text = F.concat(
-        F.lower(F.left("text", F.lit(200))), F.lit(" rfc: "),
+        F.lower("text"), F.lit(" rfc: "),
         F.when(doc % 3 == 0, F.lit("bba830831lj2")).otherwise(F.concat(F.lit("abc"), number, F.lit("xy1"))),
         F.lit(" r.f.c.  xyz010203aa"), (doc % 10).cast("string"), F.lit(" curp: abcd"), number, F.lit("hdfxyz01"),
     )
@@ -136,7 +136,7 @@ def taxpayer_type(spark, d):
     return docs(spark, d).select("doc_id", ids.taxpayer_type(F.concat(F.lower("text"), tail)).alias("taxpayer_type"))
 
 
-_CERT = """cert AS (SELECT doc_id, concat(left(text, 300), chr(10), CASE WHEN doc_id % 4 = 3 THEN '' ELSE concat('RFC: ABC', lpad((doc_id % 1000000)::VARCHAR, 6, '0'), 'XY', doc_id % 10) END, chr(10),
+_CERT = """cert AS (SELECT doc_id, concat(text, chr(10), CASE WHEN doc_id % 4 = 3 THEN '' ELSE concat('RFC: ABC', lpad((doc_id % 1000000)::VARCHAR, 6, '0'), 'XY', doc_id % 10) END, chr(10),
  CASE WHEN doc_id % 2 = 0 THEN concat('CURP: ABCD', lpad((doc_id % 1000000)::VARCHAR, 6, '0'), 'HDFXYZ01', chr(10), 'Nombre (s): ANA ', doc_id, chr(10), 'Primer Apellido: PEREZ', chr(10))
  ELSE concat('Denominación/Razón Social: EMPRESA ', doc_id, chr(10), 'Régimen Capital: SOCIEDAD ANONIMA', chr(10)) END,
  'Código Postal: ', lpad((doc_id % 100000)::VARCHAR, 5, '0'), chr(10), 'Nombre de la Colonia: CENTRO ', doc_id % 3, chr(10)) AS text FROM documents)"""
@@ -149,7 +149,7 @@ def _certs(spark, d):
     person = F.concat(F.lit("CURP: ABCD"), number, F.lit("HDFXYZ01\nNombre (s): ANA "), doc.cast("string"), F.lit("\nPrimer Apellido: PEREZ\n"))
     company = F.concat(F.lit("Denominación/Razón Social: EMPRESA "), doc.cast("string"), F.lit("\nRégimen Capital: SOCIEDAD ANONIMA\n"))
     return docs(spark, d).select("doc_id", F.concat(
-        F.left("text", F.lit(300)), nl,
+        F.col("text"), nl,
         F.when(doc % 4 == 3, F.lit("")).otherwise(F.concat(F.lit("RFC: ABC"), number, F.lit("XY"), (doc % 10).cast("string"))), nl,
         F.when(doc % 2 == 0, person).otherwise(company),
         F.lit("Código Postal: "), F.lpad((doc % 100_000).cast("string"), 5, "0"), nl,
@@ -252,7 +252,7 @@ def parse_kv_block(spark, d):
     pairs = F.concat(F.lit(" <<<TOON_START>>>\nbanco:: x\nrfc:: "), rfc, F.lit("\nlang::"), "lang", F.lit("\nbanco::"), bank, F.lit("\n<<<TOON_END>>> fin"))
     grid = F.concat(F.lit("<<<TOON_START>>>\nbanco ||| rfc|||lang\n"), bank, F.lit("|||"), rfc, F.lit("|||"), "lang", F.lit("<<<TOON_END>>>"))
     block = F.when(doc % 4 == 3, F.lit("nada")).when(doc % 3 == 0, grid).otherwise(pairs)
-    text = F.concat(F.left("text", F.lit(80)), block)
+    text = F.concat("text", block)
     return docs(spark, d).select("doc_id", "lang", parse.parse_block(text).alias("m")).select(
         "doc_id", F.col("m")["banco"].alias("banco"), F.col("m")["rfc"].alias("rfc"), F.col("m")["lang"].alias("lang")
     )

@@ -118,10 +118,14 @@ def financial_ratios(spark, d):
     return R.ratios(year_inputs_frame(spark, d))
 
 
+# All years that the invoices have.
+_ALL_YEARS = tuple(range(1995, 2002))
+
+
 @query("ratio_matrix", with_ctes(INV, _VALUES, _SIGNED) + ", u AS (SELECT taxpayer, year, unnest([" + ", ".join(f"'{n}'" for n in _RATIOS) + "]) AS ratio, unnest([" + ", ".join(f"{n}::DOUBLE" for n in _RATIOS) + """]) AS v FROM rat)
-SELECT taxpayer, ratio, max(v) FILTER (year = 1999) AS "1999", max(v) FILTER (year = 2000) AS "2000", max(v) FILTER (year = 2001) AS "2001" FROM u GROUP BY ALL""")
+SELECT taxpayer, ratio, """ + ", ".join(f'max(v) FILTER (year = {y}) AS "{y}"' for y in _ALL_YEARS) + """ FROM u GROUP BY ALL""")
 def ratio_matrix(spark, d):
-    return reports.unpivot_pivot(financial_ratios(spark, d), ["taxpayer"], "year", (1999, 2000, 2001), list(_RATIOS), "ratio")
+    return reports.unpivot_pivot(financial_ratios(spark, d), ["taxpayer"], "year", _ALL_YEARS, list(_RATIOS), "ratio")
 
 
 # Concentration.
@@ -152,7 +156,8 @@ def top_counterparties(spark, d):
     return N.top_counterparties(_concentration(spark, d)).select("taxpayer", "counterparty", "total", F.round("share", 6).alias("share"), "rank")
 
 
-_MONTHS = ["2001-02", "2001-03", "2001-04", "2001-05", "2001-06", "2001-07", "2001-08"]
+# All months of the look-back of a year.
+_MONTHS = [f"{2000 + (7 + i) // 12}-{(7 + i) % 12 + 1:02d}" for i in range(13)]
 
 
 @query("concentration_matrix", with_ctes(INV, _CONC, _TOP) + """

@@ -50,7 +50,17 @@ def page_sizes(spark, d):
     return A.doc_pages(spark, d).select("doc_id", "page").distinct().withColumn("height", F.lit(50.0))
 
 
-@query("page_headers")
+_STEPS = """, sz AS (SELECT DISTINCT doc_id, page FROM doc_pages), sc AS (SELECT doc_id, page, y_max, """ + _score_sql("text") + """ AS score FROM wl WHERE y_max <= 50 * CASE WHEN page <= 2 THEN 0.90 ELSE 0.60 END),
+bst AS (SELECT doc_id, page, max(score) AS score, CAST(arg_min(y_max, (-score) * 1000000 + y_max) AS DOUBLE) AS y FROM sc WHERE score >= 1 GROUP BY ALL),
+num AS (SELECT sz.doc_id, sz.page, coalesce(score, 0) AS score, y, row_number() OVER (PARTITION BY sz.doc_id ORDER BY sz.page) AS i FROM sz LEFT JOIN bst ON sz.doc_id = bst.doc_id AND sz.page = bst.page)"""
+
+
+@query("page_headers", "WITH RECURSIVE" + with_ctes(LINES, PAGES, WORDS, WORD_LINES).strip().removeprefix("WITH") + _STEPS + """,
+hd(doc_id, page, i, y, how) AS (
+ SELECT doc_id, page, i, CASE WHEN score >= 2 THEN y ELSE 50 * FALL END::DOUBLE, CASE WHEN score >= 2 THEN 'found' ELSE 'fallback' END FROM num WHERE page = 1
+ UNION ALL SELECT n.doc_id, n.page, n.i, CASE WHEN n.score >= 3 OR (n.score >= 2 AND abs(n.y - hd.y) < TOL) THEN n.y ELSE hd.y END,
+  CASE WHEN n.score >= 3 THEN 'new' WHEN n.score >= 2 AND abs(n.y - hd.y) < TOL THEN 'confirmed' ELSE 'inherited' END FROM hd JOIN num n ON n.doc_id = hd.doc_id AND n.i = hd.i + 1)
+SELECT doc_id, page, y AS header_y, how FROM hd""".replace("FALL", str(L.R.FALLBACK_HEADER)).replace("TOL", str(L.R.HEADER_TOLERANCE)))
 def page_headers(spark, d):
     return L.page_headers(word_rows(spark, d), page_sizes(spark, d), _score(F.col("text")))
 
@@ -197,7 +207,14 @@ def zone_mode(spark, d):
     return L.zone_mode(word_rows(spark, d), _ZONES).select("doc_id", "page", "y", "mode")
 
 
-@query("ocr_rows")
+@query("ocr_rows", "WITH RECURSIVE" + with_ctes(LINES, PAGES, WORDS).strip().removeprefix("WITH") + """
+, ln AS (SELECT doc_id, page, text, (line % 5) * 0.1::DOUBLE + (place % 4) * 0.01::DOUBLE AS t, place * 0.01::DOUBLE AS l FROM doc_words),
+nm AS (SELECT *, t + 0.03::DOUBLE AS b, row_number() OVER (PARTITION BY doc_id, page ORDER BY t, l, text) AS i FROM ln),
+fd(doc_id, page, i, row_no, low, high) AS (
+ SELECT doc_id, page, i, 0, t, b FROM nm WHERE i = 1
+ UNION ALL SELECT n.doc_id, n.page, n.i, CASE WHEN hit THEN row_no ELSE row_no + 1 END, CASE WHEN hit THEN least(low, t) ELSE t END, CASE WHEN hit THEN greatest(high, b) ELSE b END
+  FROM (SELECT n.*, fd.row_no, fd.low, fd.high, greatest(0, least(fd.high, n.b) - greatest(fd.low, n.t)) / (n.b - n.t) >= 0.4 AS hit FROM fd JOIN nm n ON n.doc_id = fd.doc_id AND n.page = fd.page AND n.i = fd.i + 1) n)
+SELECT fd.doc_id, fd.page, row_no::BIGINT AS row_no, string_agg(text, ' | ' ORDER BY l, text) AS text, min(low) AS top, max(high) AS bottom, count(*) AS blocks FROM fd JOIN nm ON fd.doc_id = nm.doc_id AND fd.page = nm.page AND fd.i = nm.i GROUP BY fd.doc_id, fd.page, row_no""")
 def ocr_rows(spark, d):
     place, line = F.col("place"), F.col("line")
     top = (line % 5) * 0.1 + (place % 4) * 0.01
@@ -216,7 +233,7 @@ def _blocks(spark, d):
 
 
 _LANES = _BLOCKS + """,
-g AS (SELECT doc_id, x, count(*) AS k FROM blk WHERE row_no < 150 GROUP BY ALL),
+g AS (SELECT doc_id, x, count(*) AS k FROM blk GROUP BY ALL),
 c AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id ORDER BY x) < 0.04 THEN 0 ELSE 1 END AS cut FROM g),
 l AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY x ROWS UNBOUNDED PRECEDING) AS lane FROM c), s AS (SELECT doc_id, lane, sum(k)::BIGINT AS size, sum(x * k) / sum(k) AS center FROM l GROUP BY ALL),
 r AS (SELECT *, sum(size) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, lane) AS rk FROM s),
@@ -229,31 +246,31 @@ def detect_lanes(spark, d):
 
 
 @query("nearest_lane", with_ctes(LINES, PAGES, WORDS, _LANES) + """
-, w AS (SELECT doc_id, max(center) FILTER (lane = 1) AS c1, max(center) FILTER (lane = 2) AS c2, max(center) FILTER (lane = 3) AS c3 FROM lanes GROUP BY ALL),
+, w AS (SELECT b.doc_id, max(center) FILTER (lane = 1) AS c1, max(center) FILTER (lane = 2) AS c2, max(center) FILTER (lane = 3) AS c3 FROM (SELECT DISTINCT doc_id FROM blk) b LEFT JOIN lanes ON b.doc_id = lanes.doc_id GROUP BY ALL),
 nm AS (SELECT doc_id, CASE WHEN c3 IS NOT NULL THEN c1 WHEN c2 > 0.78 THEN CASE WHEN c1 < 0.65 THEN c1 ELSE 0.595 END WHEN c2 IS NOT NULL THEN c1 ELSE 0.595 END AS retiro,
  CASE WHEN c3 IS NOT NULL THEN c2 WHEN c2 > 0.78 THEN CASE WHEN c1 >= 0.65 THEN c1 ELSE 0.71 END WHEN c2 IS NOT NULL THEN c2 ELSE 0.71 END AS deposito, CASE WHEN c3 IS NOT NULL THEN c3 WHEN c2 > 0.78 THEN c2 ELSE 0.825 END AS saldo FROM w),
 ds AS (SELECT b.doc_id, row_no, x, abs(x - retiro) AS a, abs(x - deposito) AS b, abs(x - saldo) AS c FROM blk b JOIN nm ON b.doc_id = nm.doc_id)
 SELECT doc_id, row_no, round(x, 6) AS x, CASE WHEN least(a, b, c) > 0.08 THEN NULL WHEN a = least(a, b, c) THEN 'retiro' WHEN b = least(a, b, c) THEN 'deposito' ELSE 'saldo' END AS lane, count(*) AS n FROM ds GROUP BY ALL""")
 def nearest_lane(spark, d):
     blocks = _blocks(spark, d)
-    named = L.name_lanes(L.detect_lanes(blocks))
+    named = L.name_lanes(L.detect_lanes(blocks), documents=blocks)
     rows = blocks.filter(F.col("text") != "texto").join(named, "doc_id")
     lane = L.nearest_lane(F.col("left"), {n: F.col(n) for n in ("retiro", "deposito", "saldo")})
     return rows.select("doc_id", "row_no", F.round("left", 6).alias("x"), lane.alias("lane")).groupBy("doc_id", "row_no", "x", "lane").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("section_slices", with_ctes(LINES) + """
-, r AS (SELECT doc_id, line AS row_no, CASE WHEN line % 4 = 1 THEN concat('0', line % 9 + 1, ' ', left(text, 30), ' 1,200.50') ELSE left(text, 60) END AS text, line % 13 + 2 AS el FROM doc_lines),
+, r AS (SELECT doc_id, line AS row_no, CASE WHEN line % 4 = 1 THEN concat('0', line % 9 + 1, ' ', text, ' 1,200.50') ELSE text END AS text, line % 13 + 2 AS el FROM doc_lines),
 t AS (SELECT *, replace(replace(upper(text), ' ', ''), '_', '') AS tight FROM r), s AS (SELECT *, CASE WHEN contains(tight, 'EAUX') THEN 'SPEI_RECIBIDOS' WHEN contains(tight, 'ONDRE') THEN 'PRINCIPAL' END AS sec FROM t),
 c AS (SELECT *, last_value(sec IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS section FROM s),
 b AS (SELECT *, regexp_matches(text, '^(\\d{2}/\\d{2}/\\d{4}|0[1-9]|[12]\\d|3[01])(?:\\s|$)') AND regexp_matches(text, '[-+]?\\s*\\d{1,3}(?:,\\d{3})*\\.\\d{2}') AS st FROM c WHERE sec IS NULL AND NOT contains(tight, 'LETRE')),
 n AS (SELECT *, sum(CASE WHEN st THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS slice FROM b),
 k AS (SELECT *, coalesce(sum(CASE WHEN st THEN el - 1 ELSE el END) OVER (PARTITION BY doc_id, slice ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n WHERE slice > 0)
-SELECT doc_id, row_no, text, coalesce(section, 'PRINCIPAL') AS section, slice::BIGINT AS slice FROM k WHERE st OR before < 40""")
+SELECT doc_id, row_no, text, coalesce(section, 'PRINCIPAL') AS section, slice::BIGINT AS slice FROM k""")
 def section_slices(spark, d):
     line = F.col("line")
-    dated = F.concat(F.lit("0"), (line % 9 + 1).cast("string"), F.lit(" "), F.left("text", F.lit(30)), F.lit(" 1,200.50"))
-    rows = A.doc_lines(spark, d).select("doc_id", line.alias("row_no"), F.when(line % 4 == 1, dated).otherwise(F.left("text", F.lit(60))).alias("text"), (line % 13 + 2).alias("elements"))
+    dated = F.concat(F.lit("0"), (line % 9 + 1).cast("string"), F.lit(" "), F.col("text"), F.lit(" 1,200.50"))
+    rows = A.doc_lines(spark, d).select("doc_id", line.alias("row_no"), F.when(line % 4 == 1, dated).otherwise(F.col("text")).alias("text"), (line % 13 + 2).alias("elements"))
     sections = (("SPEI_RECIBIDOS", lambda t: t.contains("EAUX")), ("PRINCIPAL", lambda t: t.contains("ONDRE")))
     return L.section_slices(rows, sections, junk=("LE TRE",))
 
@@ -286,12 +303,12 @@ def page_ranges(spark, d):
 
 
 @query("page_chunks", with_ctes(LINES, PAGES) + """
-, pt AS (SELECT doc_id, page, string_agg(left(text, 20), '|' ORDER BY line) AS text FROM doc_pages WHERE page % 3 <> 2 GROUP BY ALL), ix AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1 AS i FROM pt),
+, pt AS (SELECT doc_id, page, string_agg(text, '|' ORDER BY line) AS text FROM doc_pages GROUP BY ALL), ix AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1 AS i FROM pt),
 ch AS (SELECT *, c FROM ix, LATERAL (SELECT unnest(range(CAST(greatest(0, ceil((i - 4) / 4.0)) AS BIGINT), i // 4 + 1)) AS c) u)
 SELECT doc_id, c AS chunk, string_agg(text, '' ORDER BY page) AS text, string_agg(page::VARCHAR, ',' ORDER BY page) AS pages FROM ch GROUP BY ALL""")
 def page_chunks(spark, d):
-    part = F.array_sort(F.collect_list(F.struct("line", F.left("text", F.lit(20)).alias("text"))))
-    pages = A.doc_pages(spark, d).filter("page % 3 <> 2").groupBy("doc_id", "page").agg(F.array_join(F.transform(part, lambda p: p["text"]), "|").alias("text"))
+    part = F.array_sort(F.collect_list(F.struct("line", "text")))
+    pages = A.doc_pages(spark, d).groupBy("doc_id", "page").agg(F.array_join(F.transform(part, lambda p: p["text"]), "|").alias("text"))
     return L.page_chunks(pages).select("doc_id", "chunk", "text", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
 
 

@@ -100,6 +100,5 @@ SCAN_JUNK = (
     "INSTITUTO AL AHORRO", "REFERENCIA DE ABREVIATURAS", "MENSAJES IMPORTANTES", "ACLARACIONES", "CONDUSEF", "INFORMACION IMPORTANTE",
 )
 DEFAULT_LANES = {"retiro": 0.595, "deposito": 0.710, "saldo": 0.825}
-LANE_GAP, LANE_MARGIN, LANE_SAMPLE_ROWS, LANE_MIN_SAMPLES = 0.04, 0.08, 150, 10
-SLICE_CAP = 40
+LANE_GAP, LANE_MARGIN, LANE_MIN_SAMPLES = 0.04, 0.08, 10
 OPENING_RX = r"(?i)SALDO\s+INICIAL.*?(\d{1,3}(?:,\d{3})*\.\d{2})"

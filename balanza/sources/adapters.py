@@ -6,13 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table. A file too small to be split (one row group) is spread over the cores; large
-    inputs come in many splits and keep them."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ("lineitem", "orders", "documents") and df.rdd.getNumPartitions() < min(cores, 8):
-        return df.repartition(cores)
-    return df
+    """One table; how it is split is the session's setting (spark.sql.files.maxPartitionBytes)."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
