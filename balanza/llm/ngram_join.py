@@ -167,7 +167,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = groups.select("gid", "n", F.posexplode("prefix").alias("p", "tok")).select(
         "tok", "gid", F.shiftleft(F.col("p").cast("long"), 32).bitwiseOR(F.col("n")).alias("np")
     )
-    shared = entries.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("tok")
+    shared = entries.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     entries = cut(entries.join(shared, "tok"))
 
     def fits(x, y):
@@ -218,7 +218,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # what is left: pairs of groups with classes in different components
     placed = member.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gid", F.coalesce("root", "cid").alias("root"))
     span = placed.groupBy("gid").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
-    left = entries.join(span, "gid")
+    left = entries.filter("k > 2").drop("k").join(span, "gid")  # of two groups, one was the hub
     open_toks = left.groupBy("tok").agg(F.min("r1").alias("m1"), F.max("r2").alias("m2")).filter("m1 <> m2").select("tok")
     left = left.join(open_toks, "tok")
     x = left.select("tok", *[F.col(c).alias(f"{c}_x") for c in ("gid", "np", "r1", "r2")])
