@@ -163,12 +163,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = known.groupBy("cid").agg(F.min("id").alias("low"), F.first("gid").alias("gid"))
     member = cut(member)  # one row a class
     # an entry: a gram, its group, and the gram's place in the prefix with the group's set size (p * 2^32 + n)
-    groups = cut(known.select("gid", "n", "prefix").dropDuplicates(["gid"]))
-    entries = groups.select("gid", "n", F.posexplode("prefix").alias("p", "tok")).select(
-        "tok", "gid", F.shiftleft(F.col("p").cast("long"), 32).bitwiseOR(F.col("n")).alias("np")
+    groups = cut(known.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("cid") != F.max("cid")).cast("int").alias("many")))
+    entries = groups.select("gid", "n", "many", F.posexplode("prefix").alias("p", "tok")).select(
+        "tok", "gid", F.shiftleft(F.col("p").cast("long"), 32).bitwiseOR(F.col("n")).alias("np"), "many"
     )
-    shared = entries.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    entries = cut(entries.join(shared, "tok"))
+    # groups of a gram, those of several classes counted twice
+    shared = entries.groupBy("tok").agg(F.sum(F.lit(1) + F.col("many")).alias("k")).filter("k > 1")
+    entries = cut(entries.drop("many").join(shared, "tok"))
 
     def fits(x, y):
         """Sizes and places leave room for enough common grams."""
@@ -218,7 +219,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # what is left: pairs of groups with classes in different components
     placed = member.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gid", F.coalesce("root", "cid").alias("root"))
     span = placed.groupBy("gid").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
-    left = entries.filter("k > 2").drop("k").join(span, "gid")  # of two groups, one was the hub
+    left = entries.filter("k > 2").drop("k").join(span, "gid")  # two classes have met in the hub round
     open_toks = left.groupBy("tok").agg(F.min("r1").alias("m1"), F.max("r2").alias("m2")).filter("m1 <> m2").select("tok")
     left = left.join(open_toks, "tok")
     x = left.select("tok", *[F.col(c).alias(f"{c}_x") for c in ("gid", "np", "r1", "r2")])
