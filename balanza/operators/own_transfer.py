@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from balanza.functions.ids import account_keys
 from balanza.functions.money import is_credit
@@ -69,42 +66,28 @@ def own_by_name_exact(mov: DataFrame, names: DataFrame, key: str = "mov_id") ->
     )
 
 
-def seq_ratio(left: Column, right: Column) -> Column:
-    """Matching-block similarity of two texts in [0, 1] (Ratcliff and Obershelp)."""
-
-    # Defined here so that it travels to the workers by value, without the package installed there.
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-    return F.pandas_udf(ratio, T.DoubleType())(left, right)
-
-
-def _count(text: Column, char: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, char, F.lit("")))
-
-
 def own_by_name_fuzzy(mov: DataFrame, names: DataFrame, key: str = "mov_id", threshold: float = 0.85) -> DataFrame:
     """Keys of movements with a run of words at least ``threshold`` similar to a holder name.
 
-    The similarity 2M/(n+m) counts M matched characters in order. With ratio >= t at most
-    n - tn/(2-t) characters of a name of length n stay unmatched and at most (1-t)(n+m) edits
-    separate the two, so of ``edits + 1`` equal parts of the name at least one is in the run
-    unchanged. Runs and names meet on such a part together with the number of words; the ratio
-    is then computed for the pairs whose lengths and characters allow it. Nothing is left out.
+    The similarity of two texts is 1 - edits / length of the longer one, edits as counted by
+    Levenshtein. A run similar to a name of n characters is then at most (1-t)/t n edits away, so of
+    that many parts and one more, at least one is in the run unchanged, no further from its place
+    than there are edits. Runs and names of as many words meet on such a part, and the edits are
+    counted for pairs whose lengths and places allow it. Nothing is left out.
     """
-    t = threshold
-    parts = names.select(
-        "job_id", "name", F.length("name").alias("_n"), F.size(F.split("name", " ")).alias("_words")
-    ).withColumn("_cuts", F.floor(F.lit((1 - t) * (1 + (2 - t) / t)) * F.col("_n")).cast("int") + 1)
-    piece = F.transform(
+    loss = 1 - threshold
+
+    def edits(size: Column) -> Column:
+        return F.floor(F.lit(loss) * size + 1e-9).cast("int")
+
+    sized = names.select("job_id", "name", F.length("name").alias("_n"), F.size(F.split("name", " ")).alias("_words"))
+    sized = sized.withColumn("_cuts", edits(F.col("_n") / F.lit(threshold)) + 1)
+    begin = lambda i: F.floor(i * F.col("_n") / F.col("_cuts")).cast("int")
+    pieces = F.transform(
         F.sequence(F.lit(0), F.col("_cuts") - 1),
-        lambda i: F.substr(
-            F.col("name"),
-            (F.floor(i * F.col("_n") / F.col("_cuts")) + 1).cast("int"),
-            (F.floor((i + 1) * F.col("_n") / F.col("_cuts")) - F.floor(i * F.col("_n") / F.col("_cuts"))).cast("int"),
-        ),
+        lambda i: F.struct(begin(i).alias("at"), F.substr(F.col("name"), begin(i) + 1, begin(i + 1) - begin(i)).alias("part")),
     )
-    right = parts.select("job_id", "name", "_n", "_words", F.explode(F.array_distinct(piece)).alias("_part"))
+    right = sized.select("job_id", "name", "_n", "_words", F.inline(pieces)).withColumnsRenamed({"at": "_at", "part": "_part"})
     # Per job the few word counts its names have, each with its part lengths and name lengths.
     shapes = right.groupBy("job_id", "_words").agg(
         F.collect_set(F.length("_part")).alias("_lens"), F.min("_n").alias("_short"), F.max("_n").alias("_long")
@@ -119,28 +102,21 @@ def own_by_name_fuzzy(mov: DataFrame, names: DataFrame, key: str = "mov_id", thr
     runs = shaped.select("job_id", key, "_text", "_letters", F.explode("_shapes").alias("_s")).select(
         "job_id", key, "_s", "_letters", F.explode(F.array_distinct(_windows(F.col("_text"), F.col("_s._words")))).alias("_run")
     )
-    span = F.length("_run")
-    # A similar run has at least t/(2-t) of its characters in the name, so in the names of the job.
+    m, longest = F.length("_run"), F.greatest(F.length("_run"), F.col("_s._long"))
+    # A character that no name of the job has is an edit.
     strange = F.length(F.expr("translate(_run, _letters, '')"))
-    runs = runs.filter(strange <= span * (1 - t / (2 - t)) + 1e-9)
-    runs = runs.filter((span >= F.col("_s._short") * (t / (2 - t)) - 1e-9) & (span <= F.col("_s._long") * ((2 - t) / t) + 1e-9)).select(
-        "job_id", key, F.col("_s._words").alias("_words"), F.col("_s._lens").alias("_lens"), "_run"
-    )
+    runs = runs.filter(
+        (strange <= edits(longest)) & (m >= F.col("_s._short") - edits(F.greatest(m, F.col("_s._short")))) & (m <= F.col("_s._long") + edits(longest))
+    ).select("job_id", key, F.col("_s._words").alias("_words"), F.col("_s._lens").alias("_lens"), "_run")
     distinct_runs = runs.groupBy("job_id", "_words", "_run").agg(F.first("_lens").alias("_lens"))
     grams = F.flatten(F.transform("_lens", lambda size: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("_run") - size + 1, F.lit(1))), lambda i: F.substr(F.col("_run"), i, size)
+        F.sequence(F.lit(0), F.greatest(F.length("_run") - size, F.lit(0))), lambda i: F.struct(i.alias("_from"), F.substr(F.col("_run"), i + 1, size).alias("_part"))
     )))
-    left = distinct_runs.select("job_id", "_words", "_run", F.explode(F.array_distinct(grams)).alias("_part"))
-    m = F.length("_run")
-    close = (2 * F.least(m, F.col("_n"))) >= F.lit(t) * (m + F.col("_n"))
-    pairs = left.join(right, ["job_id", "_words", "_part"]).filter(close).select("job_id", "_words", "_run", "name").distinct()
-    # No order of the characters can match more of them than the two texts have in common.
-    common = F.aggregate(
-        F.filter(F.array_distinct(F.split("name", "")), lambda c: c != ""), F.lit(0),
-        lambda acc, c: acc + F.least(_count(F.col("name"), c), _count(F.col("_run"), c)),
-    )
-    likely = pairs.filter(2 * common >= F.lit(t) * (m + F.length("name")) - 1e-9)
-    good = likely.filter(seq_ratio(F.col("name"), F.col("_run")) >= t).select("job_id", "_words", "_run").distinct()
+    left = distinct_runs.select("job_id", "_words", "_run", F.inline(grams))
+    allowed = edits(F.greatest(F.length("_run"), F.col("_n")))
+    near = (F.abs(F.length("_run") - F.col("_n")) <= allowed) & (F.abs(F.col("_from") - F.col("_at")) <= allowed)
+    pairs = left.join(right, ["job_id", "_words", "_part"]).filter(near).select("job_id", "_words", "_run", "name", allowed.alias("_allowed")).distinct()
+    good = pairs.filter(F.levenshtein("name", "_run") <= F.col("_allowed")).select("job_id", "_words", "_run").distinct()
     return runs.join(good, ["job_id", "_words", "_run"], "left_semi").select("job_id", key).distinct()
 
 

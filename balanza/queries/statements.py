@@ -220,7 +220,10 @@ def own_transfer_exact(spark, d):
     return O.own_by_name_exact(A.movements(spark, d), O.name_pool(_holders(spark, d)))
 
 
-@query("own_transfer_fuzzy")
+@query("own_transfer_fuzzy", with_ctes(TX, _HOLDERS) + """
+, w AS (SELECT job_id, mov_id, string_split(description, ' ') AS w FROM tx), runs AS (SELECT DISTINCT job_id, array_to_string(list_slice(w, i, i + 1), ' ') AS run FROM w, LATERAL (SELECT unnest(range(1, len(w))) AS i) u),
+hit AS (SELECT DISTINCT r.job_id, run FROM runs r JOIN names n ON r.job_id = n.job_id AND abs(len(run) - len(name)) * 100 <= 15 * greatest(len(run), len(name)) WHERE levenshtein(run, name) * 100 <= 15 * greatest(len(run), len(name)))
+SELECT DISTINCT w.job_id, w.mov_id FROM w, LATERAL (SELECT unnest(range(1, len(w.w))) AS i) u JOIN hit h ON h.job_id = w.job_id AND h.run = array_to_string(list_slice(w.w, u.i, u.i + 1), ' ')""")
 def own_transfer_fuzzy(spark, d):
     return O.own_by_name_fuzzy(A.movements(spark, d), O.name_pool(_holders(spark, d)))
 

@@ -1,7 +1,6 @@
 """Classification cases: keyword hits, routing, conflicts, totals, labels, transfers."""
 
 import random
-from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,7 +99,16 @@ def brute_own(text, name, fold):
         return True
     words, size = desc.split(), len(name.split())
     runs = [" ".join(words[i:i + size]) for i in range(len(words) - size + 1)]
-    return any(SequenceMatcher(None, name, r).ratio() >= 0.85 for r in runs)
+    return any(100 * edits(name, r) <= 15 * max(len(name), len(r)) for r in runs)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
 
 
 def test_own_transfer_names_equal_brute_force(spark):
