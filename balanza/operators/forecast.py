@@ -58,10 +58,12 @@ def forecast_linear(series: DataFrame, horizon: int = HORIZON) -> DataFrame:
     )
 
 
-_FORECAST_SCHEMA = T.StructType([
-    T.StructField("taxpayer", T.LongType()), T.StructField("metric", T.StringType()), T.StructField("model", T.StringType()),
-    T.StructField("step", T.IntegerType()), T.StructField("predicted", T.DoubleType()), T.StructField("std", T.DoubleType()),
-])
+def _forecast_schema(keys: T.StructType) -> T.StructType:
+    """Forecast rows for series with keys of these types."""
+    return T.StructType([
+        T.StructField("taxpayer", keys["taxpayer"].dataType), T.StructField("metric", keys["metric"].dataType), T.StructField("model", T.StringType()),
+        T.StructField("step", T.IntegerType()), T.StructField("predicted", T.DoubleType()), T.StructField("std", T.DoubleType()),
+    ])
 
 
 def smoothing_fit(season: int, phi: float, horizon: int):
@@ -99,14 +101,15 @@ def smoothing_fit(season: int, phi: float, horizon: int):
                     fresh[:, -1] += c[:, 0] * y[t]
                     year[t % season] = fresh
                 level, trend = new, moved
-            best = []
-            for i in range(g):
-                x, *_ = np.linalg.lstsq(-errors[:, i, :-1], errors[:, i, -1], rcond=None)
-                left = errors[:, i, -1] + errors[:, i, :-1] @ x
-                full = np.append(x, 1.0)
-                ends = [year[s, i] @ full for s in range(season)]
-                best.append((float(left @ left), level[i] @ full, trend[i] @ full, ends, left))
-            return best
+            # all grid points in one batched solve, of least norm where the starts are not determined
+            x = -errors[:, :, :-1].transpose(1, 0, 2)
+            target = errors[:, :, -1].T[:, :, None]
+            found = np.linalg.pinv(x, rcond=1e-12) @ target
+            left = (target - x @ found)[:, :, 0]
+            full = np.concatenate([found[:, :, 0], np.ones((g, 1))], axis=1)
+            ends = np.einsum("sgk,gk->gs", year, full)
+            at = int(np.argmin((left * left).sum(axis=1)))
+            return float(left[at] @ left[at]), level[at] @ full[at], trend[at] @ full[at], list(ends[at]), left[at], at
 
         def lattice(centre, width, points):
             axes = [np.unique(np.clip(np.linspace(m - width, m + width, points), 0.0, 1.0)) for m in centre]
@@ -115,17 +118,16 @@ def smoothing_fit(season: int, phi: float, horizon: int):
 
         dims = 3 if season else 2
         if weights is not None:
-            pick = run(np.array([weights], dtype=float))[0]
+            pick = run(np.array([weights], dtype=float))
         else:
             centre, width, pick = [0.5] * dims, 0.5, None
             for _ in range(6):
                 grid = lattice(centre, width, 5)
                 found = run(grid)
-                at = int(np.argmin([f[0] for f in found]))
-                if pick is None or found[at][0] <= pick[0]:
-                    pick, centre = found[at], list(grid[at])
+                if pick is None or found[0] <= pick[0]:
+                    pick, centre = found, list(grid[found[5]])
                 width /= 2.0
-        _, level, trend, ends, left = pick
+        _, level, trend, ends, left, _ = pick
         damp, out = 0.0, []
         for h in range(1, horizon + 1):
             damp += phi**h
@@ -146,8 +148,8 @@ def _smoothed(series: DataFrame, model: str, season: int, phi: float, min_months
             "step": np.arange(1, horizon + 1, dtype="int32"), "predicted": predicted, "std": std,
         })
 
-    rows = _indexed(series).filter(F.col("_n") >= min_months).select(F.col("taxpayer").cast("bigint").alias("taxpayer"), "metric", "month", "_y")
-    return rows.groupBy(*KEYS).applyInPandas(per_series, _FORECAST_SCHEMA)
+    rows = _indexed(series).filter(F.col("_n") >= min_months).select(*KEYS, "month", "_y")
+    return rows.groupBy(*KEYS).applyInPandas(per_series, _forecast_schema(series.schema))
 
 
 def forecast_damped(series: DataFrame, horizon: int = HORIZON) -> DataFrame:
@@ -210,11 +212,7 @@ def forecast_all(series: DataFrame, horizon: int = HORIZON) -> DataFrame:
     from balanza.operators.series import sync_series
 
     ready = sync_series(series, "revenue", "inflow").unionByName(sync_series(series, "expenditure", "outflow"))
-    predicted = forecast_linear(ready, horizon).unionByName(
-        forecast_damped(ready, horizon).withColumn("taxpayer", F.col("taxpayer").cast(ready.schema["taxpayer"].dataType))
-    ).unionByName(
-        forecast_seasonal(ready, horizon).withColumn("taxpayer", F.col("taxpayer").cast(ready.schema["taxpayer"].dataType))
-    )
+    predicted = forecast_linear(ready, horizon).unionByName(forecast_damped(ready, horizon)).unionByName(forecast_seasonal(ready, horizon))
     points = scenarios(predicted, series_facts(ready))
     return points.withColumn("value", F.round("value", 2)).unionByName(derive_nfcf(points).select(points.columns))
 

@@ -46,16 +46,24 @@ def _movements(spark, d):
     )
 
 
-@query("stream_totals", "WITH " + _CLASS + """
-SELECT date_trunc('day', ts)::DATE::VARCHAR AS day, user_id % 20 AS doc_id, category, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS n FROM k GROUP BY ALL""")
+# A stream gives out what its watermark has closed: windows that ended an hour before the newest event.
+_CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+@query("stream_totals", "WITH " + _CLASS + f"""
+SELECT date_trunc('day', ts)::DATE::VARCHAR AS day, user_id % 20 AS doc_id, category, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS n FROM k
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {_CLOSED} GROUP BY ALL""")
 def stream_totals(spark, d):
-    out = run.replay(spark, totals.stream_totals(_movements(spark, d), RULES), "totals", "complete")
+    out = run.replay(spark, totals.stream_totals(_movements(spark, d), RULES), "totals")
     return out.select(F.to_date("start").alias("day"), "doc_id", "category", "total", "n")
 
 
-@query("stream_totals_sliding")
+@query("stream_totals_sliding", "WITH " + _CLASS + f"""
+, w AS (SELECT *, date_trunc('day', ts)::TIMESTAMP - INTERVAL 1 DAY * b AS s FROM k, (SELECT unnest([0, 1]) AS b))
+SELECT CAST(s AS VARCHAR) AS start, CAST(s + INTERVAL 2 DAY AS VARCHAR) AS end, user_id % 20 AS doc_id, category, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS n FROM w
+WHERE s + INTERVAL 2 DAY <= {_CLOSED} GROUP BY ALL""")
 def stream_totals_sliding(spark, d):
-    out = run.replay(spark, totals.stream_totals(_movements(spark, d), RULES, "2 days", "1 day"), "sliding", "append")
+    out = run.replay(spark, totals.stream_totals(_movements(spark, d), RULES, "2 days", "1 day"), "sliding")
     return out.select(F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "doc_id", "category", "total", "n")
 
 
@@ -73,7 +81,12 @@ def stream_balance(spark, d):
     return run.replay(spark, balance.stream_balance(mov), "balance")
 
 
-@query("stream_sessions")
+@query("stream_sessions", """
+WITH e AS (SELECT user_id % 10 AS job_id, ts::TIMESTAMP AS ts, event_id % 5 AS back FROM events),
+g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY job_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+c AS (SELECT job_id, min(ts) AS s, max(ts) + INTERVAL 30 MINUTE AS e, count(*) AS files, bool_or(back = 1) AS m1, bool_or(back = 2) AS m2, bool_or(back = 3) AS m3, bool_or(back = 4) AS m4 FROM s GROUP BY job_id, k)
+SELECT job_id, CAST(s AS VARCHAR) AS start, CAST(e AS VARCHAR) AS end, files, (m1 AND m2 AND m3) OR (m2 AND m3 AND m4) AS complete FROM c WHERE e <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def stream_sessions(spark, d):
     files = events(spark, d).select(
         "ts", (F.col("user_id") % 10).alias("job_id"),

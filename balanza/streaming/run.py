@@ -9,19 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from balanza.session import checkpoint_root
 
 
-def replay(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Processes all available input once and returns what was written.
+def replay(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """Processes all available input once, in append mode, and returns what was written.
+
+    Windows and sessions that the watermark has not closed by then stay in the state, for the next run.
 
     Output and progress live in the shared folder, so lost executors do not lose them.
     """
     root = f"{checkpoint_root(spark)}/streams/{name}-{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", f"{root}/out").start()
-    else:
-        def store(batch: DataFrame, _epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{root}/out")
-
-        query = writer.foreachBatch(store).start()
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True)
+    query = writer.format("parquet").option("path", f"{root}/out").start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
