@@ -225,7 +225,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.count(F.lit(1)).alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item"))), 256).alias("items_sha256")
     )
     zero = F.lit(0).cast("long")
-    out = base.join(n_hit.join(names, "key"), "key", "left").select(
+    marks = cut(n_hit.join(names, "key"))  # a table of its own, so that a key with many copies can be split in the join
+    out = base.join(marks, "key", "left").select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
     )
