@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from balanza.functions.ids import digits
 from balanza.operators.ordered import attach_group
+from balanza.session import cut
 
 # Words that say nothing about a movement, and the shortest word that counts.
 IGNORED_WORDS = (
@@ -113,6 +114,38 @@ def match_fragment_sums(fragments: DataFrame, parents: DataFrame, unit: float =
     )
 
 
+def apply_fragments(rows: DataFrame, order: str = "mov_id", unit: float = 0.01) -> DataFrame:
+    """The rows without the children that a parent repeats, whose texts the parents have taken up.
+
+    ``rows`` has doc_id, mov_id, posted, amount, description, role and ``fragment``. Fragments that sum up to
+    one parent go first, behind DESGLOSE; the other children are matched one by one among what is left.
+    Texts follow the order of their groups and rows.
+    """
+    child, flat = F.col("role") == "child", F.trim(F.replace("description", F.lit("\n"), F.lit(" ")))
+    pieces = rows.filter(child & F.col("fragment"))
+    sums = match_fragment_sums(pieces.select("doc_id", "posted", "description", "amount", F.col(order).alias("mov_id")),
+                               rows.filter("role = 'parent'").select("doc_id", "posted", "amount", F.col(order).alias("mov_id")), unit)
+    sums = cut(sums.select("doc_id", "parent", "ref", "child"))
+    rest = rows.join(sums.select("doc_id", F.col("child").alias(order)), ["doc_id", order], "left_anti")
+    single = cut(match_fragments(rest, order).select("doc_id", "parent", "child"))
+    texts = rows.filter(child).select("doc_id", F.col(order).alias("child"), flat.alias("_flat"), F.col("description").alias("_text"))
+
+    def joined(kind: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("child", kind))), lambda p: p[kind]), " | ")
+
+    parts = sums.join(texts, ["doc_id", "child"]).groupBy("doc_id", "parent", "ref").agg(joined("_flat").alias("_t"))
+    parts = parts.groupBy("doc_id", "parent").agg(F.array_sort(F.collect_list(F.struct("ref", "_t"))).alias("_p")).select(
+        "doc_id", F.col("parent").alias(order), F.array_join(F.transform("_p", lambda p: F.concat(F.lit(" | DESGLOSE: "), p["_t"])), "").alias("_parts")
+    )
+    ones = single.join(texts, ["doc_id", "child"]).groupBy("doc_id", "parent").agg(joined("_text").alias("_t")).select(
+        "doc_id", F.col("parent").alias(order), F.concat(F.lit(" | "), "_t").alias("_ones")
+    )
+    left = rest.join(single.select("doc_id", F.col("child").alias(order)), ["doc_id", order], "left_anti")
+    full = left.join(parts, ["doc_id", order], "left").join(ones, ["doc_id", order], "left")
+    text = F.concat("description", F.coalesce("_parts", F.lit("")), F.coalesce("_ones", F.lit("")))
+    return full.withColumn("description", text).select(*rows.columns)
+
+
 # Words that mark a main-section row as a transfer, and one more word without meaning.
 TRANSFER_WORDS = ("SPEI", "SPEL", "TRASPASO", "TRANSF", "TRANSFERENCIA", "PAGO", "NETNM", "SOBRANTE")
 SCAN_IGNORED_WORDS = IGNORED_WORDS + ("banco",)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from balanza.functions.plan import settle
-from balanza.operators import layout as L
+from balanza.operators import dedup, layout as L
 from balanza.session import cut
 
 PAGE = list(L.PAGE)
@@ -54,4 +54,11 @@ def extract_movements(words: DataFrame, pages: DataFrame, bank: str = "") -> Dat
         out = described.withColumn("y", at).join(zoned, [*PAGE, "y"], "left")
     one_column = F.col("zones.cargo.lo") >= 9999
     kind = L.final_kind(F.col("kind"), F.col("mode"), F.col("was_single"), F.col("signed"), one_column)
-    return out.select(*PAGE, "row_y", "row_no", F.col("date_text").alias("posted"), "description", "amount", kind.alias("kind"), "mode")
+    rows = out.select(*PAGE, "row_y", "row_no", F.col("date_text").alias("posted"), "description", "amount", kind.alias("kind"), "mode", "was_single", "signed", one_column.alias("_one"))
+    # an unsigned amount of a shared column, or of a transfer or credit zone, may repeat a movement
+    loose = F.col("was_single") & ~F.col("signed") & (~F.col("_one") | F.col("mode").isNotNull())
+    place = F.struct("page", "row_y", "row_no")
+    roles = cut(rows.withColumns({
+        "mov_id": place, "role": F.when(loose, "child").otherwise("parent"), "fragment": loose & F.coalesce(F.col("mode") == "DETALLE_CREDITO", F.lit(False)),
+    }))
+    return dedup.apply_fragments(roles).select(*PAGE, "row_y", "row_no", "posted", "description", "amount", "kind", "mode")

@@ -512,6 +512,34 @@ def merge_fragments(spark, d):
     return dedup.match_fragment_sums(frag, parent, unit=2000).select("doc_id", "parent", "ref", "child", "fragments")
 
 
+_APPLY = """base AS (SELECT doc_id, mov_id, date_trunc('month', posted) AS posted, round(amount / 1000) AS amount, line_no >= 4 AS fragment,
+ CASE WHEN line_no >= 4 THEN concat('ref ', lpad(CAST(order_key AS VARCHAR), 8, '0')) ELSE description END AS description,
+ CASE WHEN line_no = 1 THEN 'parent' ELSE 'child' END AS role FROM tx),
+grp AS (SELECT doc_id, posted, description AS ref, sum(amount) AS total FROM base WHERE fragment GROUP BY ALL HAVING count(*) > 1),
+par AS (SELECT doc_id, posted, amount, min(mov_id) AS parent FROM base WHERE role = 'parent' GROUP BY ALL HAVING count(*) = 1),
+summed AS (SELECT b.doc_id, b.mov_id AS child, p.parent, g.ref FROM grp g JOIN par p ON g.doc_id = p.doc_id AND g.posted = p.posted AND g.total = p.amount JOIN base b ON b.fragment AND b.doc_id = g.doc_id AND b.posted = g.posted AND b.description = g.ref),
+kw AS (SELECT *, list_filter(string_split(description, ' '), lambda x: len(x) > 2) AS kw FROM base),
+rest AS (SELECT * FROM kw WHERE mov_id NOT IN (SELECT child FROM summed)),
+near AS (SELECT c.doc_id, c.mov_id AS child, p.mov_id AS parent, p.posted = c.posted AS same_day, len(list_intersect(p.kw, c.kw)) > 0 AS shared, count(*) FILTER (p.posted = c.posted) OVER (PARTITION BY c.mov_id) AS n
+ FROM rest c JOIN rest p ON c.role = 'child' AND p.role = 'parent' AND c.doc_id = p.doc_id AND c.amount = p.amount),
+single AS (SELECT doc_id, child, parent FROM (SELECT *, row_number() OVER (PARTITION BY child ORDER BY parent) AS rn FROM near WHERE (n = 1 AND same_day) OR (n > 1 AND same_day AND shared) OR (n = 0 AND shared)) WHERE rn = 1),
+t1 AS (SELECT doc_id, parent, string_agg(t, '' ORDER BY ref) AS t FROM (SELECT s.doc_id, s.parent, s.ref, concat(' | DESGLOSE: ', string_agg(b.description, ' | ' ORDER BY s.child)) AS t FROM summed s JOIN base b ON b.mov_id = s.child GROUP BY ALL) GROUP BY ALL),
+t2 AS (SELECT s.doc_id, s.parent, concat(' | ', string_agg(b.description, ' | ' ORDER BY s.child)) AS t FROM single s JOIN base b ON b.mov_id = s.child GROUP BY ALL)"""
+
+
+@query("merge_apply", with_ctes(TX, _APPLY) + """
+SELECT b.doc_id, b.mov_id, b.role, concat(b.description, coalesce(t1.t, ''), coalesce(t2.t, '')) AS description FROM base b LEFT JOIN t1 ON t1.doc_id = b.doc_id AND t1.parent = b.mov_id LEFT JOIN t2 ON t2.doc_id = b.doc_id AND t2.parent = b.mov_id
+WHERE b.mov_id NOT IN (SELECT child FROM summed) AND b.mov_id NOT IN (SELECT child FROM single)""")
+def merge_apply(spark, d):
+    line = F.col("line_no")
+    rows = A.movements(spark, d).select(
+        "doc_id", "mov_id", F.trunc("posted", "month").alias("posted"), F.round(F.col("amount") / 1000).cast("decimal(18,2)").alias("amount"), (line >= 4).alias("fragment"),
+        F.when(line >= 4, F.concat(F.lit("ref "), F.lpad(F.col("order_key").cast("string"), 8, "0"))).otherwise(F.col("description")).alias("description"),
+        F.when(line == 1, "parent").otherwise("child").alias("role"),
+    )
+    return dedup.apply_fragments(rows).select("doc_id", "mov_id", "role", "description")
+
+
 @query("valid_account", with_ctes(TX, COVER) + """
 , acc AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'bba830831lj2' WHEN 1 THEN 'ABC010101AB1' WHEN 2 THEN 'ABC01' ELSE 'XYZ020202XY2' END AS rfc,
  CASE doc_id % 3 WHEN 0 THEN lpad(CAST(doc_id AS VARCHAR), 18, '0') WHEN 1 THEN lpad(CAST(doc_id AS VARCHAR), 15, '0') ELSE '' END AS clabe,
