@@ -233,9 +233,11 @@ def label_rows(data: np.ndarray, at: np.ndarray, model: Model) -> tuple[list[str
     n = len(model.langs)
     votes = np.bincount(row * n + best, weights=weight, minlength=(len(first) - 1) * n).reshape(-1, n)
     letters = np.bincount(row, weights=np.where(kinds > 0, ends - starts, 0), minlength=len(first) - 1)
+    sums = np.concatenate([[0], np.cumsum(_LETTER[data])])
+    plain = sums[at[1:]] > sums[at[:-1]]  # has an ASCII letter
     langs, shares = [], []
     for r in range(len(first) - 1):
-        if letters[r] == 0 and not any(map(str.isalpha, data[at[r] : at[r + 1]].tobytes().decode("utf-8", "replace"))):
+        if not plain[r] and not any(map(str.isalpha, data[at[r] : at[r + 1]].tobytes().decode("utf-8", "replace"))):
             langs.append(UNDETERMINED), shares.append(0.0)
             continue
         top = int(votes[r].argmax())
@@ -248,7 +250,7 @@ def _detect(shared, spans: bool, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for rows in W.slices(batch, "text", 1 << 22):
+            for rows in W.slices(batch, "text"):
                 data, at = W.strings(rows.column("text"))
                 if not model.langs:
                     langs, shares, best, first = [UNDETERMINED] * rows.num_rows, [0.0] * rows.num_rows, np.zeros(0, np.int16), np.zeros(rows.num_rows + 1, np.int64)

@@ -47,12 +47,25 @@ def group_id(prefix: np.ndarray, n: int) -> int:
 def _tally(n: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, dtype=np.uint32)
-        seen = False
+        held, size, seen = [], 0, False
+
+        def add() -> None:
+            nonlocal held, size
+            cells = np.sort((np.concatenate(held) >> np.uint64(64 - bits)).astype(np.uint32))
+            edge = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+            counts[cells[edge]] += np.diff(np.append(edge, len(cells))).astype(np.uint32)
+            held, size = [], 0
+
         for batch in batches:
             for part in W.slices(batch, "text"):
                 seen = True
-                grams = np.concatenate(list(W.gram_sets(*W.strings(part.column("text")), n)))
-                counts += np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                for grams in W.gram_sets(*W.strings(part.column("text")), n):
+                    held.append(grams)
+                    size += len(grams)
+                if size >= 1 << 20:
+                    add()
+        if size:
+            add()
         if seen:
             parts = np.split(counts, SEGMENTS)
             yield pa.RecordBatch.from_pydict(

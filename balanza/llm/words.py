@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 21
-SLICE = 1 << 23
+PIECE = 1 << 19
+SLICE = 1 << 21
 _R = 0x9E3779B97F4A7C15 | 1
 _RINV = pow(_R, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
