@@ -237,6 +237,17 @@ def viability_score(spark, d):
     return screening.score_documents(rows).select("doc_id", "score", "viable", "needs_vision")
 
 
+@query("certificate_regimes", """
+SELECT doc_id, 'Régimen de Sueldos' AS regime, '01/02/2019' AS start, NULL::VARCHAR AS end FROM documents WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, 'Régimen General de Ley', '03/04/2018', '05/06/2020' FROM documents WHERE doc_id % 3 = 1""")
+def certificate_regimes(spark, d):
+    doc = F.col("doc_id")
+    person = "\ncurp: x\n Régimen de Sueldos 01/02/2019\n Regimen 123 01/02/2019\n"
+    company = "\nrazón social: y\nver Régimen General de Ley 03/04/2018 05/06/2020\n"
+    tail = F.when(doc % 3 == 0, person).when(doc % 3 == 1, company).otherwise("")
+    return screening.certificate_regimes(docs(spark, d).select("doc_id", F.concat("text", tail).alias("text")))
+
+
 @query("clean_for_export", "SELECT doc_id, trim(regexp_replace(replace(concat(text, chr(7)), chr(7), ''), '\\s+', ' ', 'g')) AS clean FROM documents")
 def clean_for_export(spark, d):
     return docs(spark, d).select("doc_id", X.clean_for_export(F.concat("text", F.lit("\x07"))).alias("clean"))

@@ -540,6 +540,35 @@ def merge_apply(spark, d):
     return dedup.apply_fragments(rows).select("doc_id", "mov_id", "role", "description")
 
 
+_TRANSFERS = """base AS (SELECT doc_id, mov_id, strftime(posted, '%d') AS day, round(amount / 1000) AS amount, list_filter(string_split(description, ' '), lambda x: len(x) > 2) AS kw,
+ CASE WHEN line_no = 1 AND order_key % 2 = 0 THEN 'parent' WHEN line_no IN (2, 3) THEN 'child' ELSE 'other' END AS role FROM tx),
+near AS (SELECT c.doc_id, c.mov_id AS child, p.mov_id AS parent, len(list_intersect(p.kw, c.kw)) > 0 AS shared, count(*) OVER (PARTITION BY c.mov_id) AS n
+ FROM base c JOIN base p ON c.role = 'child' AND p.role = 'parent' AND c.doc_id = p.doc_id AND c.amount = p.amount AND c.day = p.day)"""
+
+
+@query("transfer_details", with_ctes(TX, _TRANSFERS) + """
+SELECT doc_id, child, min(parent) AS parent, n = 1 AS only_candidate FROM near WHERE n = 1 OR shared GROUP BY doc_id, child, n""")
+def transfer_details(spark, d):
+    line = F.col("line_no")
+    section = F.when(line == 2, "SPEI_RECIBIDOS").when(line == 3, "SPEI_ENVIADOS").otherwise("PRINCIPAL")
+    rows = A.movements(spark, d).select(
+        "doc_id", "mov_id", F.date_format("posted", "dd MMM").alias("date_text"), F.round(F.col("amount") / 1000).cast("decimal(18,2)").alias("amount"),
+        F.when((line == 1) & (F.col("order_key") % 2 == 0), F.concat(F.lit("SPEI "), "description")).otherwise(F.col("description")).alias("description"), section.alias("section"),
+    )
+    return dedup.match_transfer_details(rows).select("doc_id", "child", "parent", "only_candidate")
+
+
+@query("kapital_sums", with_ctes(TX, COVER) + """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id * 3 + 1.5 ELSE deposits END::DOUBLE AS deposits, CASE WHEN doc_id % 3 = 0 THEN doc_id * 8 + 0.25 ELSE charges END::DOUBLE AS charges FROM cover""")
+def kapital_sums(spark, d):
+    doc, none = F.col("doc_id").cast("double"), F.lit(None).cast("double")
+    parts = {name: none for name in (*reconcile.KAPITAL_DEPOSITS, *reconcile.KAPITAL_CHARGES)}
+    parts |= {"dep_efectivo": doc, "transf_recibidas": doc * 2, "movimientos_mes_abonos": F.lit(1.5), "ret_isr": doc * 7, "amort_prestamos": doc, "movimientos_mes_cargos": F.lit(0.25)}
+    cov = A.covers(A.movements(spark, d)).select("doc_id", F.col("deposits").cast("double").alias("deposits"), F.col("charges").cast("double").alias("charges"),
+                                                 F.when(F.col("doc_id") % 3 == 0, "Kapital").otherwise("bbva").alias("bank"))
+    return reconcile.kapital_sums(cov.withColumns(parts)).select("doc_id", "deposits", "charges")
+
+
 @query("valid_account", with_ctes(TX, COVER) + """
 , acc AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'bba830831lj2' WHEN 1 THEN 'ABC010101AB1' WHEN 2 THEN 'ABC01' ELSE 'XYZ020202XY2' END AS rfc,
  CASE doc_id % 3 WHEN 0 THEN lpad(CAST(doc_id AS VARCHAR), 18, '0') WHEN 1 THEN lpad(CAST(doc_id AS VARCHAR), 15, '0') ELSE '' END AS clabe,
