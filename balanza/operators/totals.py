@@ -37,17 +37,18 @@ def _category_sums(fold_mixed: bool = False) -> list[Column]:
     ]
 
 
-def fee_rollup(totals: DataFrame, covers: DataFrame, on="doc_id", fees: str = "fees") -> DataFrame:
+def fee_columns(fees: Column) -> dict[str, Column]:
     """Fee total over card types, and card sales net of the declared fees."""
-    declared = covers.select(on, F.coalesce(F.col(fees), F.lit(0).cast("decimal(18,2)")).alias("_fees"))
-    return (
-        totals.join(declared, on, "left")
-        .withColumns({
-            "fees_total": F.col("comision_cr") + F.col("comision_db") + F.col("comision_amex") + F.col("comision_tpv_mixta"),
-            "tpv_net": F.col("tpv") - F.coalesce("_fees", F.lit(0).cast("decimal(18,2)")),
-        })
-        .drop("_fees")
-    )
+    return {
+        "fees_total": F.col("comision_cr") + F.col("comision_db") + F.col("comision_amex") + F.col("comision_tpv_mixta"),
+        "tpv_net": F.col("tpv") - F.coalesce(fees, F.lit(0).cast("decimal(18,2)")),
+    }
+
+
+def fee_rollup(totals: DataFrame, covers: DataFrame, on="doc_id", fees: str = "fees") -> DataFrame:
+    """Adds ``fee_columns`` with the fees that the covers declare."""
+    declared = covers.select(on, F.col(fees).alias("_fees"))
+    return totals.join(declared, on, "left").withColumns(fee_columns(F.col("_fees"))).drop("_fees")
 
 
 def _similarity(read: Column, declared: Column) -> Column:
@@ -78,11 +79,12 @@ def statement_sums(mov: DataFrame, by=("doc_id",)) -> DataFrame:
     return mov.groupBy(*by).agg(*_category_sums(), *_read_sums())
 
 
-def extraction_quality(sums: DataFrame, covers: DataFrame, on="doc_id") -> DataFrame:
-    """Confidence (mean of the two similarities) and absolute gaps against the declared sums."""
+def extraction_quality(sums: DataFrame, covers: DataFrame, on="doc_id", keep=()) -> DataFrame:
+    """Confidence (mean of the two similarities) and absolute gaps against the declared sums; ``keep``
+    names more columns of the covers to carry along."""
     zero = F.lit(0).cast("decimal(18,2)")
     declared = covers.select(
-        on, F.coalesce("deposits", zero).alias("deposits"), F.coalesce("charges", zero).alias("charges")
+        on, F.coalesce("deposits", zero).alias("deposits"), F.coalesce("charges", zero).alias("charges"), *keep
     )
     return sums.join(declared, on, "left").withColumns({
         "deposits": F.coalesce("deposits", zero),
@@ -106,7 +108,8 @@ def page_metrics(mov: DataFrame, layouts: DataFrame, ranges: DataFrame) -> DataF
     """Per page inside its account range: movements, score 1.0 for an own header and 0.5 for an
     inherited one, alert text, and mean time per page of the account."""
     per_page = mov.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("movements"))
-    inside = layouts.join(ranges, "doc_id").filter(F.col("page").between(F.col("first_page"), F.col("last_page")))
+    paged = ranges.withColumn("page", F.explode(F.sequence("first_page", "last_page")))
+    inside = layouts.join(paged.withColumn("page", F.col("page").cast(layouts.schema["page"].dataType)), ["doc_id", "page"])
     return inside.join(per_page, ["doc_id", "page"], "left").select(
         "doc_id", "page",
         F.coalesce("movements", F.lit(0)).alias("movements"),

@@ -11,11 +11,11 @@ from balanza.rules.tags import TAG_RULES
 def summarize(mov: DataFrame, covers: DataFrame, rules=TAG_RULES) -> DataFrame:
     """One row per statement: totals by category, fee roll-up, confidence and gaps.
 
-    Totals and quality sums share one grouped pass over the movements.
+    Totals and quality sums share one grouped pass over the movements, and meet the covers once.
     """
     rows = classify.classify(mov, rules)
-    measured = totals.extraction_quality(totals.statement_sums(rows), covers)
-    out = totals.fee_rollup(measured, covers)
+    out = totals.extraction_quality(totals.statement_sums(rows), covers, keep=("fees",))
+    out = out.withColumns(totals.fee_columns(F.col("fees"))).drop("fees")
     return out.withColumn("categorized_pct", F.round("categorized_pct", 4)).drop(
         "credits_read", "charges_read", "deposits", "charges"
     )

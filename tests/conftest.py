@@ -9,10 +9,12 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from balanza.session import local_session
 
-    return local_session(8, "tests", "4g")
+    session = local_session(8, "tests", "4g")
+    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    return session
 
 
 @pytest.fixture(scope="session")
