@@ -277,11 +277,13 @@ def product_timeline(spark, d):
 
 
 @query("resolve_name", with_ctes(INV) + """
-, n AS (SELECT taxpayer, CASE status WHEN 'paid' THEN 1 WHEN 'open' THEN 2 ELSE 3 END AS p, name FROM inv WHERE taxpayer % 4 <> 0 AND NOT (taxpayer % 2 = 0 AND status = 'paid') UNION ALL SELECT n_nationkey, 9, '' FROM nation)
+, n AS (SELECT taxpayer, CASE status WHEN 'paid' THEN 1 WHEN 'open' THEN 2 ELSE 3 END AS p, CASE WHEN taxpayer % 4 <> 0 AND NOT (taxpayer % 2 = 0 AND status = 'paid') THEN name ELSE '' END AS name FROM inv UNION ALL SELECT n_nationkey, 9, '' FROM nation)
 SELECT n_nationkey AS taxpayer, coalesce((SELECT arg_min(name, concat(p, name)) FROM n WHERE n.taxpayer = n_nationkey AND name <> ''), n_nationkey::VARCHAR) AS name FROM nation""")
 def resolve_name(spark, d):
     spine = A.table(spark, d, "nation").select(F.col("n_nationkey").alias("taxpayer"))
-    rows = inv(spark, d).filter((F.col("taxpayer") % 4 != 0) & ~((F.col("taxpayer") % 2 == 0) & (F.col("status") == "paid")))
+    # some feeds have no name
+    named = (F.col("taxpayer") % 4 != 0) & ~((F.col("taxpayer") % 2 == 0) & (F.col("status") == "paid"))
+    rows = inv(spark, d).withColumn("name", F.when(named, F.col("name")).otherwise(""))
     names = rows.select("taxpayer", F.when(F.col("status") == "paid", 1).when(F.col("status") == "open", 2).otherwise(3).alias("priority"), "name")
     return risk.resolve_name(spine, names.unionByName(spine.select("taxpayer", F.lit(9).alias("priority"), F.lit("").alias("name"))))
 

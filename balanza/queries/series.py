@@ -214,13 +214,12 @@ def scenario_matrix(spark, d):
 
 
 @query("headcount_trend", with_ctes(INV) + """
-, c AS (SELECT taxpayer, date_trunc('month', issued)::DATE AS month, count(*) AS total FROM inv WHERE taxpayer > 2 OR issued > DATE '2001-01-01' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY taxpayer ORDER BY month DESC) - 1 AS back FROM c),
+, c AS (SELECT taxpayer, date_trunc('month', issued)::DATE AS month, count(*) AS total FROM inv GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY taxpayer ORDER BY month DESC) - 1 AS back FROM c),
 v AS (SELECT taxpayer, CASE back WHEN 0 THEN 1 WHEN 2 THEN 3 WHEN 5 THEN 6 WHEN 8 THEN 9 WHEN 11 THEN 12 WHEN 23 THEN 24 END AS months_back, total FROM r WHERE back IN (0, 2, 5, 8, 11, 23)),
 n AS (SELECT a.taxpayer, a.months_back, a.total, b.total AS older FROM v a LEFT JOIN v b ON a.taxpayer = b.taxpayer AND b.months_back = CASE a.months_back WHEN 1 THEN 3 WHEN 3 THEN 6 WHEN 6 THEN 9 WHEN 9 THEN 12 WHEN 12 THEN 24 END)
 SELECT taxpayer, months_back, total, coalesce(total - older, 0) AS difference, CASE WHEN older IS NULL THEN 'Sin datos previos' WHEN total > older THEN 'Aumentó' WHEN total < older THEN 'Disminuyó' ELSE 'Constante' END AS trend FROM n""")
 def headcount_trend(spark, d):
-    inv = A.invoices(spark, d).filter((F.col("taxpayer") > 2) | (F.col("issued") > "2001-01-01"))
-    return S.headcount_trend(inv.groupBy("taxpayer", F.trunc("issued", "month").alias("month")).agg(F.count(F.lit(1)).alias("total")))
+    return S.headcount_trend(A.invoices(spark, d).groupBy("taxpayer", F.trunc("issued", "month").alias("month")).agg(F.count(F.lit(1)).alias("total")))
 
 
 @query("receivables_cumulative", with_ctes(INV) + """
