@@ -169,3 +169,18 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     windows = cut(format_windows(turns.unionByName(own), public_tokenizers.path("byte_bpe_50k.json"), budget=1024, history=2))
     return conversation_digests(windows).withColumnRenamed("conv", "conv_id")
+
+
+ORACLE["op3_ngram_jaccard_join"] = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(list_slice(w, i, i + 2), ' ') FOR i IN range(1, len(w) - 1)] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+edge AS (SELECT a AS s, b AS t FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM w UNION SELECT edge.t, reach.r FROM reach JOIN edge ON edge.s = reach.doc_id)
+SELECT reach.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n ON n.doc_id = reach.doc_id GROUP BY reach.doc_id
+"""
