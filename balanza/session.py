@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,11 +52,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own_root()
     return root
 
 
+@lru_cache(maxsize=1)
+def _own_root() -> str:
+    """One folder for this process; the setting itself can't be changed in a running session."""
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def cut(df: DataFrame, compression: str | None = None) -> DataFrame:
     """The frame written to the shared checkpoint folder and read back.
 

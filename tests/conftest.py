@@ -9,12 +9,10 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from balanza.session import local_session
 
-    session = local_session(8, "tests", "4g")
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-    return session
+    return local_session(8, "tests", "4g")
 
 
 @pytest.fixture(scope="session")
