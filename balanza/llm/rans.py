@@ -63,7 +63,7 @@ def encode(index: np.ndarray, table: Table, block: int = BLOCK, lanes: int = LAN
         return []
     blocks = -(-n // block)
     steps = -(-min(n, block) // lanes)
-    grid = np.zeros((blocks, -(-block // lanes) * lanes if blocks > 1 else steps * lanes), dtype=np.int64)
+    grid = np.zeros((blocks, -(-block // lanes) * lanes if blocks > 1 else steps * lanes), dtype=np.int32)
     flat = grid.shape[1]
     for b in range(blocks):
         part = index[b * block : (b + 1) * block]

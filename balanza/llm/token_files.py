@@ -28,7 +28,7 @@ from balanza.llm.files import attempt, new_folder, one_task_each, open_folder, r
 from balanza.session import cut
 
 MAGIC = b"RANSTOK1"
-FILE_TOKENS = 1 << 22
+FILE_TOKENS = 1 << 21
 CHECKPOINT = np.dtype([("offset", "<u8"), ("first", "<u8"), ("n", "<u4"), ("crc", "<u4")])
 
 # Byte classes for cutting texts into pieces that encode alone: 0 white space, 1 ASCII letters, 2 ASCII
@@ -215,6 +215,7 @@ def _write(folder: str, tokenizer: str, end_id: int, file_tokens: int):
             })
             held, names, sizes, crcs, count = [], [], [], [], 0
             serial += 1
+            W.release()
             return row
 
         for batch in batches:
@@ -279,6 +280,8 @@ def _read(with_ids: bool):
                 if with_ids:
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield from pa.Table.from_pydict(columns).to_batches(max_chunksize=10_000)
+                del file, ids, raw
+                W.release()
 
     return run
 

@@ -7,6 +7,7 @@ for the whole buffer. Work arrays are bounded by ``PIECE`` bytes of text, except
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ SLICE = 1 << 21
 _R = 0x9E3779B97F4A7C15 | 1
 _RINV = pow(_R, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
+_libc = ctypes.CDLL(None)
 
 
 def byte_class(delimiters: bytes) -> np.ndarray:
@@ -71,6 +73,14 @@ def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def release() -> None:
+    """Gives freed memory back to the system, so that idle workers don't hold what a task has used."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The rows in order, in slices of at most ``limit`` text bytes, or one row."""
     if not batch.num_rows:
@@ -82,6 +92,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Iterator[p
         end = min(max(end, begin + 1), batch.num_rows)
         yield batch.slice(begin, end - begin)
         begin = end
+    release()
 
 
 def word_bounds(data: np.ndarray, at: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
