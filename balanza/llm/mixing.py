@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from balanza.session import cut
 
 WEIGHTS = (5.0, 2.0, 1.0)
-BLOCK_WORDS = 16
+BLOCK_WORDS = 4
 #: A shard holds about so many words; a source has at most MAX_SHARDS, then larger ones.
 SHARD_WORDS = 1 << 17
 MAX_SHARDS = 4096
