@@ -3,8 +3,8 @@
 Markup is stripped to lines, one for each block element, and a line weighs the characters it has outside links.
 Menus, notices and other named boilerplate become blank lines. The weights are summed over windows of WIDTH
 lines: text begins where the sum surges over a threshold and ends where it dives to nothing. Lines between
-are kept, short ones and links among them too. Inside an article or main element the ends are the
-element's own, so the threshold is nothing.
+are kept, short ones and links among them too. This runs over all lines of every page. An article or main element
+whose text reaches the threshold extends what was found to its own ends; text outside of it has to surge by itself.
 """
 
 from __future__ import annotations
@@ -113,22 +113,27 @@ def _tags(page: str) -> Iterator[tuple[str, str, str]]:
             at = found.start() if found else size
 
 
-def lines_of(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
-    """(text, weight, within an article or main) of each line; boilerplate outside these leaves blank lines."""
-    lines: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, left out, within article, within link
+def lines_of(page: str, by_name: bool = True) -> list[tuple[str, int, int]]:
+    """(text, weight, number of the outermost article or main or 0) of each line.
+
+    Boilerplate outside these and their own ends leave blank lines.
+    """
+    lines: list[tuple[str, int, int]] = []
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, left out, article, within link
     parts: list[str] = []
-    linked = 0
+    linked = articles = 0
 
-    def flush(inside: bool) -> None:
+    def flush(inside: int) -> None:
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
+            if lines and lines[-1][0] and bool(lines[-1][2]) != bool(inside):
+                lines.extend([("", 0, 0)] * WIDTH)
             lines.append((text, max(0, len(text) - linked), inside))
         parts, linked = [], 0
 
-    def top() -> tuple[str, bool, bool, bool]:
-        return stack[-1] if stack else ("", False, False, False)
+    def top() -> tuple[str, bool, int, bool]:
+        return stack[-1] if stack else ("", False, 0, False)
 
     def pop_to(tag: str, until: frozenset | tuple) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -166,8 +171,11 @@ def lines_of(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
             if tag not in ("button", "input", "label", "script", "style", "noscript", "template", "iframe", "svg", "canvas", "object"):
                 flush(inside)
                 if not inside:
-                    lines.extend([("", 0, False)] * WIDTH)
-        stack.append((tag, drop, inside or tag in ("article", "main"), link or tag == "a"))
+                    lines.extend([("", 0, 0)] * WIDTH)
+        if not drop and not inside and tag in ("article", "main"):
+            articles += 1
+            inside = articles
+        stack.append((tag, drop, inside, link or tag == "a"))
     flush(top()[2])
     return lines
 
@@ -192,18 +200,39 @@ def spans(weights: np.ndarray, threshold: float, width: int = WIDTH) -> list[tup
     return out
 
 
+def _reach(lines: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The line ranges of the text: what surges, and all of an article that reaches the threshold."""
+    weights = np.array([weight for _, weight, _ in lines], dtype=float)
+    scope = np.array([inside for _, _, inside in lines], dtype=np.int64)
+    if not weights.any():  # an article of links alone
+        weights = np.array([len(text) if inside else 0 for text, _, inside in lines], dtype=float)
+    found = spans(weights, THRESHOLD)
+    if not found:
+        return []
+    limit = min(THRESHOLD, float(np.convolve(weights, np.ones(WIDTH)).max()))
+    totals = np.bincount(scope, weights=weights)
+    numbers, first = np.unique(scope, return_index=True)
+    last = len(scope) - np.unique(scope[::-1], return_index=True)[1]
+    found += [(int(a), int(b)) for number, a, b in zip(numbers, first, last) if number and totals[number] >= limit]
+    return merged(found)
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of line ranges, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def main_text(page: str) -> str:
     """The text of a page's article, blocks joined by line feeds; empty if there is none."""
     for by_name in (True, False):
         lines = lines_of(page, by_name)
-        within = any(text for text, _, inside in lines if inside)
-        if within:
-            lines = [line for line in lines if line[2]]
-            weights = np.array([max(1, len(text)) for text, _, _ in lines], dtype=float)
-            found = spans(weights, 0)
-        else:
-            found = spans(np.array([weight for _, weight, _ in lines], dtype=float), THRESHOLD)
-        text = "\n".join(line[0] for a, b in found for line in lines[a:b] if line[0])
+        text = "\n".join(line[0] for a, b in _reach(lines) for line in lines[a:b] if line[0])
         if text:
             return text
     return ""

@@ -44,6 +44,21 @@ def test_pages(page, text):
     assert H.main_text(page) == text
 
 
+CARD = "<article><h3><a href=1>Another story</a></h3><p>In short.</p></article>"
+ARTICLES = [
+    (f"{CARD}{CARD}<div><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div>{CARD}{CARD}", f"Head\n{LONG}\n{LONG}"),
+    (f"<article><p>{LONG}</p></article><nav>no</nav><div><p>{LONG}</p><p>End.</p></div>", f"{LONG}\n{LONG}\nEnd."),
+    (f"<article>{'<p>A short line of verse.</p>' * 6}</article><div>{LONG}</div>", "\n".join(["A short line of verse."] * 6 + [LONG])),
+    (f"<p>By.</p><article><ul><li><a>1</a><li><a>2</a><li><a>3</a><li><a>4</a></ul><p>{LONG}</p></article><p>Menu</p>", f"1\n2\n3\n4\n{LONG}"),
+    ("<article><a href=1>All of it is a link</a></article>", "All of it is a link"),
+]
+
+
+@pytest.mark.parametrize("page,text", ARTICLES)
+def test_articles_do_not_hide_text_outside(page, text):
+    assert H.main_text(page) == text
+
+
 def test_surges_and_dives():
     weights = np.array([5, 0, 0, 0, 3, 90, 0, 40, 2, 0, 0, 0, 8, 0, 0, 0, 95, 1], dtype=float)
     assert H.spans(weights, 86) == [(4, 9), (16, 18)]
