@@ -5,6 +5,8 @@ Menus, notices and other named boilerplate become blank lines. The weights are s
 lines: text begins where the sum surges over a threshold and ends where it dives to nothing. Lines between
 are kept, short ones and links among them too. This runs over all lines of every page. An article or main element
 whose text reaches the threshold extends what was found to its own ends; text outside of it has to surge by itself.
+Boilerplate between two blocks of one container ends nothing, and a container whose own blocks reach the threshold
+has all of them, from the first to the last.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ BLOCKS = frozenset(
     "head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 SCOPES = frozenset("article aside blockquote body details div fieldset figure footer form header main nav ol section table ul".split())
+CONTAINERS = frozenset("article div main section td".split())
 ENDED_BY_SELF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 DROPPED = frozenset(
     "aside button canvas dialog footer form head iframe input label menu nav noembed noframes noscript object script search select style svg template textarea title xmp".split()
@@ -113,27 +116,29 @@ def _tags(page: str) -> Iterator[tuple[str, str, str]]:
             at = found.start() if found else size
 
 
-def lines_of(page: str, by_name: bool = True) -> list[tuple[str, int, int]]:
-    """(text, weight, number of the outermost article or main or 0) of each line.
+def lines_of(page: str, by_name: bool = True) -> list[tuple[str, int, int, int]]:
+    """(text, weight, number of the outermost article or main or 0, number of the container or 0) of each line.
 
-    Boilerplate outside these and their own ends leave blank lines.
+    Boilerplate outside articles and their own ends leave blank lines, but not within a container's own blocks. A
+    container without blocks inside is itself a block of the one around it.
     """
-    lines: list[tuple[str, int, int]] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, left out, article, within link
+    lines: list[tuple[str, int, int, int]] = []
+    stack: list[tuple[str, bool, int, bool, int]] = []  # tag, left out, article, within link, container
+    around, filled = [0], [True]  # of each container: the one it is in, whether it has blocks
     parts: list[str] = []
     linked = articles = 0
 
-    def flush(inside: int) -> None:
+    def flush(inside: int, box: int) -> None:
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
             if lines and lines[-1][0] and bool(lines[-1][2]) != bool(inside):
-                lines.extend([("", 0, 0)] * WIDTH)
-            lines.append((text, max(0, len(text) - linked), inside))
+                lines.extend([("", 0, 0, 0)] * WIDTH)
+            lines.append((text, max(0, len(text) - linked), inside, box))
         parts, linked = [], 0
 
-    def top() -> tuple[str, bool, int, bool]:
-        return stack[-1] if stack else ("", False, 0, False)
+    def top() -> tuple[str, bool, int, bool, int]:
+        return stack[-1] if stack else ("", False, 0, False, 0)
 
     def pop_to(tag: str, until: frozenset | tuple) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -144,7 +149,7 @@ def lines_of(page: str, by_name: bool = True) -> list[tuple[str, int, int]]:
                 return
 
     for kind, tag, text in _tags(page):
-        _, out, inside, link = top()
+        _, out, inside, link, box = top()
         if kind == "text":
             if not out:
                 plain = html.unescape(text)
@@ -153,7 +158,7 @@ def lines_of(page: str, by_name: bool = True) -> list[tuple[str, int, int]]:
                     linked += len(" ".join(plain.split()))
             continue
         if tag in BLOCKS:
-            flush(inside)
+            flush(inside, box)
         elif tag == "br":
             parts.append(" ")
         if kind == "close":
@@ -165,19 +170,36 @@ def lines_of(page: str, by_name: bool = True) -> list[tuple[str, int, int]]:
                 pop_to(tag, ENDED_BY_SELF[tag])
         if tag in VOID:
             continue
-        _, out, inside, link = top()
+        _, out, inside, link, box = top()
         drop = out or _boilerplate(tag, _attributes(text), inside, by_name)
         if drop and not out:
             if tag not in ("button", "input", "label", "script", "style", "noscript", "template", "iframe", "svg", "canvas", "object"):
-                flush(inside)
+                flush(inside, box)
                 if not inside:
-                    lines.extend([("", 0, 0)] * WIDTH)
+                    lines.extend([("", 0, 0, 0)] * WIDTH)
         if not drop and not inside and tag in ("article", "main"):
             articles += 1
             inside = articles
-        stack.append((tag, drop, inside, link or tag == "a"))
-    flush(top()[2])
-    return lines
+        if not drop and tag in BLOCKS and tag not in ("html", "body"):
+            filled[box] = True
+            if tag in CONTAINERS:
+                around.append(box)
+                filled.append(tag in ("article", "main"))
+                box = len(around) - 1
+        stack.append((tag, drop, inside, link or tag == "a", box))
+    flush(top()[2], top()[4])
+    out_lines: list[tuple[str, int, int, int]] = []
+    blanks, last = 0, -1
+    for text, weight, inside, box in lines:
+        if not text:
+            blanks += 1
+            continue
+        own = box if filled[box] else around[box]
+        if own != last:
+            out_lines.extend([("", 0, 0, 0)] * blanks)
+        out_lines.append((text, weight, inside, own))
+        blanks, last = 0, own
+    return out_lines
 
 
 def spans(weights: np.ndarray, threshold: float, width: int = WIDTH) -> list[tuple[int, int]]:
@@ -200,12 +222,13 @@ def spans(weights: np.ndarray, threshold: float, width: int = WIDTH) -> list[tup
     return out
 
 
-def _reach(lines: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """The line ranges of the text: what surges, and all of an article that reaches the threshold."""
-    weights = np.array([weight for _, weight, _ in lines], dtype=float)
-    scope = np.array([inside for _, _, inside in lines], dtype=np.int64)
+def _reach(lines: list[tuple[str, int, int, int]]) -> list[tuple[int, int]]:
+    """The line ranges of the text: what surges, and all of an article or container that reaches the threshold."""
+    weights = np.array([weight for _, weight, _, _ in lines], dtype=float)
+    scope = np.array([inside for _, _, inside, _ in lines], dtype=np.int64)
+    boxes = np.array([box for _, _, _, box in lines], dtype=np.int64)
     if not weights.any():  # an article of links alone
-        weights = np.array([len(text) if inside else 0 for text, _, inside in lines], dtype=float)
+        weights = np.array([len(text) if inside else 0 for text, _, inside, _ in lines], dtype=float)
     found = spans(weights, THRESHOLD)
     if not found:
         return []
@@ -214,6 +237,13 @@ def _reach(lines: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
     numbers, first = np.unique(scope, return_index=True)
     last = len(scope) - np.unique(scope[::-1], return_index=True)[1]
     found += [(int(a), int(b)) for number, a, b in zip(numbers, first, last) if number and totals[number] >= limit]
+    held = np.flatnonzero(weights)
+    ends = {}
+    for i in held.tolist():
+        ends[int(boxes[i])] = (ends.get(int(boxes[i]), (i, i))[0], i + 1)
+    for a, b in found.copy():
+        here, at = np.unique(boxes[a:b], return_inverse=True)
+        found += [ends[int(box)] for box, size in zip(here, np.bincount(at, weights=weights[a:b])) if box and size >= limit]
     return merged(found)
 
 

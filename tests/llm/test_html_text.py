@@ -59,6 +59,23 @@ def test_articles_do_not_hide_text_outside(page, text):
     assert H.main_text(page) == text
 
 
+ADVERT = "<div class=ad>x</div>"
+LINKS = "<ul>" + "".join(f"<li><a href={i}>Link {i}</a></li>" for i in range(4)) + "</ul>"
+INLINE = [
+    (f"<div><p>{LONG}</p>{ADVERT}<p>Short end.</p></div>", f"{LONG}\nShort end."),
+    (f"<body><p>{LONG}</p><aside>no</aside><p>Short end.</p><footer>no</footer></body>", f"{LONG}\nShort end."),
+    (f"<div><div>{LONG}</div>{ADVERT}<div>Short end.</div></div>", f"{LONG}\nShort end."),
+    (f"<div><p>{LONG}</p>{ADVERT}<figure><figcaption>Caption</figcaption></figure><form>no</form>{LINKS}{ADVERT}<p>End.</p></div>", f"{LONG}\nCaption\nLink 0\nLink 1\nLink 2\nLink 3\nEnd."),
+    (f"<div><p>Menu</p></div><nav>no</nav><div><p>Lead.</p>{ADVERT}<p>{LONG}</p></div>{ADVERT}<div><p>Some company</p></div>", f"Lead.\n{LONG}"),
+    (f"<section><p>{LONG}</p><article>Quoted.</article><p>Short end.</p></section>", f"{LONG}\nQuoted.\nShort end."),
+]
+
+
+@pytest.mark.parametrize("page,text", INLINE)
+def test_adverts_in_a_text_end_nothing(page, text):
+    assert H.main_text(page) == text
+
+
 def test_surges_and_dives():
     weights = np.array([5, 0, 0, 0, 3, 90, 0, 40, 2, 0, 0, 0, 8, 0, 0, 0, 95, 1], dtype=float)
     assert H.spans(weights, 86) == [(4, 9), (16, 18)]
