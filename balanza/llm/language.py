@@ -228,7 +228,7 @@ def label_rows(data: np.ndarray, at: np.ndarray, model: Model) -> tuple[list[str
     starts, ends, first = W.word_bounds(data, at, WORDS)
     scores, kinds = word_scores(data, starts, ends, model)
     best = viterbi(scores, first, model.penalty)
-    weight = np.where((kinds > 0) & (scores != 0).any(axis=1), ends - starts, 0)
+    weight = np.where(model.scripts[kinds].any(axis=1), ends - starts, 0)  # no letters: no script is allowed
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     n = len(model.langs)
     votes = np.bincount(row * n + best, weights=weight, minlength=(len(first) - 1) * n).reshape(-1, n)

@@ -78,3 +78,15 @@ def test_candidates_of_a_script(spark):
     model = L.fit_languages(spark.createDataFrame(train, "doc_id long, text string, lang string"))
     frame = spark.createDataFrame([(1, "мир"), (2, "κόσμε σου world"), (3, "how world")], "doc_id long, text string")
     assert [r.lang_pred for r in sorted(L.detect_languages(frame, model).collect())] == ["ru", "el", "en"]
+
+
+def test_one_language(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'de' and text is not null")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op8_language_id"](spark, str(tmp_path)).collect()
+    assert len(got) == docs.count() and {r.lang_pred for r in got if r.score} == {"de"}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.score == 1 for r in got if any(map(str.isalpha, texts[r.doc_id])))
+    model = L.fit_languages(docs)
+    frame = spark.createDataFrame([(1, "мир"), (2, "nicht мир")], "doc_id long, text string")
+    assert {r.doc_id: (r.lang_pred, r.score) for r in L.detect_languages(frame, model).collect()} == {1: ("de", 0.0), 2: ("de", 5 / 11)}

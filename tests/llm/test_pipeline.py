@@ -67,3 +67,8 @@ def test_run(spark, sf_dir):
     got = P.run(spark, sf_dir)
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() > 100
     assert got.filter(F.col("n_tokens") < 1).count() == 0
+
+
+def test_language_stage_with_one_language(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS).filter("lang = 'fr' and text rlike '[a-zA-Z]'")
+    assert dict(P.STAGES)["language"](spark, docs, sf_dir).count() == docs.count() > 10
