@@ -53,15 +53,16 @@ def unescape_role(role: str) -> str:
 def plan(tokens: list[int], system: int | None, carried: int, budget: int, history: int) -> list[tuple[int, int, int, bool]]:
     """Windows (first, end, turns of history before first, system turn carried) over the turns ``carried`` … of a part.
 
-    The turns before ``carried`` came from the part before. ``system`` is the index of the system turn, whose
-    tokens count wherever it is carried; it is not carried if it takes more than half the budget. History
-    takes at most a quarter of the budget, and gives way to a turn that would not fit beside it. A turn
-    longer than the budget is a window of its own.
+    The turns before ``carried`` came from the part before. ``system`` is the index of the system turn, which all
+    windows after it carry and count, however long it is. History takes at most a quarter of the budget, and gives
+    way to a turn that would not fit beside it. A turn that does not fit beside the system turn, or is longer than
+    the budget, is the only new one of its window.
     """
     sums = np.concatenate([[0], np.cumsum(tokens)])
     out, at = [], carried
     while at < len(tokens):
-        lead = tokens[system] if system is not None and system < at and tokens[system] * 2 <= budget else 0
+        led = system is not None and system < at
+        lead = tokens[system] if led else 0
         back, used = 0, 0
         while back < history:
             i = at - back - 1
@@ -71,7 +72,7 @@ def plan(tokens: list[int], system: int | None, carried: int, budget: int, histo
             back += 1
         end = int(np.searchsorted(sums, sums[at] + budget - lead - used, side="right")) - 1
         end = max(end, at + 1)
-        out.append((at, end, back, lead > 0))
+        out.append((at, end, back, led))
         at = end
     return out
 
@@ -124,21 +125,20 @@ def _windows(path: str | None, budget: int, history: int):
     """Rows come sorted by conversation and part; the rows of one part are held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(rows: list[tuple]) -> list[tuple]:
+        def finish(rows: list[tuple]) -> Iterator[tuple]:
             # kind 0: carried system turn, 1: history of the part before, 2: the part's own turns
             system = next((i for i, r in enumerate(rows) if r[3] == 0), None)
             own = sum(r[3] < 2 for r in rows)
             if own == len(rows):
-                return []
+                return
             if system is None:
                 system = next((i for i, r in enumerate(rows) if r[3] == 2 and r[5] == "system"), None)
-            tokens, turns, out = [r[7] for r in rows], [(r[5], r[6]) for r in rows], []
+            tokens, turns = [r[7] for r in rows], [(r[5], r[6]) for r in rows]
             for serial, (first, end, back, lead) in enumerate(plan(tokens, system, own, budget, history)):
                 picked = ([turns[system]] if lead else []) + turns[first - back : end]
                 text, spans = format_window(picked, lead + back)
                 total = sum(tokens[first - back : end]) + (tokens[system] if lead else 0)
-                out.append((rows[0][0], rows[0][1], serial, text, [{"begin": a, "end": b} for a, b in spans], lead + back, len(picked), total))
-            return out
+                yield rows[0][0], rows[0][1], serial, text, [{"begin": a, "end": b} for a, b in spans], lead + back, len(picked), total
 
         def emit(done: list[tuple]) -> pa.RecordBatch:
             span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
@@ -149,6 +149,16 @@ def _windows(path: str | None, budget: int, history: int):
         held: list[tuple] = []
         done: list[tuple] = []
         size, key_type = 0, None
+
+        def batched(windows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            nonlocal done, size
+            for window in windows:
+                done.append(window)
+                size += len(window[3])  # carried turns count, too
+                if size > W.SLICE:
+                    yield emit(done)
+                    done, size = [], 0
+
         for batch in batches:
             key_type = batch.column("conv").type
             for rows in W.slices(batch, "text"):
@@ -157,15 +167,11 @@ def _windows(path: str | None, budget: int, history: int):
                 roles = token_counts(path, columns["role"])
                 for conv, part, kind, turn, role, text, n, m in zip(*columns.values(), counts, roles, strict=True):
                     if held and (held[0][0], held[0][1]) != (conv, part):
-                        done += finish(held)
+                        yield from batched(finish(held))
                         held = []
                     held.append((conv, part, None, kind, turn, role, text, n + m + MARK_TOKENS))
-                    size += len(text)
-                if done and size > W.SLICE:
-                    yield emit(done)
-                    done, size = [], 0
         if held:
-            done += finish(held)
+            yield from batched(finish(held))
         if done:
             yield emit(done)
 

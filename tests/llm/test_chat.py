@@ -76,6 +76,16 @@ def test_odd_and_long_conversations(spark):
     assert all(r.n_tokens <= 100 or r.n_turns - r.n_repeated == 1 for r in windows.collect())
 
 
+def test_long_system_turns_are_carried(spark):
+    assert C.plan([600, 300, 200, 700, 100], 0, 0, 1024, 2) == [(0, 2, 0, False), (2, 3, 0, True), (3, 4, 0, True), (4, 5, 0, True)]
+    assert C.plan([2000, 10, 10], 0, 0, 1024, 2) == [(0, 1, 0, False), (1, 2, 0, True), (2, 3, 0, True)]
+    rows = [(1, 0, "system", "rule " * 600)] + [(1, i, ("user", "assistant")[i % 2], f"w{i} " * 100) for i in range(1, 20)]
+    windows = C.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=1024).cache()
+    assert digests(windows) == expected(rows)
+    later = windows.filter("serial > 0").collect()
+    assert len(later) > 3 and all(C.parse_window(r.text)[0] == ("system", rows[0][3]) and r.n_tokens <= 1024 for r in later)
+
+
 def test_no_rows(spark):
     frame = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert C.conversation_digests(C.format_windows(frame)).count() == 0
