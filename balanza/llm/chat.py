@@ -17,16 +17,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 
 from balanza.llm import words as W
+from balanza.session import cut
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 BUDGET = 1024
 HISTORY_TURNS = 2
-#: Windows do not cross turn numbers that are multiples of this, so a conversation of any length is cut into
-#: parts that a task can hold.
+#: Windows do not cross multiples of this in a conversation's rows, numbered in order, so a conversation of any length
+#: is cut into parts that a task can hold.
 PART_TURNS = 1024
+#: Code points of a text by which rows are dealt out for the numbering.
+KEY_CHARS = 256
 #: Tokens of a turn's marks besides its text and role.
 MARK_TOKENS = 6
 
@@ -128,6 +132,8 @@ def _windows(path: str | None, budget: int, history: int):
         def finish(rows: list[tuple]) -> Iterator[tuple]:
             # kind 0: carried system turn, 1: history of the part before, 2: the part's own turns
             system = next((i for i, r in enumerate(rows) if r[3] == 0), None)
+            if system is not None:  # not also as history
+                rows = [r for r in rows if r[3] != 1 or r[4] != rows[system][4]]
             own = sum(r[3] < 2 for r in rows)
             if own == len(rows):
                 return
@@ -162,14 +168,14 @@ def _windows(path: str | None, budget: int, history: int):
         for batch in batches:
             key_type = batch.column("conv").type
             for rows in W.slices(batch, "text"):
-                columns = {c: rows.column(c).to_pylist() for c in ("conv", "part", "kind", "turn", "role", "text")}
+                columns = {c: rows.column(c).to_pylist() for c in ("conv", "part", "kind", "n", "role", "text")}
                 counts = token_counts(path, [escape(t) for t in columns["text"]])
                 roles = token_counts(path, columns["role"])
-                for conv, part, kind, turn, role, text, n, m in zip(*columns.values(), counts, roles, strict=True):
+                for conv, part, kind, n, role, text, size_text, size_role in zip(*columns.values(), counts, roles, strict=True):
                     if held and (held[0][0], held[0][1]) != (conv, part):
                         yield from batched(finish(held))
                         held = []
-                    held.append((conv, part, None, kind, turn, role, text, n + m + MARK_TOKENS))
+                    held.append((conv, part, None, kind, n, role, text, size_text + size_role + MARK_TOKENS))
         if held:
             yield from batched(finish(held))
         if done:
@@ -178,30 +184,59 @@ def _windows(path: str | None, budget: int, history: int):
     return run
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The partition, and each row's place among its conversation's rows there; rows come sorted by conversation."""
+    now, place, block = None, 0, TaskContext.get().partitionId()
+    for batch in batches:
+        places = []
+        for conv in batch.column("conv").to_pylist():
+            if (conv,) != now:
+                now, place = (conv,), 0
+            places.append(place)
+            place += 1
+        names = batch.schema.names
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([block] * len(places), pa.int64()), pa.array(places, pa.int64())], names=[*names, "block", "place"])
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(conv, role, text, n): rows numbered from 0 in each conversation by turn, role and text.
+
+    Ranges of the order are sorted and counted; only a conversation that crosses from one range into the next has
+    rows to add up, so these are no more than the ranges.
+    """
+    order = ["conv", "turn", "role"]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    dealt = rows.repartitionByRange(*order, F.substring("text", 1, KEY_CHARS)).sortWithinPartitions(*order, "text")
+    placed = cut(dealt.mapInArrow(_places, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", block long, place long"), compression="zstd")
+    sizes = placed.groupBy("conv", "block").agg((F.max("place") + 1).alias("size"))
+    before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    crossing = sizes.select(F.col("conv").alias("c"), F.col("block").alias("b"), F.sum("size").over(before).alias("shift")).filter("shift is not null")
+    joined = placed.join(F.broadcast(crossing), (F.col("block") == F.col("b")) & F.col("conv").eqNullSafe(F.col("c")), "left")
+    return joined.select("conv", "role", "text", (F.col("place") + F.coalesce("shift", F.lit(0))).alias("n"))
+
+
 def format_windows(turns: DataFrame, tokenizer: str | None = None, budget: int = BUDGET, history: int = HISTORY_TURNS, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv, part, serial, text, loss, n_repeated, n_turns, n_tokens): the windows of all conversations, in order of
     part and serial.
 
     ``loss`` has code point spans of the text; the first ``n_repeated`` turns of a window are carried over. Turns go
     by number, null first, then by role and text; equal turns all stay. Null roles and texts are empty. Rows
-    with a null conversation are one conversation. Windows don't cross turn numbers that are multiples of
-    PART_TURNS; history and the system turn (the first by turn number) are carried over these too.
+    with a null conversation are one conversation. Windows don't cross multiples of PART_TURNS of a conversation's
+    rows in this order, whatever their turn numbers are; history and the first system turn are carried over these too.
     """
-    turn = F.col(turn_col).cast("long")
-    part = F.coalesce(F.floor(turn / PART_TURNS), F.lit(-(1 << 62)))
-    rows = turns.select(
-        F.col(conv_col).alias("conv"), turn.alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), part.cast("long").alias("part")
-    )
-    own = rows.withColumn("kind", F.lit(2))
-    near = rows.filter(F.pmod("turn", F.lit(PART_TURNS)) >= PART_TURNS - history).withColumn("part", F.col("part") + 1).withColumn("kind", F.lit(1))
-    # parts after a conversation's first get its system turn
-    parts = rows.groupBy("conv", "part").agg(F.min(F.when(F.col("role") == "system", F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), "text"))).alias("first"))
-    least = parts.groupBy(F.col("conv").alias("c")).agg(F.min("first").alias("system"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high and system is not null")
-    lead = parts.join(least, F.col("conv").eqNullSafe(F.col("c"))).filter("part > low and (part > floor(system.turn / %d))" % PART_TURNS).select(
-        "conv", F.col("system.turn").alias("turn"), F.lit("system").alias("role"), F.col("system.text").alias("text"), "part", F.lit(0).alias("kind")
+    rows = _numbered(
+        turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     )
-    every = own.unionByName(near).unionByName(lead)
-    dealt = every.repartition("conv", "part").sortWithinPartitions("conv", "part", "kind", "turn", "role", "text")
+    part = F.floor(F.col("n") / PART_TURNS).cast("long")
+    place = lambda p, kind: F.struct(p.alias("part"), F.lit(kind).alias("kind"))
+    near = F.pmod("n", F.lit(PART_TURNS)) >= PART_TURNS - history
+    own = rows.select("conv", "n", "role", "text", F.explode(F.when(near, F.array(place(part, 2), place(part + 1, 1))).otherwise(F.array(place(part, 2)))).alias("p"))
+    # parts after that of a conversation's first system turn get it
+    first = rows.groupBy("conv").agg(F.min(F.when(F.col("role") == "system", F.struct("n", "text"))).alias("s"), F.max(part).alias("high"))
+    first = first.withColumn("low", F.floor(F.col("s.n") / PART_TURNS).cast("long") + 1).filter("low <= high")
+    lead = first.select("conv", F.col("s.n").alias("n"), F.lit("system").alias("role"), F.col("s.text").alias("text"), F.explode(F.transform(F.sequence("low", "high"), lambda p: place(p, 0))).alias("p"))
+    every = own.unionByName(lead).select("conv", "n", "role", "text", "p.part", "p.kind")
+    dealt = every.repartition("conv", "part").sortWithinPartitions("conv", "part", "kind", "n")
     schema = f"conv {turns.schema[conv_col].dataType.simpleString()}, part long, serial long, text string, loss array<struct<begin:long,end:long>>, n_repeated long, n_turns long, n_tokens long"
     return dealt.mapInArrow(_windows(tokenizer, budget, history), schema)
 

@@ -4,6 +4,7 @@ import hashlib
 
 import duckdb
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from balanza.llm import chat as C
 from balanza.llm.queries import QUERIES
@@ -86,6 +87,19 @@ def test_long_system_turns_are_carried(spark):
     assert len(later) > 3 and all(C.parse_window(r.text)[0] == ("system", rows[0][3]) and r.n_tokens <= 1024 for r in later)
 
 
+def test_parts_are_bounded_by_rows(spark):
+    rows = [(None, i % 3, ("user", "assistant")[i % 2], f"text {i % 700}") for i in range(2 * C.PART_TURNS + 100)] + [(None, 0, "system", "Stay calm.")]
+    rows += [(7, None, "assistant", "same")] * (C.PART_TURNS + 5) + [(i, 0, "user", "x") for i in range(8, 60)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    windows = C.format_windows(frame, budget=100, history=2).cache()
+    assert digests(windows) == expected(rows)
+    sizes = {(r.conv, r.part): r.n for r in windows.groupBy("conv", "part").agg(F.sum(F.col("n_turns") - F.col("n_repeated")).alias("n")).collect()}
+    assert {k: n for k, n in sizes.items() if k[0] in (None, 7)} == {(None, 0): 1024, (None, 1): 1024, (None, 2): 101, (7, 0): 1024, (7, 1): 5}
+    later = windows.filter("conv is null and part > 0").collect()
+    assert all(C.parse_window(r.text)[0] == ("system", "Stay calm.") for r in later)
+    assert all(r.n_repeated == 3 for r in later if r.serial == 0)
+
+
 def test_no_rows(spark):
     frame = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert C.conversation_digests(C.format_windows(frame)).count() == 0
