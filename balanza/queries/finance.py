@@ -118,14 +118,15 @@ def financial_ratios(spark, d):
     return R.ratios(year_inputs_frame(spark, d))
 
 
-# All years that the invoices have.
+# All years that the given invoices have, for the SQL; the query reads them.
 _ALL_YEARS = tuple(range(1995, 2002))
 
 
 @query("ratio_matrix", with_ctes(INV, _VALUES, _SIGNED) + ", u AS (SELECT taxpayer, year, unnest([" + ", ".join(f"'{n}'" for n in _RATIOS) + "]) AS ratio, unnest([" + ", ".join(f"{n}::DOUBLE" for n in _RATIOS) + """]) AS v FROM rat)
 SELECT taxpayer, ratio, """ + ", ".join(f'max(v) FILTER (year = {y}) AS "{y}"' for y in _ALL_YEARS) + """ FROM u GROUP BY ALL""")
 def ratio_matrix(spark, d):
-    return reports.unpivot_pivot(financial_ratios(spark, d), ["taxpayer"], "year", _ALL_YEARS, list(_RATIOS), "ratio")
+    years = sorted(r[0] for r in inv(spark, d).select(F.year("issued")).distinct().dropna().collect())  # a row a year
+    return reports.unpivot_pivot(financial_ratios(spark, d), ["taxpayer"], "year", years, list(_RATIOS), "ratio")
 
 
 # Concentration.

@@ -145,3 +145,15 @@ def test_blacklist_newest(spark):
     listed = spark.createDataFrame([(1, 2, "issued", "x")], "taxpayer int, counterparty int, side string, name string")
     assert float(network.blacklist_enrich(listed, inv).first().amount) == 100
     assert float(network.blacklist_enrich(listed, inv, newest=2).first().amount) == 70
+
+
+def test_ratio_matrix_has_the_years_of_the_invoices(spark, sf_dir, tmp_path):
+    from balanza.queries.finance import ratio_matrix
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("o_orderdate", F.add_months("o_orderdate", 12 * 9))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.read.parquet(f"{sf_dir}/customer.parquet").write.parquet(f"{tmp_path}/customer.parquet")
+    years = [str(y + 9) for y in range(1995, 2002)]
+    got, given = ratio_matrix(spark, str(tmp_path)), ratio_matrix(spark, sf_dir)
+    assert got.columns == ["taxpayer", "ratio", *years] and given.columns == ["taxpayer", "ratio", *[str(y) for y in range(1995, 2002)]]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, given.collect()), key=str)
