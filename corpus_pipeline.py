@@ -17,6 +17,8 @@ from balanza.session import cut
 
 #: A document stays if its language holds at least this share of its letters.
 LEAST_LANGUAGE_SHARE = 0.5
+#: A text with a word, which has a shingle.
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +29,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is linked by 0.8 or more on 5-word shingles: that of the least id."""
-    groups = ngram_jaccard_join(docs, n=5, num=80, den=100)
-    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"])
-    return named.select(*docs.columns).union(docs.filter("doc_id is null"))
+    """One document of each group that is linked by 0.8 or more on 5-word shingles: the row of the least id, then text.
+
+    Rows are told apart by their text, whatever their ids; a null id comes last. Texts without words are linked to
+    none: each stays once for its id.
+    """
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    groups = ngram_jaccard_join(hashed.filter(worded), n=5, num=80, den=100, id_col="text_hash").select("text_hash", "component_id").distinct()
+    least = hashed.filter(worded).groupBy("text_hash").agg(F.min("doc_id").alias("id"))
+    picked = least.join(groups, "text_hash").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("low"))
+    keep = picked.select(F.col("low.id").alias("keep_id"), F.col("low.text_hash").alias("keep_hash"))
+    named = hashed.filter(worded).join(keep, (F.col("text_hash") == F.col("keep_hash")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return named.unionByName(hashed.filter(~worded)).dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,3 +72,13 @@ def test_run(spark, sf_dir):
 def test_language_stage_with_one_language(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS).filter("lang = 'fr' and text rlike '[a-zA-Z]'")
     assert dict(P.STAGES)["language"](spark, docs, sf_dir).count() == docs.count() > 10
+
+
+def test_near_duplicates_keeps_one_row_of_a_group(spark, sf_dir):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    near = f"{b} more"
+    rows = [(7, a), (7, near), (3, b), (None, a), (None, "c d e f g h"), (None, "c d e f g h"), (8, "C d e f g h"), (None, "i j k l m n"), (None, "i j k l m n"), (5, "x y"), (6, "x y"), (6, "x y"), (None, "x y"), (9, None), (9, None), (10, " "), (None, " "), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(P.STAGES)["near_duplicates"](spark, docs.repartition(5), sf_dir)
+    want = [(3, b), (5, "x y"), (7, a), (8, "C d e f g h"), (9, None), (10, " "), (None, " "), (None, "i j k l m n")]
+    assert got.columns == COLUMNS and sorted(map(str, (tuple(r)[:2] for r in got.collect()))) == sorted(map(str, want))
