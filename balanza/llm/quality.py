@@ -18,10 +18,10 @@ from balanza.llm import words as W
 
 #: Words of a passage, about: a text is cut into equal passages of at most so many.
 PASSAGE_WORDS = 64
-#: Labelled documents that the model is fitted on, about, chosen by the hash of their ids; and passages of each,
-#: evenly spaced, that fitting looks at. Scoring looks at all.
+#: Labelled documents that the model is fitted on, about, chosen by the hash of their ids, with all of their passages.
 SAMPLE_DOCS = 8000
-SAMPLE_PASSAGES = 128
+#: Passages that a step of fitting holds at a time, about.
+STEP_PASSAGES = 1 << 18
 ENCODED, HIDDEN, STEPS, RATE, SEED = 16, 16, 400, 0.02, 11
 
 _CLASS = np.full(256, 5, dtype=np.uint8)  # 0 lower, 1 upper, 2 digit, 3 sentence marks, 4 other ASCII marks, 5 non-ASCII, 6 blanks and controls
@@ -121,16 +121,23 @@ def fit(x: np.ndarray, offset: np.ndarray, labels: np.ndarray, steps: int = STEP
         "U": rng.normal(0, ENCODED**-0.5, (ENCODED, HIDDEN)), "w": rng.normal(0, HIDDEN**-0.5, HIDDEN), "c": rng.normal(0, ENCODED**-0.5, ENCODED), "b": np.zeros(1),
     }
     one, two = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
+    cuts = np.unique(np.searchsorted(offset[1:], np.arange(STEP_PASSAGES, offset[-1], STEP_PASSAGES), side="left") + 1)
+    edges = [0, *(c for c in cuts.tolist() if c < len(labels)), len(labels)]
+    chunks = list(zip(edges[:-1], edges[1:], strict=True))
     for step in range(1, steps + 1):
-        p, a, h, t, g, z, bag, first = _forward(x, offset, w)
-        d = (p - labels) / len(labels)
-        dz = d[:, None] * w["c"]
-        # the weighted sum: to the passages, and to the attention through its softmax
-        da = (dz[bag] * h).sum(axis=1)
-        ds = a * (da - np.add.reduceat(a * da, first)[bag])
-        dt, dg = ds[:, None] * w["w"] * g * (1 - t * t), ds[:, None] * w["w"] * t * g * (1 - g)
-        dh = (a[:, None] * dz[bag] + dt @ w["V"].T + dg @ w["U"].T) * (1 - h * h)
-        grads = {"E": x.T @ dh, "e": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (ds[:, None] * t * g).sum(axis=0), "c": z.T @ d, "b": d.sum(keepdims=True)}
+        grads: dict[str, np.ndarray] = {}
+        for i, j in chunks:
+            lo, hi = offset[i], offset[j]
+            p, a, h, t, g, z, bag, first = _forward(x[lo:hi], offset[i : j + 1] - lo, w)
+            d = (p - labels[i:j]) / len(labels)
+            dz = d[:, None] * w["c"]
+            # the weighted sum: to the passages, and to the attention through its softmax
+            da = (dz[bag] * h).sum(axis=1)
+            ds = a * (da - np.add.reduceat(a * da, first)[bag])
+            dt, dg = ds[:, None] * w["w"] * g * (1 - t * t), ds[:, None] * w["w"] * t * g * (1 - g)
+            dh = (a[:, None] * dz[bag] + dt @ w["V"].T + dg @ w["U"].T) * (1 - h * h)
+            part = {"E": x[lo:hi].T @ dh, "e": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (ds[:, None] * t * g).sum(axis=0), "c": z.T @ d, "b": d.sum(keepdims=True)}
+            grads = {k: grads[k] + v for k, v in part.items()} if grads else part
         for k, v in grads.items():
             v = v + 1e-4 * w[k]
             one[k] = 0.9 * one[k] + 0.1 * v
@@ -139,18 +146,12 @@ def fit(x: np.ndarray, offset: np.ndarray, labels: np.ndarray, steps: int = STEP
     return Model(mean, scale, w)
 
 
-def _sample(limit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in W.slices(batch, "text"):
-                x, offset = passage_features(*W.strings(rows.column("text")))
-                picked = []
-                for a, b in zip(offset[:-1].tolist(), offset[1:].tolist(), strict=True):
-                    at = np.arange(a, b) if b - a <= limit else a + np.arange(limit) * (b - a) // limit
-                    picked.append(x[at].astype("<f4").tobytes())
-                yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("label"), pa.array(picked, pa.binary())], names=["id", "label", "x"])
-
-    return run
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows in W.slices(batch, "text"):
+            x, offset = passage_features(*W.strings(rows.column("text")))
+            bags = [x[a:b].astype("<f4").tobytes() for a, b in zip(offset[:-1].tolist(), offset[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("label"), pa.array(bags, pa.binary())], names=["id", "label", "x"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> Model | None:
@@ -163,7 +164,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     chosen = known.filter(chance < min(1.0, sample_docs / total)).dropDuplicates(["id"])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # at most about sample_docs pairs of numbers are broadcast
-    rows = texts.join(F.broadcast(chosen), "id").mapInArrow(_sample(SAMPLE_PASSAGES), f"id {docs.schema[id_col].dataType.simpleString()}, label double, x binary")
+    rows = texts.join(F.broadcast(chosen), "id").mapInArrow(_bags, f"id {docs.schema[id_col].dataType.simpleString()}, label double, x binary")
     bags = sorted(rows.collect(), key=lambda r: (r.id, r.x))
     if not bags:
         return None

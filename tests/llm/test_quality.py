@@ -55,3 +55,23 @@ def test_odd_rows_and_no_labels(spark):
     assert Q.fit_quality(docs, labels.limit(0)) is None
     assert {r.score for r in Q.score_quality(docs, None).collect()} == {0.5}
     assert Q.score_quality(docs.limit(0), model).count() == 0
+
+
+def test_fitting_takes_all_passages_of_a_document(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Q, "fit", lambda x, offset, labels: seen.append((x, offset)))
+    text = "good words here. " * 5000 + "x | y | z\n" * 40 + "good words here. " * 2000
+    docs = spark.createDataFrame([(1, text), (2, "short one")], "doc_id long, text string")
+    Q.fit_quality(docs, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int"))
+    want, offset = Q.passage_features(*W.strings(pa.array([text, "short one"])))
+    assert offset[1] > 300 and seen[0][1].tolist() == offset.tolist() and np.array_equal(seen[0][0], want)
+
+
+def test_steps_in_pieces_give_the_same_model(monkeypatch):
+    rng = np.random.default_rng(3)
+    offset = np.concatenate([[0], np.cumsum([*rng.integers(1, 9, 60), 200, 1, 3])])
+    x, labels = rng.normal(0, 1, (offset[-1], 5)).astype(np.float32), rng.integers(0, 2, 63).astype(float)
+    whole = Q.fit(x, offset, labels, steps=20)
+    monkeypatch.setattr(Q, "STEP_PASSAGES", 40)
+    pieces = Q.fit(x, offset, labels, steps=20)
+    assert all(np.allclose(whole.weights[k], pieces.weights[k], atol=1e-6) for k in whole.weights)
