@@ -184,3 +184,18 @@ edge AS (SELECT a AS s, b AS t FROM link UNION ALL SELECT b, a FROM link),
 reach(doc_id, r) AS (SELECT doc_id, doc_id FROM w UNION SELECT edge.t, reach.r FROM reach JOIN edge ON edge.s = reach.doc_id)
 SELECT reach.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n ON n.doc_id = reach.doc_id GROUP BY reach.doc_id
 """
+
+
+@query
+def op11_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of each document among all, white space apart, and which row stays."""
+    from balanza.llm.exact_copies import exact_copies
+
+    return exact_copies(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+ORACLE["op11_exact_copies"] = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g ON d.t = g.t
+"""
