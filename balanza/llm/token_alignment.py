@@ -30,9 +30,9 @@ from balanza.llm import words as W
 from balanza.session import cut
 
 #: Pairs of documents that a block holds before it is closed; a document is never divided.
-BLOCK_PAIRS = 1 << 21
+BLOCK_PAIRS = 1 << 20
 #: Links that are expanded at once.
-LINKS = 1 << 21
+LINKS = 1 << 20
 #: Groups with more links than this are first reduced to distinct ids.
 LARGE_GROUP = 256
 #: Text bytes that are aligned at once.
@@ -97,7 +97,7 @@ class Pair:
     """Both tokenizers with one cache of chunks."""
 
     SLOTS = 1 << 20
-    ENTRIES = 1 << 20
+    ENTRIES = 1 << 19
 
     def __init__(self, path_a: str, path_b: str):
         self.sides = (ByteLevel(path_a), Pieces(path_b))
