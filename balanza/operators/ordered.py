@@ -54,6 +54,42 @@ def last_known(df: DataFrame, keys, order, values: dict[str, Column], block: Col
     )
 
 
+#: Blocks whose functions are composed in one row.
+SPAN = 1000
+
+
+def fold_starts(blocks: DataFrame, keys, block: str, opening: Column, source: str, target: str, name: str) -> DataFrame:
+    """(keys, block, ``name``): the state in which each block of a key starts.
+
+    A block is a function from the state before it to the state after it: the entry of ``target`` at the place where
+    the state stands in ``source``, or the state itself when it is not there. The first block starts from ``opening``, one
+    value for a key. Functions are composed over spans of ``SPAN`` blocks first, then over the spans of a key, and
+    the blocks of a span are walked from the span's own start.
+    """
+    keys = list(keys)
+
+    def applied(state: Column, f: Column) -> Column:
+        return F.coalesce(F.get(f[target], F.array_position(f[source], state) - 1), state)
+
+    def walked(first: Column, functions: Column) -> Column:
+        """States before each function, and after the last."""
+        return F.aggregate(functions, F.array(first), lambda seen, f: F.concat(seen, F.array(applied(F.element_at(seen, -1), f))))
+
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(block)) - 1
+    placed = blocks.select(*keys, block, source, target, opening.alias("_first")).withColumn("_span", F.floor(nth / SPAN))
+    listed = F.sort_array(F.collect_list(F.struct(block, source, target))).alias("_list")
+    spans = placed.groupBy(*keys, "_span").agg(F.first("_first").alias("_first"), listed)
+    domain = F.array_distinct(F.flatten(F.transform("_list", lambda f: f[source])))
+    composed = spans.select(*keys, "_span", "_first", domain.alias(source), "_list").withColumn(
+        target, F.transform(source, lambda v: F.aggregate("_list", v, applied))
+    )
+    per_key = composed.groupBy(*keys).agg(F.first("_first").alias("_first"), F.sort_array(F.collect_list(F.struct("_span", source, target))).alias("_spans"))
+    starts = per_key.select(*keys, F.posexplode(F.slice(walked(F.col("_first"), F.col("_spans")), 1, F.size("_spans"))).alias("_span", "_start"))
+    each = spans.drop("_first").join(starts, [*keys, "_span"]).withColumn("_states", walked(F.col("_start"), F.col("_list")))
+    pairs = F.explode(F.arrays_zip(F.transform("_list", lambda f: f[block]).alias("block"), F.slice("_states", 1, F.size("_list")).alias("state")))
+    return each.select(*keys, pairs.alias("_pair")).select(*keys, F.col("_pair.block").alias(block), F.col("_pair.state").alias(name))
+
+
 def attach_group(df: DataFrame, per_group: DataFrame, keys, weight: str = "_n", hot_share: int = 1000) -> DataFrame:
     """Left join of one row per group onto the rows of the group.
 

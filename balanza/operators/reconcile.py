@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from balanza.functions.money import amount_or_null, is_credit
-from balanza.operators.ordered import last_known, running_sum
+from balanza.operators.ordered import fold_starts, last_known, running_sum
 from balanza.rules.banks import KAPITAL_CHARGES, KAPITAL_DEPOSITS
 
 
@@ -28,6 +28,76 @@ def running_balance(df: DataFrame, opening: Column, order, block: Column, keys=(
     }).drop("_moved")
 
 
+def running_balance_strict(df: DataFrame, opening: Column, order, block: Column, keys=("doc_id",)) -> DataFrame:
+    """Adds ``expected``, ``review``, ``inferred`` and ``carried``: like ``running_balance``, but a read balance that is
+    at most one cent off is carried on instead of the expected one, so that cents add up along the document.
+
+    With the changes taken off, the carried balance is one number that a row moves only if its own number differs
+    by a cent. So a block of rows is a function of where it starts: the start itself, but for a few starts near the
+    numbers read in it. These functions are composed over the blocks, and each block is walked from its own start.
+    Numbers that no chain of cents leads to from the opening never count and are left out first. ``block`` never
+    decreases along ``order``, which is unique in a document; the keys are not null, and the opening is one value for
+    a document.
+    """
+    keys = list(keys)
+    change = (
+        F.when(is_credit(F.col("kind")), F.col("amount"))
+        .when(F.lower(F.trim("kind")) == "cargo", -F.col("amount"))
+        .otherwise(F.lit(0))
+    )
+
+    def cents(x: Column) -> Column:
+        return F.round(x * 100).cast("long")
+
+    rows = running_sum(df, keys, order, {"_moved": change}, block).withColumns({"_at": block, "_open": cents(opening), "_p": cents(F.col("_moved"))})
+    rows = rows.withColumn("_d", cents(F.col("balance")) - F.col("_p"))
+    rows = rows.join(_within_cents(rows, keys).withColumn("_near", F.lit(True)), [*keys, "_d"], "left")
+    rows = rows.withColumn("_e", F.when(F.col("_near"), F.col("_d")))
+
+    # only a number that differs from the one read before it can move the balance
+    inside = Window.partitionBy(*keys, "_at").orderBy(*order)
+    before = F.last("_e", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_new", (F.col("_e").isNotNull() & ~F.col("_e").eqNullSafe(before)).cast("int"))
+    rows = rows.withColumn("_nth", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    read = F.sort_array(F.collect_list(F.when(F.col("_new") == 1, F.struct("_nth", "_e"))))
+    blocks = rows.groupBy(*keys, "_at").agg(F.first("_open").alias("_open"), read.alias("_read"))
+    blocks = blocks.withColumn("_read", F.transform("_read", lambda x: x["_e"]))
+
+    def earlier(ends: Column, d: Column) -> Column:
+        end = F.coalesce(F.try_element_at(ends, d), d)
+        others = F.map_filter(ends, lambda k, _: F.abs(k - d) > 1)
+        return F.map_concat(others, F.map_from_arrays(F.array(d - 1, d, d + 1), F.array(end, end, end)))
+
+    none = F.create_map().cast("map<bigint,bigint>")
+    ends = blocks.withColumn("_map", F.aggregate(F.reverse("_read"), none, earlier))
+    ends = ends.select(*keys, "_at", "_open", "_read", F.map_keys("_map").alias("_from"), F.map_values("_map").alias("_to"))
+    starts = fold_starts(ends, keys, "_at", F.col("_open"), "_from", "_to", "_start")
+
+    def walked(seen: Column, d: Column) -> Column:
+        last = F.element_at(seen, -1)
+        return F.concat(seen, F.array(F.when(F.abs(last - d) <= 1, d).otherwise(last)))
+
+    states = ends.select(*keys, "_at", "_read").join(starts, [*keys, "_at"])
+    states = states.select(*keys, "_at", F.aggregate("_read", F.array("_start"), walked).alias("_states"))
+    state = F.get("_states", F.col("_nth") - F.col("_new"))
+    review = F.col("_d").isNull() | (F.abs(state - F.col("_d")) > 1)
+    expected = ((state + F.col("_p")) / 100).cast("decimal(20,2)")
+    out = rows.join(states, [*keys, "_at"]).withColumns({"expected": expected, "review": review})
+    out = out.withColumns({"inferred": F.when(F.col("review"), F.col("expected")), "carried": F.when(F.col("review"), F.col("expected")).otherwise(F.round("balance", 2).cast("decimal(20,2)"))})
+    return out.select(*df.columns, "expected", "review", "inferred", "carried")
+
+
+def _within_cents(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _d): numbers that a chain of numbers, each a cent from the next, connects with the opening."""
+    seen = rows.select(*keys, F.col("_d")).filter("_d is not null").union(rows.select(*keys, "_open")).distinct()
+    part = F.floor(F.col("_d") / 256)
+    gaps = last_known(seen, keys, ["_d"], {"_low": F.col("_d")}, part, inclusive=False)
+    gap = F.when(F.col("_d") - F.col("_low") > 1, 1).otherwise(0)
+    chains = running_sum(gaps, keys, ["_d"], {"_chain": gap}, part).select(*keys, "_d", "_chain")
+    own = chains.join(rows.select(*keys, F.col("_open").alias("_d")).distinct(), [*keys, "_d"]).select(*keys, "_chain")
+    return chains.join(own, [*keys, "_chain"]).select(*keys, "_d")
+
+
 def reconcile_sources(df: DataFrame, numeric=(), exact=(), text=()) -> DataFrame:
     """One value per field from three sources: structs ``a`` and ``b`` (models) and ``rx`` (patterns).
 
