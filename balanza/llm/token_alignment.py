@@ -96,8 +96,8 @@ _OPENS[[0xC2, 0xE1, 0xE2, 0xE3]] = False
 class Pair:
     """Both tokenizers with one cache of chunks."""
 
-    SLOTS = 1 << 20
-    ENTRIES = 1 << 19
+    SLOTS = 1 << 21
+    ENTRIES = 1 << 20
 
     def __init__(self, path_a: str, path_b: str):
         self.sides = (ByteLevel(path_a), Pieces(path_b))
