@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
+from balanza.functions.plan import settle
+from balanza.functions.smoothing import best_weights, smoothed_forecast
 from balanza.functions.stats import line
 
 KEYS = ("taxpayer", "metric")
@@ -58,108 +58,34 @@ def forecast_linear(series: DataFrame, horizon: int = HORIZON) -> DataFrame:
     )
 
 
-def _forecast_schema(keys: T.StructType) -> T.StructType:
-    """Forecast rows for series with keys of these types."""
-    return T.StructType([
-        T.StructField("taxpayer", keys["taxpayer"].dataType), T.StructField("metric", keys["metric"].dataType), T.StructField("model", T.StringType()),
-        T.StructField("step", T.IntegerType()), T.StructField("predicted", T.DoubleType()), T.StructField("std", T.DoubleType()),
-    ])
+def _smoothed(series: DataFrame, model: str, season: int, phi: float, min_months: int, horizon: int, weights) -> DataFrame:
+    """One row a series with its months as an array, spread over all cores: a fit is work on few bytes."""
+    rows = _indexed(series).filter(F.col("_n") >= min_months)
+    months = F.transform(F.sort_array(F.collect_list(F.struct("_x", "_y"))), lambda p: p["_y"])
+    listed = rows.groupBy(*KEYS).agg(months.alias("_months")).repartition(2 * series.sparkSession.sparkContext.defaultParallelism)
+    y = F.col("_months")
+    chosen = F.array(*[F.lit(float(x)) for x in weights]) if weights is not None else best_weights(y, phi, season)
+    fitted = settle(settle(listed, {"_w": chosen}), {"_f": smoothed_forecast(y, F.col("_w"), phi, season, horizon)})
+    return fitted.select(*KEYS, F.lit(model).alias("model"), F.posexplode("_f.predicted").alias("step", "predicted"), F.col("_f.std").alias("std")).withColumn(
+        "step", F.col("step") + 1
+    )
 
 
-def smoothing_fit(season: int, phi: float, horizon: int):
-    """Function that fits one series by exponential smoothing with a damped additive trend.
+def forecast_damped(series: DataFrame, horizon: int = HORIZON, weights=None) -> DataFrame:
+    """Damped additive trend; ``weights`` (level, trend) are searched unless given."""
+    return _smoothed(series, "exponential", 0, DAMPED_PHI, MIN_MONTHS, horizon, weights)
+
+
+def forecast_seasonal(series: DataFrame, horizon: int = HORIZON, weights=None) -> DataFrame:
+    """Damped trend with an additive yearly season; needs two years. ``weights``: level, trend, season."""
+    return _smoothed(series, "seasonal", SEASON, SEASONAL_PHI, 2 * SEASON, horizon, weights)
 
-    One-step errors are linear in the starting level, trend and season, so for given smoothing
-    weights the starts come from least squares; the weights come from a grid that is narrowed
-    around its best point. All grid points are run through the series at once.
-    """
 
-    def fit(y, weights=None):
-        n, starts = len(y), 2 + season
-
-        def run(grid):
-            g = len(grid)
-            a, b = grid[:, 0:1], grid[:, 1:2]
-            c = grid[:, 2:3] if season else None
-            # State responses: one column per unknown start, one for the data.
-            level, trend = np.zeros((g, starts + 1)), np.zeros((g, starts + 1))
-            level[:, 0], trend[:, 1] = 1.0, 1.0
-            year = np.zeros((season, g, starts + 1))
-            for s in range(season):
-                year[s, :, 2 + s] = 1.0
-            errors = np.zeros((n, g, starts + 1))
-            for t in range(n):
-                ahead = level + phi * trend
-                predicted = ahead + year[t % season] if season else ahead
-                errors[t] = -predicted
-                errors[t, :, -1] += y[t]
-                new = a * ((-year[t % season]) if season else 0.0) + (1 - a) * ahead
-                new[:, -1] += a[:, 0] * y[t]
-                moved = b * (new - level) + (1 - b) * phi * trend
-                if season:
-                    fresh = c * (-ahead) + (1 - c) * year[t % season]
-                    fresh[:, -1] += c[:, 0] * y[t]
-                    year[t % season] = fresh
-                level, trend = new, moved
-            # all grid points in one batched solve, of least norm where the starts are not determined
-            x = -errors[:, :, :-1].transpose(1, 0, 2)
-            target = errors[:, :, -1].T[:, :, None]
-            found = np.linalg.pinv(x, rcond=1e-12) @ target
-            left = (target - x @ found)[:, :, 0]
-            full = np.concatenate([found[:, :, 0], np.ones((g, 1))], axis=1)
-            ends = np.einsum("sgk,gk->gs", year, full)
-            at = int(np.argmin((left * left).sum(axis=1)))
-            return float(left[at] @ left[at]), level[at] @ full[at], trend[at] @ full[at], list(ends[at]), left[at], at
-
-        def lattice(centre, width, points):
-            axes = [np.unique(np.clip(np.linspace(m - width, m + width, points), 0.0, 1.0)) for m in centre]
-            grid = np.array(np.meshgrid(*axes)).reshape(len(axes), -1).T
-            return grid[grid[:, 1] <= 1.0]
-
-        dims = 3 if season else 2
-        if weights is not None:
-            pick = run(np.array([weights], dtype=float))
-        else:
-            centre, width, pick = [0.5] * dims, 0.5, None
-            for _ in range(6):
-                grid = lattice(centre, width, 5)
-                found = run(grid)
-                if pick is None or found[0] <= pick[0]:
-                    pick, centre = found, list(grid[found[5]])
-                width /= 2.0
-        _, level, trend, ends, left, _ = pick
-        damp, out = 0.0, []
-        for h in range(1, horizon + 1):
-            damp += phi**h
-            out.append(level + damp * trend + (ends[(n + h - 1) % season] if season else 0.0))
-        return np.array(out), float(np.std(left))
-
-    return fit
-
-
-def _smoothed(series: DataFrame, model: str, season: int, phi: float, min_months: int, horizon: int) -> DataFrame:
-    fit = smoothing_fit(season, phi, horizon)
-
-    def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("month")
-        predicted, std = fit(pdf["_y"].to_numpy(dtype=float))
-        return pd.DataFrame({
-            "taxpayer": pdf["taxpayer"].iloc[0], "metric": pdf["metric"].iloc[0], "model": model,
-            "step": np.arange(1, horizon + 1, dtype="int32"), "predicted": predicted, "std": std,
-        })
-
-    rows = _indexed(series).filter(F.col("_n") >= min_months).select(*KEYS, "month", "_y")
-    return rows.groupBy(*KEYS).applyInPandas(per_series, _forecast_schema(series.schema))
-
-
-def forecast_damped(series: DataFrame, horizon: int = HORIZON) -> DataFrame:
-    """Damped additive trend. A series is its months, so a group is small whatever the data."""
-    return _smoothed(series, "exponential", 0, DAMPED_PHI, MIN_MONTHS, horizon)
-
-
-def forecast_seasonal(series: DataFrame, horizon: int = HORIZON) -> DataFrame:
-    """Damped trend with an additive yearly season; needs two years."""
-    return _smoothed(series, "seasonal", SEASON, SEASONAL_PHI, 2 * SEASON, horizon)
+def forecast_status(series: DataFrame) -> DataFrame:
+    """(keys, n, status) of every series: ``short`` has no forecast, ``no_season`` none of the seasonal model, others ``full``."""
+    n = F.count(F.lit(1))
+    status = F.when(F.col("n") < MIN_MONTHS, "short").when(F.col("n") < 2 * SEASON, "no_season").otherwise("full")
+    return series.groupBy(*KEYS).agg(n.alias("n")).withColumn("status", status)
 
 
 def scenarios(predicted: DataFrame, facts: DataFrame) -> DataFrame:

@@ -184,6 +184,74 @@ def forecast_nfcf(spark, d):
     return forecast.derive_nfcf(_points(spark, d))
 
 
+def _smoothing_sql(name: str, model: str, source: str, season: int, phi: float, weights) -> str:
+    """CTEs that fit the smoothing model month by month for given weights: ``name`` (keys, model, step, predicted, std)."""
+    k = 2 + max(season - 1, 0)
+    a, b, c = [f"{w}::DOUBLE" for w in (*weights, 0.0)[:3]]
+    unit = ["[" + ", ".join("1.0::DOUBLE" if i == at else "0.0::DOUBLE" for i in range(k + 1)) + "]" for at in (*range(k), -1)]
+    year = "[" + ", ".join(unit[2 : k] + [unit[-1]]) + "]" if season else f"[{unit[-1]}]"
+    cols = f"range(1, {k + 2})"
+    rest = f"list_slice(yr, 2, {season})" if season else "[]"
+    now, alone = ("yr[1][i]", "yr[1]") if season else ("0.0::DOUBLE", "0.0::DOUBLE")
+    fresh = f"[{c} * (d[i] - ahead[i]) + (1 - {c}) * {now} FOR i IN {cols}]"
+    months = f"{name}_y"
+    both = "s.taxpayer = q.taxpayer AND s.metric = q.metric"
+    return f"""{months} AS (SELECT taxpayer, metric, x, n, y FROM (SELECT *, row_number() OVER (PARTITION BY taxpayer, metric ORDER BY month) - 1 AS x,
+  count(*) OVER (PARTITION BY taxpayer, metric) AS n, amount::DOUBLE AS y FROM {source}) WHERE n >= {2 * season if season else 3}),
+{name}_r(taxpayer, metric, t, lv, tr, yr, pred) AS (
+ SELECT taxpayer, metric, 0::BIGINT, {unit[0]}, {unit[1]}, {year}, {unit[-1]} FROM {months} WHERE x = 0
+ UNION ALL SELECT taxpayer, metric, t + 1, new, [{b} * (new[i] - lv[i]) + (1 - {b}) * ({phi}::DOUBLE * tr[i]) FOR i IN {cols}], {f"list_concat({rest}, [{fresh}])" if season else "yr"},
+  [ahead[i] + {now} FOR i IN {cols}] FROM (
+  SELECT *, [{a} * (d[i] - {now}) + (1 - {a}) * ahead[i] FOR i IN {cols}] AS new FROM (
+   SELECT s.*, [s.lv[i] + {phi}::DOUBLE * s.tr[i] FOR i IN {cols}] AS ahead, [CASE WHEN i = {k + 1} THEN q.y ELSE 0.0::DOUBLE END FOR i IN {cols}] AS d
+   FROM {name}_r s JOIN {months} q ON {both} AND q.x = s.t))),
+{name}_o AS (SELECT s.taxpayer, s.metric, [CASE WHEN i = {k + 1} THEN q.y - s.pred[i] ELSE s.pred[i] END FOR i IN {cols}] AS v FROM {name}_r s JOIN {months} q ON {both} AND q.x = s.t - 1),
+{name}_g AS (SELECT taxpayer, metric, i, j, sum(v[i] * v[j]) AS v FROM {name}_o, (SELECT unnest(range(1, {k + 1})) AS i) a, (SELECT unnest({cols}) AS j) b GROUP BY ALL),
+{name}_e(taxpayer, metric, p, m) AS (
+ SELECT taxpayer, metric, 1::BIGINT, list(line ORDER BY i) FROM (SELECT taxpayer, metric, i, list(v ORDER BY j) AS line FROM {name}_g GROUP BY ALL) GROUP BY ALL
+ UNION ALL SELECT taxpayer, metric, p + 1, [CASE WHEN i = p THEN m[i] ELSE [m[i][j] - (m[i][p] * CASE WHEN m[p][p] > 1e-10 THEN 1.0::DOUBLE / m[p][p] ELSE 0 END) * m[p][j] FOR j IN {cols}] END FOR i IN range(1, {k + 1})]
+ FROM {name}_e WHERE p <= {k}),
+{name}_s AS (SELECT taxpayer, metric, [CASE WHEN m[i][i] > 1e-10 THEN m[i][{k + 1}] / m[i][i] ELSE 0 END FOR i IN range(1, {k + 1})] AS st FROM {name}_e WHERE p = {k + 1}),
+{name}_w(taxpayer, metric, t, lv, tr, yr, err) AS (
+ SELECT taxpayer, metric, 0::BIGINT, st[1], st[2], {f"list_concat(list_slice(st, 3, {k}), [0.0::DOUBLE])" if season else "[0.0::DOUBLE]"}, NULL::DOUBLE FROM {name}_s
+ UNION ALL SELECT taxpayer, metric, t + 1, new, {b} * (new - lv) + (1 - {b}) * ({phi}::DOUBLE * tr), {f"list_concat({rest}, [{c} * (y - ahead) + (1 - {c}) * {alone}])" if season else "yr"}, y - (ahead + {alone}) FROM (
+  SELECT *, {a} * (y - {alone}) + (1 - {a}) * ahead AS new FROM (SELECT s.*, q.y, s.lv + {phi}::DOUBLE * s.tr AS ahead FROM {name}_w s JOIN {months} q ON {both} AND q.x = s.t))),
+{name}_d AS (SELECT taxpayer, metric, stddev_pop(err) AS std, max(t) AS n FROM {name}_w GROUP BY ALL),
+{name} AS (SELECT s.taxpayer, s.metric, '{model}' AS model, h AS step, s.lv + s.tr * list_sum([pow({phi}::DOUBLE, i) FOR i IN range(1, h + 1)]) + {f"s.yr[(h - 1) % {season} + 1]" if season else "0"} AS predicted, std
+ FROM {name}_w s JOIN {name}_d q ON {both} AND s.t = q.n, (SELECT unnest(range(1, 13)) AS h) u)"""
+
+
+# Weights that the queries with an oracle are given; the others search them.
+_DAMPED, _SEASONAL = (0.4, 0.2), (0.3, 0.1, 0.2)
+
+
+def _recursive(*ctes: str) -> str:
+    return "WITH RECURSIVE " + with_ctes(*ctes).removeprefix("WITH ")
+
+
+def _whole(df):
+    """In whole units: both engines add doubles in their own order."""
+    return df.withColumns({"predicted": F.round("predicted", 0), "std": F.round("std", 0)})
+
+
+_WHOLE = "SELECT taxpayer, metric, model, step, round(predicted, 0) AS predicted, round(std, 0) AS std FROM "
+
+
+@query("forecast_damped_given", _recursive(INV, TX, MONTHLY, GRID, _smoothing_sql("dp", "exponential", "grid", 0, 0.32, _DAMPED)) + _WHOLE + "dp")
+def forecast_damped_given(spark, d):
+    return _whole(forecast.forecast_damped(_grid(spark, d), weights=_DAMPED))
+
+
+@query("forecast_seasonal_given", _recursive(INV, TX, MONTHLY, GRID, _smoothing_sql("sn", "seasonal", "grid", 12, 0.90, _SEASONAL)) + _WHOLE + "sn")
+def forecast_seasonal_given(spark, d):
+    return _whole(forecast.forecast_seasonal(_grid(spark, d), weights=_SEASONAL))
+
+
+@query("forecast_status", with_ctes(INV, TX, MONTHLY) + "SELECT taxpayer, metric, count(*) AS n, CASE WHEN count(*) < 3 THEN 'short' WHEN count(*) < 24 THEN 'no_season' ELSE 'full' END AS status FROM monthly GROUP BY ALL")
+def forecast_status(spark, d):
+    return forecast.forecast_status(monthly(spark, d))
+
+
 @query("forecast_damped")
 def forecast_damped(spark, d):
     return forecast.forecast_damped(_grid(spark, d))

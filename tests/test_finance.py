@@ -47,26 +47,12 @@ def holt(y, a, b, phi, level, trend):
     return sse, level, trend
 
 
-def test_damped_fit_is_no_worse_than_a_search():
+def test_damped_fit_is_no_worse_than_a_search(spark):
     rng = np.random.default_rng(4)
     y = 100 + 5 * np.arange(30) + rng.normal(0, 8, 30)
-    fit = forecast.smoothing_fit(0, 0.32, 12)
-    predicted, std = fit(y)
+    out = forecast.forecast_damped(months(spark, y)).collect()
     best = min(holt(y, a, b, 0.32, lv, tr)[0] for a in np.linspace(0, 1, 11) for b in np.linspace(0, 1, 11) for lv in np.linspace(80, 120, 9) for tr in np.linspace(-10, 20, 7))
-    sse = np.sum((std**2 + 0.0) * len(y))
-    assert sse <= best * 1.02 and len(predicted) == 12
-
-
-def test_damped_fixed_weights():
-    y = np.array([3.0, 5.0, 4.0, 6.0, 8.0, 7.0, 9.0])
-    predicted, _ = forecast.smoothing_fit(0, 0.32, 3)(y, weights=(0.4, 0.2))
-    basis = [holt_path(y, 0.4, 0.2, 0.32, l0, b0) for l0, b0 in ((0, 0), (1, 0), (0, 1))]
-    e0 = basis[0][0]
-    design = np.stack([e0 - basis[1][0], e0 - basis[2][0]], axis=1)
-    l0, b0 = np.linalg.lstsq(design, e0, rcond=None)[0]
-    _, level, trend = holt_path(y, 0.4, 0.2, 0.32, l0, b0)
-    want = [level + sum(0.32**k for k in range(1, h + 1)) * trend for h in (1, 2, 3)]
-    np.testing.assert_allclose(predicted, want, rtol=1e-8)
+    assert out[0].std ** 2 * len(y) <= best * 1.02 and sorted(r.step for r in out) == list(range(1, 13))
 
 
 def holt_path(y, a, b, phi, level, trend):
@@ -80,12 +66,62 @@ def holt_path(y, a, b, phi, level, trend):
     return np.array(errors), level, trend
 
 
-def test_seasonal_finds_the_season():
+def plain_fit(y, w, phi, season, horizon):
+    """The same model month by month: starts by numpy's least squares on the predictions' responses."""
+    def run(y, level, trend, year):
+        out, year = [], list(year)
+        for t, v in enumerate(y):
+            ahead, now = level + phi * trend, year[t % season] if season else 0.0
+            out.append(ahead + now)
+            new = w[0] * (v - now) + (1 - w[0]) * ahead
+            level, trend = new, w[1] * (new - level) + (1 - w[1]) * phi * trend
+            if season:
+                year[t % season] = w[2] * (v - ahead) + (1 - w[2]) * now
+        return np.array(out), level, trend, year
+
+    k = 2 + max(season - 1, 0)
+    design = np.stack([run(np.zeros(len(y)), *(np.eye(k)[i][:2]), [*np.eye(k)[i][2:], 0.0])[0] for i in range(k)], axis=1)
+    free = run(y, 0.0, 0.0, [0.0] * season)[0]
+    start = np.linalg.lstsq(design, y - free, rcond=None)[0]
+    out, level, trend, year = run(y, start[0], start[1], [*start[2:], 0.0])
+    sums = np.cumsum([phi**h for h in range(1, horizon + 1)])
+    ahead = [level + s * trend + (year[(len(y) + h) % season] if season else 0.0) for h, s in enumerate(sums)]
+    return ahead, np.std(y - out), np.sum((y - out) ** 2)
+
+
+@pytest.mark.parametrize("w", [(0.4, 0.2, 0.3), (0.0, 0.5, 0.0), (1.0, 0.0, 0.0), (0.9, 0.7, 1.0), (0.05, 0.0, 0.6)])
+def test_given_weights(spark, w):
+    rng = np.random.default_rng(1)
+    y = np.round(500 + 3 * np.arange(31) + 40 * np.sin(np.arange(31)) + rng.normal(0, 9, 31), 2)
+    for season, phi, fit in ((0, 0.32, forecast.forecast_damped), (12, 0.90, forecast.forecast_seasonal)):
+        own = w if season else w[:2]
+        out = fit(months(spark, y), weights=own).orderBy("step").collect()
+        ahead, std, _ = plain_fit(y, own, phi, season, 12)
+        np.testing.assert_allclose([r.predicted for r in out], ahead, rtol=1e-5)
+        assert abs(out[0].std - std) < 1e-4
+
+
+def test_the_search_beats_random_weights(spark):
+    rng = np.random.default_rng(8)
+    for y in (np.round(300 + rng.normal(0, 30, 26), 2), np.round(100 * np.exp(np.arange(40) / 20), 2), np.repeat([5.0, 90.0], 15)):
+        found = forecast.forecast_seasonal(months(spark, y)).first().std ** 2 * len(y)
+        others = [plain_fit(y, rng.random(3), 0.90, 12, 1)[2] for _ in range(60)]
+        assert found <= min(others) * 1.001 + 1e-6
+
+
+def test_short_and_constant_series(spark):
+    assert forecast.forecast_damped(months(spark, [4.0, 5.0])).collect() == []
+    flat = forecast.forecast_seasonal(months(spark, [7.0] * 24)).collect()
+    np.testing.assert_allclose([r.predicted for r in flat], [7.0] * 12, atol=1e-6)
+    status = forecast.forecast_status(months(spark, [1.0, 2.0]).unionByName(months(spark, [1.0] * 5, metric="m")).unionByName(months(spark, [1.0] * 24, metric="z")))
+    assert sorted((r.n, r.status) for r in status.collect()) == [(2, "short"), (5, "no_season"), (24, "full")]
+
+
+def test_seasonal_finds_the_season(spark):
     season = np.array([0, 5, 9, 5, 0, -5, -9, -5, 0, 3, 6, 3], dtype=float)
-    y = np.tile(season, 3) + 100
-    predicted, std = forecast.smoothing_fit(12, 0.90, 12)(y)
-    np.testing.assert_allclose(predicted, season + 100, atol=0.05)
-    assert std < 0.05
+    out = forecast.forecast_seasonal(months(spark, np.tile(season, 3) + 100)).orderBy("step").collect()
+    np.testing.assert_allclose([r.predicted for r in out], season + 100, atol=0.05)
+    assert out[0].std < 0.05
 
 
 def test_nfcf_and_scenarios(spark):
