@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from balanza.operators import layout as L, reports, totals as T
 from balanza.queries.registry import LINES, PAGES, WORDS, query, with_ctes
-from balanza.session import cut
 from balanza.sources import adapters as A
 
 WORD_LINES = """wl AS (SELECT doc_id, page, floor(y0 / 3) * 3 AS y, string_agg(text, ' ' ORDER BY x0) AS text, max(y1) AS y_max, count(*) AS words FROM doc_words GROUP BY ALL)"""
@@ -167,34 +166,143 @@ def stitch_signs(spark, d):
 def _sliced_amounts(spark, d):
     rows = _amount_words(spark, d)
     sliced = L.anchor_slices(rows.select("doc_id", "page", "line", "place", "text", "x0", "y0", "x1", "y1", "zones", "text_from"), _simple_anchors(spark, d))
-    sliced = cut(sliced)
-    return sliced, L.amount_rows(L.assign_amounts(sliced))
-
-
-@query("amount_rows")
+    return L.slice_rows(L.mark_amounts(sliced))
+
+
+# The rows of slices, walked word by word.
+_SLICED = f"""{_ANCHORS},
+sb AS (SELECT w.*, a.date_text AS d0, a.page AS p0, a.y AS ay FROM doc_words w LEFT JOIN anc a ON a.doc_id = w.doc_id AND a.page = w.page AND a.y = w.y0 AND w.place = 0),
+sc AS (SELECT doc_id, page, line, place, x0::DOUBLE AS x0, (x0 + x1) / 2 AS xc, y0::DOUBLE AS y0, CASE WHEN place % 2 = 0 THEN concat(CASE WHEN (doc_id + place) % 3 = 0 THEN '-' ELSE '' END, '$', place % 9, ',', lpad(CAST(line % 1000 AS VARCHAR), 3, '0'), '.50') ELSE text END AS text,
+ (CASE WHEN (doc_id + place) % 3 = 0 THEN -1 ELSE 1 END) * ((place % 9) * 1000 + line % 1000 + 0.5) AS v, CASE WHEN doc_id % 5 <> 0 THEN 390 ELSE 9999 END AS wall,
+ last_value(p0 IGNORE NULLS) OVER w AS ap, last_value(ay IGNORE NULLS) OVER w AS ay FROM sb WINDOW w AS (PARTITION BY doc_id ORDER BY page, y0, x0 ROWS UNBOUNDED PRECEDING)),
+sw AS (SELECT *, dense_rank() OVER (ORDER BY doc_id, page, ap, ay) AS sid, CASE WHEN place % 2 = 0 AND x0 < wall AND x0 > 35 THEN CASE doc_id % 3 WHEN 0 THEN CASE WHEN xc BETWEEN 120 AND 215 THEN 'CARGO' WHEN xc BETWEEN 215 AND 285 THEN 'ABONO' WHEN x0 BETWEEN 120 AND 215 THEN 'CARGO' WHEN x0 BETWEEN 215 AND 285 THEN 'ABONO' END
+ ELSE CASE WHEN xc BETWEEN 120 AND 230 OR x0 BETWEEN 120 AND 230 THEN 'IMPORTE' END END END AS col FROM sc),
+am AS (SELECT sid, x0, y0, v, CASE WHEN col <> 'IMPORTE' THEN col WHEN v < 0 THEN 'CARGO' ELSE 'ABONO' END AS kind, row_number() OVER (PARTITION BY sid ORDER BY y0, x0) AS i FROM sw WHERE col IS NOT NULL),
+cl(sid, i, first_y, x0, y0, v, kind) AS (SELECT sid, i, y0, x0, y0, v, kind FROM am WHERE i = 1
+ UNION ALL SELECT a.sid, a.i, CASE WHEN a.y0 - c.first_y >= {L.R.ROW_GAP} THEN a.y0 ELSE c.first_y END, a.x0, a.y0, a.v, a.kind FROM cl c JOIN am a ON a.sid = c.sid AND a.i = c.i + 1),
+ro AS (SELECT sid, first_y, min(x0) AS row_x, arg_min(y0, x0 * 1000 + y0) AS row_y, arg_min(v, x0 * 1000 + y0) AS v, arg_min(kind, x0 * 1000 + y0) AS kind FROM cl GROUP BY ALL),
+rw AS (SELECT *, row_number() OVER w AS row_no, (lag(first_y) OVER w + row_y) / 2 AS top, (row_y + lead(first_y) OVER w) / 2 AS low FROM ro WINDOW w AS (PARTITION BY sid ORDER BY first_y)),
+si AS (SELECT DISTINCT sid, doc_id, page, ap, ay FROM sw)"""
+
+_DESCRIBED = f"""nw AS (SELECT r.sid, r.row_no, w.x0, w.y0, w.text, w.x0 > 10 AND w.x0 < row_x - 5 AND NOT (trim(text) = '$' AND row_x - x0 < 120)
+ AND NOT (regexp_matches(trim(text), '^[0-9]{{4,8}}$') AND row_x - x0 < 180 AND x0 > 200) AS used FROM rw r JOIN sw w ON w.sid = r.sid AND (top IS NULL OR w.y0 >= top) AND (low IS NULL OR w.y0 < low)),
+lone AS (SELECT s.sid FROM si s WHERE ap < page AND NOT EXISTS (SELECT 1 FROM am WHERE am.sid = s.sid)),
+tk AS (SELECT *, row_number() OVER (PARTITION BY sid, row_no ORDER BY round(y0), x0) AS i FROM (
+ SELECT sid, row_no, x0, y0, text FROM nw WHERE used UNION ALL SELECT w.sid, 0, x0, y0, text FROM sw w JOIN lone ON lone.sid = w.sid WHERE x0 > 10)),
+lf(sid, row_no, i, ln, ref, text) AS (SELECT sid, row_no, i, 1, y0, text FROM tk WHERE i = 1
+ UNION ALL SELECT t.sid, t.row_no, t.i, CASE WHEN abs(t.y0 - f.ref) > {L.R.LINE_GAP} THEN f.ln + 1 ELSE f.ln END, CASE WHEN abs(t.y0 - f.ref) > {L.R.LINE_GAP} THEN t.y0 ELSE f.ref END, t.text FROM lf f JOIN tk t ON t.sid = f.sid AND t.row_no = f.row_no AND t.i = f.i + 1),
+li AS (SELECT sid, row_no, ln, string_agg(text, ' ' ORDER BY i) AS t FROM lf GROUP BY ALL),
+tot AS (SELECT sid, row_no FROM li WHERE upper(trim(t)) IN ({", ".join(f"'{t}'" for t in L.R.TOTAL_LINES)}) UNION SELECT sid, row_no FROM (SELECT sid, row_no, upper(string_agg(text, ' ' ORDER BY x0, text)) AS t FROM nw GROUP BY ALL)
+ WHERE regexp_matches(t, '{L.R.TOTAL_ROW_RX}') OR regexp_matches(t, '{"|".join(L.R.TOTAL_ROW_TEXT)}')),
+de AS (SELECT sid, row_no, trim(string_agg(t, chr(10) ORDER BY ln)) AS description FROM li WHERE row_no > 0 AND NOT regexp_matches(upper(t), '{"|".join(L.R.IGNORED_TEXT)}') AND NOT regexp_matches(trim(t), '{L.R.JUNK_LINE_RX}')
+ AND NOT EXISTS (SELECT 1 FROM tot WHERE tot.sid = li.sid AND tot.row_no = li.row_no) GROUP BY ALL),
+ds AS (SELECT s.*, r.row_no, first_y, kind, v, description FROM rw r JOIN si s ON s.sid = r.sid JOIN de ON de.sid = r.sid AND de.row_no = r.row_no WHERE description <> ''),
+orp AS (SELECT doc_id, page - 1 AS page, max(x) AS extra FROM (SELECT sid, trim(string_agg(t, chr(10) ORDER BY ln)) AS x FROM li WHERE row_no = 0 GROUP BY ALL) o JOIN si ON si.sid = o.sid WHERE x <> '' GROUP BY ALL)"""
+
+
+def _walked(*ctes: str) -> str:
+    return "WITH RECURSIVE " + with_ctes(LINES, PAGES, WORDS, *ctes).removeprefix("WITH ")
+
+
+@query("amount_rows", _walked(_SLICED) + """SELECT doc_id, page, ap::DOUBLE AS anchor_page, ay::DOUBLE AS anchor_y, row_no, first_y, row_y, row_x, kind, abs(v)::DOUBLE AS amount, top::DOUBLE AS text_top, low::DOUBLE AS text_bottom
+FROM rw JOIN si ON si.sid = rw.sid""")
 def amount_rows(spark, d):
-    return _sliced_amounts(spark, d)[1].select("doc_id", "page", "anchor_page", "anchor_y", "row_no", "first_y", "row_y", "row_x", "kind", "amount", "text_top", "text_bottom")
+    rows = _sliced_amounts(spark, d).filter(F.col("amount").isNotNull())
+    return rows.select("doc_id", "page", F.col("anchor_page").cast("double").alias("anchor_page"), "anchor_y", F.col("row_no").cast("long").alias("row_no"), "first_y", "row_y", "row_x", "kind", "amount", "text_top", "text_bottom")
 
 
-@query("row_descriptions")
+@query("row_descriptions", _walked(_SLICED, _DESCRIBED) + "SELECT doc_id, page, ap::DOUBLE AS anchor_page, ay::DOUBLE AS anchor_y, row_no, kind, abs(v)::DOUBLE AS amount, description FROM ds")
 def row_descriptions(spark, d):
-    sliced, rows = _sliced_amounts(spark, d)
-    return L.row_descriptions(rows, sliced).select("doc_id", "page", "anchor_page", "anchor_y", "row_no", "kind", "amount", "description")
+    rows = _sliced_amounts(spark, d).filter(F.col("description").isNotNull())
+    return rows.select("doc_id", "page", F.col("anchor_page").cast("double").alias("anchor_page"), "anchor_y", F.col("row_no").cast("long").alias("row_no"), "kind", "amount", "description")
 
 
-@query("stitch_orphans")
+@query("stitch_orphans", _walked(_SLICED, _DESCRIBED) + """SELECT ds.doc_id, ds.page, row_no, ay::DOUBLE AS anchor_y,
+ CASE WHEN extra IS NOT NULL AND row_number() OVER (PARTITION BY ds.doc_id, ds.page ORDER BY first_y DESC, row_no DESC) = 1 THEN concat(description, chr(10), extra) ELSE description END AS description
+FROM ds LEFT JOIN orp o ON o.doc_id = ds.doc_id AND o.page = ds.page""")
 def stitch_orphans(spark, d):
-    sliced, rows = _sliced_amounts(spark, d)
-    described = cut(L.row_descriptions(rows, sliced))
-    return L.stitch_orphans(described, L.orphan_texts(sliced, described)).select("doc_id", "page", "row_no", "anchor_y", "description")
+    return L.stitch_orphans(_sliced_amounts(spark, d)).select("doc_id", "page", F.col("row_no").cast("long").alias("row_no"), "anchor_y", "description")
+
 
+_NAMES = {"FECHA": ("THE", "LE"), "DESCRIPCION": ("AND",), "REFERENCIA": ("ZZ",), "CARGO": ("ION", "ER"), "ABONO": ("XX",), "SALDO": ("IS", "LA"), "IMPORTE": ("OF",)}
 
-@query("column_layout")
+
+@query("column_layout", with_ctes(LINES, PAGES, WORDS) + """
+, b AS (SELECT *, (x0 + x1) / 2 AS c, abs(y0 - 20) * 1e9 + y0 * 1e6 + x0 AS k FROM doc_words WHERE y0 BETWEEN -10 AND 20),
+f AS (SELECT doc_id, page, """ + ", ".join(f"arg_min(c, k) FILTER (regexp_matches(upper(text), '{'|'.join(words)}')) AS {n.lower()}" for n, words in _NAMES.items()) + """ FROM b GROUP BY ALL),
+g AS (SELECT p.doc_id, p.page, fecha, descripcion, referencia, cargo, coalesce(abono, (cargo + saldo) / 2) AS abono, saldo, importe FROM (SELECT DISTINCT doc_id, page FROM doc_pages) p LEFT JOIN f ON f.doc_id = p.doc_id AND f.page = p.page),
+v AS (SELECT *, coalesce(fecha, 0) > 0 AND coalesce(cargo, abono, saldo, importe) IS NOT NULL AS own_header FROM g),
+l AS (SELECT doc_id, page, own_header, last_value(CASE WHEN own_header THEN {'f': fecha, 'd': descripcion, 'r': referencia, 'c': cargo, 'a': abono, 's': saldo, 'i': importe} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page ROWS UNBOUNDED PRECEDING) AS x FROM v)
+SELECT doc_id, page, own_header, x.f::DOUBLE AS fecha, x.d::DOUBLE AS descripcion, x.r::DOUBLE AS referencia, x.c::DOUBLE AS cargo, x.a::DOUBLE AS abono, x.s::DOUBLE AS saldo, x.i::DOUBLE AS importe FROM l""")
 def column_layout(spark, d):
-    names = {"FECHA": ("THE", "LE"), "DESCRIPCION": ("AND",), "REFERENCIA": ("ZZ",), "CARGO": ("ION", "ER"), "ABONO": ("XX",), "SALDO": ("IS", "LA"), "IMPORTE": ("OF",)}
     headers = page_sizes(spark, d).withColumn("header_y", F.lit(20.0))
-    out = L.column_layout(words(spark, d), headers, names=names)
-    return out.select("doc_id", "page", "own_header", *[F.col(f"columns.{n}.center").alias(n.lower()) for n in names])
+    out = L.column_layout(words(spark, d), headers, names=_NAMES)
+    return out.select("doc_id", "page", "own_header", *[F.col(f"columns.{n}.center").alias(n.lower()) for n in _NAMES])
+
+
+# Headers further down: pages of 40 lines, with words of the text as column names.
+_PROFILES = (
+    (15.5, {"FECHA": ("THE", "LE"), "CARGO": ("ION",), "ABONO": ("XX",), "SALDO": ("IS", "LA"), "DESCRIPCION": ("AND",), "IMPORTE": ("OF",)}),
+    (30.0, {"FECHA": ("TH",), "CARGO": ("ER",), "IMPORTE": ("EN",), "REFERENCIA": ("ZZ",), "EXTRA": ("AN",)}),
+)
+_TALL = [c.replace("line / 5", "line / 40").replace("line % 5", "line % 40") for c in (PAGES, WORDS)]
+
+
+def _tall_words(spark, d):
+    return A.doc_words(spark, d, 40)
+
+
+def _bands(spark, d):
+    tall = _tall_words(spark, d)
+    tops = tall.select("doc_id", "page").distinct().withColumn("top", F.lit(18.0))
+    return L.inline_bands(tall, tops, _score(F.col("text")), _PROFILES)
+
+
+def _profile_sql(i: int) -> str:
+    height, names = _PROFILES[i]
+    picks = ", ".join(f"arg_min({{'c': (x0 + x1) / 2, 'b': y1}}, abs(y0 - s) * 1e9 + y0 * 1e6 + x0) FILTER (y0 <= s + {height} AND regexp_matches(upper(text), '{'|'.join(w)}')) AS {n.lower()}{i}" for n, w in names.items())
+    return picks
+
+
+def _choice_sql(i: int) -> str:
+    names = _PROFILES[i][1]
+    count = " + ".join(f"({n.lower()}{i} IS NOT NULL)::INT" for n in names)
+    money = " OR ".join(f"{n.lower()}{i} IS NOT NULL" for n in ("CARGO", "ABONO", "DESCRIPCION", "IMPORTE") if n in names)
+    return f"CASE WHEN fecha{i} IS NOT NULL AND ({money}) THEN {count} END AS m{i}, greatest({', '.join(f'{n.lower()}{i}.b' for n in names if n != 'EXTRA')}) AS b{i}"
+
+
+_BANDS = f"""bl AS (SELECT doc_id, page, floor(y0 / 5) * 5 AS y, string_agg(text, ' ' ORDER BY x0) AS text FROM doc_words GROUP BY ALL),
+lk AS (SELECT doc_id, page, y FROM bl WHERE {_score_sql('text')} >= 2 AND y > 18 + {L.R.BAND_APART}),
+tr AS (SELECT *, y - {L.R.BAND_TRY_UP} AS s FROM lk UNION ALL SELECT *, y - {L.R.BAND_UP} FROM lk),
+fo AS (SELECT t.doc_id, t.page, t.y, t.s, {_profile_sql(0)}, {_profile_sql(1)} FROM tr t JOIN doc_words w ON w.doc_id = t.doc_id AND w.page = t.page AND w.y0 BETWEEN s AND s + 30 GROUP BY ALL),
+ch AS (SELECT doc_id, page, y, s, {_choice_sql(0)}, {_choice_sql(1)} FROM fo),
+pk AS (SELECT *, CASE WHEN m0 >= {L.R.BAND_MIN_MATCHES} OR (m0 IS NOT NULL AND m0 >= coalesce(m1, 0)) THEN 0 WHEN m1 IS NOT NULL THEN 1 END AS profile FROM ch),
+ok AS (SELECT doc_id, page, y, arg_max(profile, s) AS profile, arg_max(CASE profile WHEN 0 THEN m0 ELSE m1 END, s) AS matches, arg_max(CASE profile WHEN 0 THEN b0 ELSE b1 END, s) AS bottom, row_number() OVER (PARTITION BY doc_id, page ORDER BY y) AS i
+ FROM pk WHERE profile IS NOT NULL GROUP BY doc_id, page, y HAVING count(*) = 2),
+th(doc_id, page, i, y, profile, matches, bottom, edge, taken) AS (
+ SELECT doc_id, page, 0::BIGINT, 0::DOUBLE, 0, 0::BIGINT, 0::DOUBLE, 18::DOUBLE, false FROM (SELECT DISTINCT doc_id, page FROM ok)
+ UNION ALL SELECT o.doc_id, o.page, o.i, o.y, o.profile, o.matches, o.bottom, CASE WHEN o.y > t.edge + {L.R.BAND_APART} AND o.y < t.edge + {L.R.BAND_REACH} THEN o.bottom ELSE t.edge END, o.y > t.edge + {L.R.BAND_APART} AND o.y < t.edge + {L.R.BAND_REACH}
+ FROM th t JOIN ok o ON o.doc_id = t.doc_id AND o.page = t.page AND o.i = t.i + 1),
+bd AS (SELECT doc_id, page, y, bottom, profile, matches FROM th WHERE taken)"""
+
+
+@query("inline_bands", "WITH RECURSIVE " + with_ctes(LINES, *_TALL, _BANDS).removeprefix("WITH ") + "SELECT doc_id, page, y::DOUBLE AS y, bottom::DOUBLE AS bottom, profile::BIGINT AS profile, matches::BIGINT AS matches FROM bd")
+def inline_bands(spark, d):
+    return _bands(spark, d).select("doc_id", "page", "y", "bottom", F.col("profile").cast("long").alias("profile"), F.col("matches").cast("long").alias("matches"))
+
+
+@query("banded_words", "WITH RECURSIVE " + with_ctes(LINES, *_TALL, _BANDS).removeprefix("WITH ") + f"""
+, mk AS (SELECT doc_id, page, y - {L.R.BAND_TOP} AS y0, -1::DOUBLE AS x0, page AS bp, y - {L.R.BAND_TOP} AS band, bottom, -1 AS line, -1 AS place FROM bd
+ UNION ALL SELECT DISTINCT doc_id, page, -1, -1, page, NULL, -1, -1, -1 FROM doc_pages WHERE page % 3 = 1
+ UNION ALL SELECT doc_id, page, y0, x0, NULL, NULL, NULL, line, place FROM doc_words),
+cr AS (SELECT *, last_value(CASE WHEN line < 0 THEN {{'p': bp, 'y': band, 'b': bottom}} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, y0, x0 ROWS UNBOUNDED PRECEDING) AS k FROM mk)
+SELECT doc_id, page, line, place, k.p::BIGINT AS band_page, k.y::DOUBLE AS band_y FROM cr WHERE line >= 0 AND NOT coalesce(k.p = page AND y0 < k.b, false)""")
+def banded_words(spark, d):
+    tall = _tall_words(spark, d)
+    own = tall.filter("page % 3 = 1").select("doc_id", "page").distinct().withColumn("columns", F.struct(*[F.lit(None).cast(L._BOX).alias(n) for n in L.R.COLUMN_WORDS]))
+    out = L.banded_words(tall, _bands(spark, d), own)
+    at = F.when(F.col("band_y") > F.lit(float("-inf")), F.col("band_y"))
+    return out.select("doc_id", "page", "line", "place", F.col("band_page").cast("long").alias("band_page"), at.alias("band_y"))
 
 
 _ZONES = (("RECIBIDOS", ("REREA", "EAUX")), ("ENVIADOS", ("ONDRE",)), ("DETALLE_CREDITO", ("IONTH",)))

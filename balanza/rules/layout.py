@@ -63,6 +63,10 @@ BAND_PROFILES = (
     }),
 )
 BAND_MIN_MATCHES = 4
+# How lines further down a page are tried as headers (score, line height, distances).
+BAND_SCORE, BAND_LINE = 2, 5
+BAND_APART, BAND_REACH = 30.0, 600.0
+BAND_TRY_UP, BAND_UP, BAND_TOP = 15.0, 5.0, 10.0
 
 # Date shapes, money shape, words that are no dates, texts that are no description.
 MONTHS_RX = "(?:ENE|FEB|MAR|ABR|MAY|JUN|JUL|AGO|SEP|OCT|NOV|DIC|JAN|APR|AUG|DEC)"

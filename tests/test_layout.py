@@ -59,8 +59,10 @@ def test_amount_rows_equal_walk(spark):
                 groups.append([(x, y)])
         want[page] = [(g[0][1], min(g)[0]) for g in groups]
     df = spark.createDataFrame(data, "doc_id int, page int, anchor_page int, anchor_y double, x0 double, y0 double, kind string, amount double")
+    money = F.struct("kind", "amount", F.lit(False).alias("was_single"), F.lit(False).alias("signed"))
+    df = df.withColumns({"money": money, "text": F.col("kind"), "text_from": F.lit(0.0)})
     got = {}
-    for r in L.amount_rows(df).orderBy("page", "row_no").collect():
+    for r in L.slice_rows(df).orderBy("page", "row_no").collect():
         got.setdefault(r.page, []).append((r.first_y, r.row_x))
     assert got == want
 
@@ -136,3 +138,45 @@ def test_page_ranges_equal_walk(spark):
     for r in L.page_ranges(df, F.col("s"), F.col("e")).collect():
         got.setdefault(r.doc_id, []).append((r.first_page, r.last_page))
     assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def second_table():
+    """A statement whose page 1 has a second table below, with other columns, which page 2 goes on with."""
+    words = [(1, 1, float(x), 100.0, float(x + 40), 110.0, t) for x, t in ((50, "FECHA"), (150, "DESCRIPCION"), (300, "CARGO"), (400, "ABONO"), (500, "SALDO"))]
+    words += [(1, 1, float(x), 140.0, float(x + 30), 150.0, t) for x, t in ((50, "01/01"), (150, "PAGO"), (305, "500.00"))]
+    words += [(1, 1, float(x), 300.0, float(x + 40), 310.0, t) for x, t in ((50, "FECHA"), (150, "CONCEPTO"), (420, "DEPOSITO"), (300, "FOLIO"))]
+    words += [(1, 1, float(x), 340.0, float(x + 30), 350.0, t) for x, t in ((50, "02/01"), (150, "ENTRADA"), (425, "70.00"))]
+    words += [(1, 2, float(x), 200.0, float(x + 30), 210.0, t) for x, t in ((50, "03/01"), (150, "OTRA"), (425, "80.00"))]
+    return words
+
+
+def test_a_second_table_takes_its_own_columns(spark):
+    df = spark.createDataFrame(second_table(), "doc_id bigint, page bigint, x0 double, y0 double, x1 double, y1 double, text string")
+    tops = spark.createDataFrame([(1, 1, 110.0), (1, 2, 100.0)], "doc_id bigint, page bigint, top double")
+    bands = L.inline_bands(df, tops).collect()
+    assert [(b.page, b.y, b.bottom, b.profile) for b in bands] == [(1, 300.0, 310.0, 0)]
+    assert bands[0].columns.ABONO.center == 440.0 and bands[0].columns.CARGO is None
+    own = spark.createDataFrame([(1, 1)], "doc_id bigint, page bigint").withColumn("columns", F.struct(*[F.lit(None).cast(L._BOX).alias(n) for n in L.R.COLUMN_WORDS]))
+    placed = {(r.page, r.y0, r.text): (r.band_page, r.band_y) for r in L.banded_words(df, L.inline_bands(df, tops), own).collect()}
+    assert placed[1, 140.0, "PAGO"] == (1, float("-inf")) and placed[1, 340.0, "ENTRADA"] == (1, 290.0) and placed[2, 200.0, "OTRA"] == (1, 290.0)
+    assert not any(p == 1 and y == 300.0 for p, y, _ in placed)
+    pages = spark.createDataFrame([(1, 1, 600.0, 800.0), (1, 2, 600.0, 800.0)], "doc_id bigint, page bigint, width double, height double")
+    got = sorted((r.page, r.posted, r.description, r.amount, r.kind) for r in extract_movements(df, pages).collect())
+    assert [g[:4] for g in got] == [(1, "01/01", "PAGO", 500.0), (1, "02/01", "ENTRADA", 70.0), (2, "03/01", "OTRA", 80.0)]
+    assert got[0][4] == "CARGO" and all(g[4] in ("ABONO", "IMPORTE") for g in got[1:])
+
+
+def test_rows_of_slices(spark):
+    """Totals go, lines break, signs and short numbers beside an amount are no text, a lone inherited slice is an orphan."""
+    money = "struct<kind:string,amount:double,was_single:boolean,signed:boolean>"
+    paid = ("CARGO", 5.0, False, False)
+    rows = [
+        (1, 1, 1, 10.0, 100.0, 12.0, "PAGO", None), (1, 1, 1, 10.0, 130.0, 12.4, "UNO", None), (1, 1, 1, 10.0, 290.0, 12.0, "$", None), (1, 1, 1, 10.0, 250.0, 12.0, "12345", None), (1, 1, 1, 10.0, 300.0, 12.0, "5.00", paid),
+        (1, 1, 1, 10.0, 100.0, 20.0, "segunda", None), (1, 1, 1, 10.0, 100.0, 50.0, "TOTAL", None), (1, 1, 1, 10.0, 300.0, 50.0, "9.00", paid), (1, 1, 1, 10.0, 320.0, 54.0, "8.00", paid),
+        (1, 2, 1, 10.0, 100.0, 5.0, "cola", None), (1, 2, 1, 10.0, 100.0, 15.0, "más", None), (1, 2, 2, 40.0, 100.0, 42.0, "solo", None),
+    ]
+    df = spark.createDataFrame(rows, f"doc_id int, page int, anchor_page int, anchor_y double, x0 double, y0 double, text string, money {money}").withColumn("text_from", F.lit(50.0))
+    out = L.slice_rows(df)
+    got = {(r.page, r.row_no): (r.amount, r.description, r.orphan) for r in out.collect()}
+    assert got == {(1, 1): (5.0, "PAGO UNO\nsegunda", None), (1, 2): (5.0, None, None), (2, 0): (None, None, "cola\nmás")}
+    assert [(r.page, r.description) for r in L.stitch_orphans(out).collect()] == [(1, "PAGO UNO\nsegunda\ncola\nmás")]
