@@ -12,13 +12,15 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from balanza.llm import words as W
 from balanza.llm.components import components
@@ -105,6 +107,7 @@ def gram_classes(texts: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.ndarra
 def _prefixes(n: int, num: int, den: int, classes, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
+        told: set[int] = set()  # groups whose prefix this task has given already
         for batch in batches:
             for part in W.slices(batch, "text"):
                 size, cid, gid, prefix = [], [], [], []
@@ -119,7 +122,10 @@ def _prefixes(n: int, num: int, den: int, classes, bits: int):
                     key = key[: k + (-num * k // den) + 1]
                     cid.append(class_id(grams))
                     gid.append(group_id(key, k))
-                    prefix.append(key.view(np.int64))
+                    prefix.append(None if gid[-1] in told else key.view(np.int64))
+                    told.add(gid[-1])
+                if len(told) > 1 << 20:
+                    told.clear()
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.array(gid, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
                     names=["id", "n", "cid", "gid", "prefix"],
@@ -139,15 +145,33 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"bits": pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())})
 
 
+def marks_of(ids: DataFrame) -> np.ndarray:
+    """A bit for each hash of the column h: one table of fixed size, which only saves work."""
+    bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+    for row in ids.mapInArrow(_mark, "bits binary").toLocalIterator():  # a table at a time
+        bits |= np.frombuffer(zlib.decompress(row.bits), dtype=np.uint8)
+    return bits
+
+
+def is_marked(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    h = h.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+    return ((table[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def forget(spark: SparkSession) -> None:
+    """Lets the driver notice that shuffles of finished steps are unused, so that their files go from the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _sets(n: int, marks):
     """(cid, grams) of the texts whose id hash is marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = marks.value
         for batch in batches:
-            h = batch.column("h").to_numpy().view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
-            keep = (table[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1
-            for part in W.slices(batch.filter(pa.array(keep.astype(bool))), "text"):
+            keep = is_marked(batch.column("h").to_numpy(), table)
+            for part in W.slices(batch.filter(pa.array(keep)), "text"):
                 sets = [s for s in W.gram_sets(*W.strings(part.column("text")), n) if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cid", "grams"]
@@ -170,19 +194,33 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = spark.sparkContext.broadcast(gram_classes(texts.select("text"), n))
     id_type = docs.schema[id_col].dataType
     out = f"id {id_type.simpleString()}, n long, cid long, gid long, prefix array<long>"
-    rows = cut(texts.mapInArrow(_prefixes(n, num, den, classes, SKETCH_BITS), out))
+    rows = cut(texts.mapInArrow(_prefixes(n, num, den, classes, SKETCH_BITS), out), "zstd")
 
     known = rows.filter("id is not null and cid is not null")
-    member = known.groupBy("cid").agg(F.min("id").alias("low"), F.first("gid").alias("gid"))
-    member = cut(member)  # one row a class
-    # an entry: a gram, its group, and the gram's place in the prefix with the group's set size (p * 2^32 + n)
-    groups = cut(known.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("cid") != F.max("cid")).cast("int").alias("many")))
-    entries = groups.select("gid", "n", "many", F.posexplode("prefix").alias("p", "tok")).select(
-        "tok", "gid", F.shiftleft(F.col("p").cast("long"), 32).bitwiseOR(F.col("n")).alias("np"), "many"
-    )
-    # groups of a gram, those of several classes counted twice
-    shared = entries.groupBy("tok").agg(F.sum(F.lit(1) + F.col("many")).alias("k")).filter("k > 1")
-    entries = cut(entries.drop("many").join(shared, "tok"))
+    member = cut(known.groupBy("cid").agg(F.min("id").alias("low"), F.first("gid").alias("gid")))  # one row a class
+
+    # n-grams that two groups have: most have one only, so they travel once, with nothing but their group
+    seen = known.select("gid", F.explode("prefix").alias("tok")).repartition("tok")
+    shared = seen.groupBy("tok").agg(F.min("gid").alias("g1"), F.max("gid").alias("g2")).filter("g1 <> g2").select("tok")
+    met = cut(seen.join(shared, "tok").distinct(), "zstd")
+    del seen, shared
+    forget(spark)
+
+    # those groups with their prefixes; others can't link to any group
+    table = spark.sparkContext.broadcast(marks_of(met.select(F.xxhash64("gid").alias("h")).distinct()))
+    may_meet = F.pandas_udf(lambda h: pd.Series(is_marked(h.to_numpy(), table.value)), "boolean")
+    shown = known.filter("prefix is not null").select("gid", "n", "prefix", F.xxhash64("gid").alias("h")).filter(may_meet("h"))
+    groups = shown.join(met.select("gid").distinct(), "gid", "left_semi").groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    groups = cut(groups, "zstd")
+    # an entry: a gram, its group, the gram's place in the prefix with the group's set size (p * 2^32 + n), and the
+    # groups of the gram, those of several classes counted twice
+    place = F.shiftleft((F.array_position("prefix", F.col("tok")) - 1).cast("long"), 32).bitwiseOR(F.col("n"))
+    entries = met.join(groups, "gid").select("tok", "gid", place.alias("np"))
+    many = member.groupBy("gid").agg((F.min("cid") != F.max("cid")).cast("int").alias("many"))
+    counted = met.join(many, "gid").groupBy("tok").agg(F.sum(F.lit(1) + F.col("many")).alias("k"))
+    entries = cut(entries.join(counted, "tok"), "zstd")
+    del met, shown, counted, many
+    forget(spark)
 
     def fits(x, y):
         """Sizes and places leave room for enough common grams."""
@@ -207,11 +245,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         """The pairs (a, b) of classes that link, by their whole sets."""
         pairs = cut(pairs)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
-        ids = member.join(wanted, "cid").select(F.xxhash64("low").alias("h"))
-        for row in ids.mapInArrow(_mark, "bits binary").toLocalIterator():  # one table of fixed size at a time
-            bits |= np.frombuffer(zlib.decompress(row.bits), dtype=np.uint8)
-        marks = spark.sparkContext.broadcast(bits)
+        marks = spark.sparkContext.broadcast(marks_of(member.join(wanted, "cid").select(F.xxhash64("low").alias("h"))))
         sets = texts.select(F.xxhash64("id").alias("h"), "text").mapInArrow(_sets(n, marks), "cid long, grams array<long>")
         sets = sets.dropDuplicates(["cid"])
         a, b = sets.select(F.col("cid").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("cid").alias("b"), F.col("grams").alias("gb"))
@@ -227,7 +261,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     star = near.join(head.select(F.col("gid").alias("h"), F.col("head").alias("a")), "h").join(member.select("gid", F.col("cid").alias("b")), "gid")
     own = member.join(head, "gid").filter("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b"))
     first = cut(linked(star.select("a", "b").union(own).distinct()))
+    del near, star
+    forget(spark)
     roots = cut(components(first))
+    forget(spark)
 
     # what is left: pairs of groups with classes in different components
     placed = member.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gid", F.coalesce("root", "cid").alias("root"))
@@ -247,6 +284,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mixed = span.filter("r1 <> r2").select("gid")
     within = u.join(mixed, u.gid_x == mixed.gid).drop("gid").join(v, F.col("gid_x") == F.col("gid_y")).filter("a < b and ra <> rb").select("a", "b")
     checked = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    forget(spark)
     more = linked(across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti"))
     roots = components(first.union(more))
 
