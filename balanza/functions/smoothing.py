@@ -9,20 +9,16 @@ shift of all season values against the level changes no prediction.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column, functions as F
 
+from balanza.functions.plan import let
+
 #: Halvings of the grid's width after the first, coarse pass.
 ROUNDS = 5
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def dot(u: Column, v: Column) -> Column:
     return F.aggregate(F.zip_with(u, v, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

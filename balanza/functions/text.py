@@ -8,6 +8,8 @@ from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
+from balanza.functions.plan import let
+
 
 @lru_cache(maxsize=1)
 def _fold_tables() -> tuple[str, str, dict[str, str]]:
@@ -174,3 +176,52 @@ def parse_kv_lines(text: Column) -> Column:
         pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"])
     )
     return F.map_from_entries(last)
+
+
+def matching_ratio(a: Column, b: Column) -> Column:
+    """Similarity of two short texts by matching blocks: twice the characters in blocks over those of both texts.
+
+    The longest common block is taken first, the earliest in ``a`` and then in ``b`` among equals, then the same to the left
+    and to the right of it. Two empty texts are equal. Work grows with the product of the lengths.
+    """
+    region = "array<struct<a0:int,a1:int,b0:int,b1:int>>"
+
+    def span(*ends) -> Column:
+        return F.struct(*[e.cast("int").alias(n) for n, e in zip(("a0", "a1", "b0", "b1"), ends, strict=True)])
+
+    def longest(x: Column, y: Column, r: Column) -> Column:
+        """(n, i, j) of the longest block in a region, from runs of matches that end in each row."""
+        none = F.struct(F.lit(0).alias("n"), r["a0"].alias("i"), r["b0"].alias("j"))
+        start = F.struct(F.array_repeat(F.lit(0), r["b1"] - r["b0"]).alias("row"), none.alias("best"))
+
+        def row(s: Column, i: Column) -> Column:
+            runs = F.transform(F.sequence(r["b0"], r["b1"] - 1), lambda j, k: F.when(F.get(x, i) == F.get(y, j), F.coalesce(F.get(s["row"], k - 1), F.lit(0)) + 1).otherwise(0))
+            return let(runs, lambda now: let(F.array_max(now), lambda top: F.struct(
+                now.alias("row"),
+                F.when(top > s["best"]["n"], F.struct(top.alias("n"), (i - top + 1).alias("i"), (r["b0"] + F.array_position(now, top).cast("int") - top).alias("j"))).otherwise(s["best"]).alias("best"),
+            )))
+
+        return F.aggregate(F.sequence(r["a0"], r["a1"] - 1), start, row)["best"]
+
+    def matched(x: Column, y: Column) -> Column:
+        whole = span(F.lit(0), F.size(x), F.lit(0), F.size(y))
+        start = F.struct(F.lit(0).alias("sum"), F.array(whole).cast(region).alias("open"))
+
+        def step(s: Column, _: Column) -> Column:
+            def split(r: Column) -> Column:
+                return let(longest(x, y, r), lambda m: let(F.array(
+                    span(r["a0"], m["i"], r["b0"], m["j"]), span(m["i"] + m["n"], r["a1"], m["j"] + m["n"], r["b1"])
+                ), lambda two: F.struct(
+                    (s["sum"] + m["n"]).alias("sum"),
+                    F.concat(F.slice(s["open"], 2, F.size(s["open"])), F.when(m["n"] > 0, F.filter(two, lambda t: (t["a1"] > t["a0"]) & (t["b1"] > t["b0"]))).otherwise(F.array().cast(region))).alias("open"),
+                )))
+
+            return F.when(F.size(s["open"]) == 0, s).otherwise(let(F.get(s["open"], 0), split))
+
+        # each turn closes a region: at most one for each block and one on either side of it
+        return F.aggregate(F.sequence(F.lit(0), 2 * F.least(F.size(x), F.size(y))), start, step)["sum"]
+
+    total = F.length(a) + F.length(b)
+    ready = (F.length(a) > 0) & (F.length(b) > 0)
+    sums = let(F.split(a, ""), lambda x: let(F.split(b, ""), lambda y: matched(x, y)))
+    return F.when(total == 0, F.lit(1.0)).when(ready, 2.0 * sums / total).when(total > 0, F.lit(0.0))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from balanza.functions.ids import account_keys
 from balanza.functions.money import is_credit
-from balanza.functions.text import clean_company, to_ascii
+from balanza.functions.plan import settle
+from balanza.functions.text import clean_company, matching_ratio, to_ascii
 from balanza.operators.ordered import attach_group
 from balanza.rules.tags import PROTECTED_CATEGORIES
 
@@ -70,18 +71,45 @@ def own_by_name_fuzzy(mov: DataFrame, names: DataFrame, key: str = "mov_id", thr
     """Keys of movements with a run of words at least ``threshold`` similar to a holder name.
 
     The similarity of two texts is 1 - edits / length of the longer one, edits as counted by
-    Levenshtein. A run similar to a name of n characters is then at most (1-t)/t n edits away, so of
-    that many parts and one more, at least one is in the run unchanged, no further from its place
-    than there are edits. Runs and names of as many words meet on such a part, and the edits are
-    counted for pairs whose lengths and places allow it. Nothing is left out.
+    Levenshtein.
     """
-    loss = 1 - threshold
+    def edits(n: Column, m: Column) -> Column:
+        return F.floor(F.lit(1 - threshold) * F.greatest(n, m) + 1e-9).cast("int")
 
-    def edits(size: Column) -> Column:
-        return F.floor(F.lit(loss) * size + 1e-9).cast("int")
+    runs, pairs = _near_names(mov, names, key, edits, F.col("_n") / F.lit(threshold))
+    good = pairs.filter(F.levenshtein("name", "_run") <= F.col("_allowed"))
+    return _keys_of(runs, good, key)
 
+
+def own_by_name_ratio(mov: DataFrame, names: DataFrame, key: str = "mov_id", threshold: float = 0.85) -> DataFrame:
+    """Keys of movements with a run of words whose matching-block ratio with a holder name is ``threshold`` or more.
+
+    Characters outside of the blocks are inserted or deleted, so the ratio bounds their number by (1-t) of both
+    lengths, and edits can't be more. Pairs that come near enough by that are compared block by block.
+    """
+    def edits(n: Column, m: Column) -> Column:
+        return F.floor(F.lit(1 - threshold) * (n + m) + 1e-9).cast("int")
+
+    runs, pairs = _near_names(mov, names, key, edits, F.col("_n") * F.lit((2 - threshold) / threshold))
+    near = settle(pairs.filter(F.levenshtein("name", "_run") <= F.col("_allowed")), {"_ratio": matching_ratio(F.col("name"), F.col("_run"))})
+    return _keys_of(runs, near.filter(F.col("_ratio") >= threshold), key)
+
+
+def _keys_of(runs: DataFrame, good: DataFrame, key: str) -> DataFrame:
+    found = good.select("job_id", "_words", "_run").distinct()
+    return runs.join(found, ["job_id", "_words", "_run"], "left_semi").select("job_id", key).distinct()
+
+
+def _near_names(mov: DataFrame, names: DataFrame, key: str, edits, widest: Column) -> tuple[DataFrame, DataFrame]:
+    """Runs of words of the movements, and the pairs (job_id, _words, _run, name, _allowed) that may be similar.
+
+    ``edits`` gives the edits that two lengths allow, ``widest`` the longest text that a name of ``_n`` characters may
+    be similar to. Of one part more than a name has edits at most, at least one is in the run unchanged, no further from
+    its place than there are edits. Runs and names of as many words meet on such a part, and pairs whose lengths
+    and places allow it are kept. Nothing is left out.
+    """
     sized = names.select("job_id", "name", F.length("name").alias("_n"), F.size(F.split("name", " ")).alias("_words"))
-    sized = sized.withColumn("_cuts", edits(F.col("_n") / F.lit(threshold)) + 1)
+    sized = sized.withColumn("_cuts", F.least(edits(F.col("_n"), widest) + 1, F.col("_n")))
     begin = lambda i: F.floor(i * F.col("_n") / F.col("_cuts")).cast("int")
     pieces = F.transform(
         F.sequence(F.lit(0), F.col("_cuts") - 1),
@@ -102,22 +130,21 @@ def own_by_name_fuzzy(mov: DataFrame, names: DataFrame, key: str = "mov_id", thr
     runs = shaped.select("job_id", key, "_text", "_letters", F.explode("_shapes").alias("_s")).select(
         "job_id", key, "_s", "_letters", F.explode(F.array_distinct(_windows(F.col("_text"), F.col("_s._words")))).alias("_run")
     )
-    m, longest = F.length("_run"), F.greatest(F.length("_run"), F.col("_s._long"))
+    m = F.length("_run")
     # A character that no name of the job has is an edit.
     strange = F.length(F.expr("translate(_run, _letters, '')"))
     runs = runs.filter(
-        (strange <= edits(longest)) & (m >= F.col("_s._short") - edits(F.greatest(m, F.col("_s._short")))) & (m <= F.col("_s._long") + edits(longest))
+        (strange <= edits(m, F.col("_s._long"))) & (m >= F.col("_s._short") - edits(m, F.col("_s._short"))) & (m <= F.col("_s._long") + edits(m, F.col("_s._long")))
     ).select("job_id", key, F.col("_s._words").alias("_words"), F.col("_s._lens").alias("_lens"), "_run")
     distinct_runs = runs.groupBy("job_id", "_words", "_run").agg(F.first("_lens").alias("_lens"))
     grams = F.flatten(F.transform("_lens", lambda size: F.transform(
         F.sequence(F.lit(0), F.greatest(F.length("_run") - size, F.lit(0))), lambda i: F.struct(i.alias("_from"), F.substr(F.col("_run"), i + 1, size).alias("_part"))
     )))
     left = distinct_runs.select("job_id", "_words", "_run", F.inline(grams))
-    allowed = edits(F.greatest(F.length("_run"), F.col("_n")))
+    allowed = edits(F.length("_run"), F.col("_n"))
     near = (F.abs(F.length("_run") - F.col("_n")) <= allowed) & (F.abs(F.col("_from") - F.col("_at")) <= allowed)
     pairs = left.join(right, ["job_id", "_words", "_part"]).filter(near).select("job_id", "_words", "_run", "name", allowed.alias("_allowed")).distinct()
-    good = pairs.filter(F.levenshtein("name", "_run") <= F.col("_allowed")).select("job_id", "_words", "_run").distinct()
-    return runs.join(good, ["job_id", "_words", "_run"], "left_semi").select("job_id", key).distinct()
+    return runs, pairs
 
 
 def apply_own(mov: DataFrame, *own: DataFrame, key: str = "mov_id", kind: str = "kind") -> DataFrame:

@@ -182,7 +182,7 @@ def certificate_activities(spark, d):
         F.lit(f"{k} comercio "), (doc % 9).cast("string"), F.lit(f" {k * 10} 01/01/2019{end}\n")
     )
     text = F.concat(
-        F.lit("curp: x\n"), F.when(doc % 4 >= 1, row(1, "")).otherwise(""), F.when(doc % 4 >= 2, row(2, " 31/12/2020")).otherwise(""),
+        F.coalesce("text", F.lit("")), F.lit("\ncurp: x\n"), F.when(doc % 4 >= 1, row(1, "")).otherwise(""), F.when(doc % 4 >= 2, row(2, " 31/12/2020")).otherwise(""),
         F.when(doc % 4 >= 3, row(3, "")).otherwise(""),
     )
     return screening.certificate_activities(docs(spark, d).select("doc_id", text.alias("text")))

@@ -205,13 +205,14 @@ def transfer_totals(spark, d):
 
 
 def _holders(spark, d):
-    """Holder names of a job: the part names its statements sold as line 1 of the year 2001."""
-    mov = A.movements(spark, d).filter((F.col("line_no") == 1) & (F.col("posted") >= "2001-10-01"))
-    return mov.select("job_id", F.concat(F.initcap(F.substring_index("description", " ", 2)), F.lit(" S de RL")).alias("holder"))
+    """A holder for each statement: the part that its first movement of a line 1 names."""
+    mov = A.movements(spark, d).filter("line_no = 1")
+    first = mov.groupBy("job_id", "doc_id").agg(F.min_by("description", F.struct("posted", "mov_id")).alias("description"))
+    return first.select("job_id", F.concat(F.initcap(F.substring_index("description", " ", 2)), F.lit(" S de RL")).alias("holder"))
 
 
-_HOLDERS = """names AS (SELECT DISTINCT job_id, regexp_extract(description, '^\\S+ \\S+') AS name FROM tx
- WHERE line_no = 1 AND posted >= DATE '2001-10-01')"""
+_HOLDERS = """names AS (SELECT DISTINCT job_id, regexp_extract(description, '^\\S+ \\S+') AS name FROM (
+ SELECT *, row_number() OVER (PARTITION BY job_id, doc_id ORDER BY posted, mov_id, description) AS i FROM tx WHERE line_no = 1) WHERE i = 1)"""
 
 
 @query("own_transfer_exact", with_ctes(TX, _HOLDERS) + """
@@ -228,8 +229,23 @@ def own_transfer_fuzzy(spark, d):
     return O.own_by_name_fuzzy(A.movements(spark, d), O.name_pool(_holders(spark, d)))
 
 
-@query("identity_pools", with_ctes(TX, _OWN) + """, names AS (SELECT DISTINCT job_id, regexp_extract(description, '^\\S+ \\S+') AS name FROM tx
- WHERE line_no = 1 AND posted >= DATE '2001-10-01')
+# Runs and names whose edits allow a ratio of 0.85, then their longest common blocks, region by region.
+@query("own_transfer_ratio", "WITH RECURSIVE " + with_ctes(TX, _HOLDERS).removeprefix("WITH ") + """
+, w AS (SELECT job_id, mov_id, string_split(description, ' ') AS w FROM tx), runs AS (SELECT DISTINCT job_id, array_to_string(list_slice(w, i, i + 1), ' ') AS run FROM w, LATERAL (SELECT unnest(range(1, len(w))) AS i) u),
+pr AS (SELECT DISTINCT name AS a, run AS b FROM runs r JOIN names n ON r.job_id = n.job_id AND abs(len(run) - len(name)) * 100 <= 15 * (len(run) + len(name)) WHERE levenshtein(run, name) * 100 <= 15 * (len(run) + len(name))),
+rg(a, b, a0, a1, b0, b1, m) AS (
+ SELECT a, b, 1::BIGINT, len(a) + 1, 1::BIGINT, len(b) + 1, list_max(flatten([[list_max([l FOR l IN range(0, least(len(a) - i, len(b) - j) + 2) IF substr(a, i, l) = substr(b, j, l)]) * 10000 + (99 - i) * 100 + (99 - j) FOR j IN range(1, len(b) + 1)] FOR i IN range(1, len(a) + 1)])) FROM pr
+ UNION ALL
+ SELECT a, b, r.x0, r.x1, r.y0, r.y1, list_max(flatten([[list_max([l FOR l IN range(0, least(r.x1 - i, r.y1 - j) + 1) IF substr(a, i, l) = substr(b, j, l)]) * 10000 + (99 - i) * 100 + (99 - j) FOR j IN range(r.y0, r.y1)] FOR i IN range(r.x0, r.x1)])) FROM (
+  SELECT a, b, unnest([{'x0': a0, 'x1': i, 'y0': b0, 'y1': j}, {'x0': i + n, 'x1': a1, 'y0': j + n, 'y1': b1}]) AS r FROM (
+   SELECT *, m // 10000 AS n, 99 - (m // 100) % 100 AS i, 99 - m % 100 AS j FROM rg WHERE m // 10000 > 0)) WHERE r.x1 > r.x0 AND r.y1 > r.y0),
+hit AS (SELECT a, b FROM rg GROUP BY a, b HAVING 200 * sum(m // 10000) >= 85 * (len(a) + len(b)))
+SELECT DISTINCT w.job_id, w.mov_id FROM w, LATERAL (SELECT unnest(range(1, len(w.w))) AS i) u JOIN hit h ON h.b = array_to_string(list_slice(w.w, u.i, u.i + 1), ' ') JOIN names n ON n.job_id = w.job_id AND n.name = h.a""")
+def own_transfer_ratio(spark, d):
+    return O.own_by_name_ratio(A.movements(spark, d), O.name_pool(_holders(spark, d)))
+
+
+@query("identity_pools", with_ctes(TX, _OWN, _HOLDERS) + """
 SELECT job_id, 'account' AS kind, account AS value FROM pool UNION ALL SELECT job_id, 'name', name FROM names""")
 def identity_pools(spark, d):
     _, cov = _own_frames(spark, d)
@@ -613,18 +629,19 @@ def valid_account(spark, d):
 
 
 # Light covers for screening: one month per document, jobs are ten apart.
-_LIGHT = """light AS (SELECT doc_id, job_id, strftime(CAST(DATE '2001-08-01' - to_months(CAST((doc_id // 10) % 5 + 1 AS INT)) AS DATE), '%m-%Y') AS period,
- CASE WHEN job_id % 2 = 0 THEN concat('R', doc_id % 20) ELSE 'R1' END AS rfc, CASE WHEN job_id % 3 = 0 THEN concat('N', doc_id // 50) ELSE 'N1' END AS holder
- FROM cover WHERE NOT (job_id = 3 AND doc_id // 10 % 5 < 3) AND NOT (job_id = 4 AND doc_id // 10 % 5 = 0) AND NOT (job_id = 5 AND doc_id // 10 % 5 IN (1, 3)))"""
+_LIGHT = """light AS (SELECT doc_id, job_id, CASE WHEN (job_id = 3 AND doc_id // 10 % 5 < 3) OR (job_id = 4 AND doc_id // 10 % 5 = 0) OR (job_id = 5 AND doc_id // 10 % 5 IN (1, 3)) THEN NULL
+  ELSE strftime(CAST(DATE '2001-08-01' - to_months(CAST((doc_id // 10) % 5 + 1 AS INT)) AS DATE), '%m-%Y') END AS period,
+ CASE WHEN job_id % 2 = 0 THEN concat('R', doc_id % 20) ELSE 'R1' END AS rfc, CASE WHEN job_id % 3 = 0 THEN concat('N', doc_id // 50) ELSE 'N1' END AS holder FROM cover)"""
 
 
 def _light(spark, d):
+    """Every cover; on some the month could not be read."""
     cov = A.covers(A.movements(spark, d))
     doc, job = F.col("doc_id"), F.col("job_id")
     step = (F.floor(doc / 10) % 5).cast("int")
-    keep = ~((job == 3) & (step < 3)) & ~((job == 4) & (step == 0)) & ~((job == 5) & step.isin(1, 3))
-    return cov.filter(keep).select(
-        "doc_id", "job_id", F.date_format(F.add_months(F.lit("2001-08-01").cast("date"), -(step + 1)), "MM-yyyy").alias("period"),
+    unread = ((job == 3) & (step < 3)) | ((job == 4) & (step == 0)) | ((job == 5) & step.isin(1, 3))
+    return cov.select(
+        "doc_id", "job_id", F.when(~unread, F.date_format(F.add_months(F.lit("2001-08-01").cast("date"), -(step + 1)), "MM-yyyy")).alias("period"),
         F.when(job % 2 == 0, F.concat(F.lit("R"), (doc % 20).cast("string"))).otherwise("R1").alias("rfc"),
         F.when(job % 3 == 0, F.concat(F.lit("N"), F.floor(doc / 50).cast("string"))).otherwise("N1").alias("holder"),
     )
