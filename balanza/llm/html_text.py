@@ -35,7 +35,7 @@ SCOPES = frozenset("article aside blockquote body details div fieldset figure fo
 CONTAINERS = frozenset("article div main section td".split())
 ENDED_BY_SELF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 DROPPED = frozenset(
-    "aside button canvas dialog footer form head iframe input label menu nav noembed noframes noscript object script search select style svg template textarea title xmp".split()
+    "aside button canvas dialog footer head iframe input label menu nav noembed noframes noscript object script search select style svg template textarea title xmp".split()
 )
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies "
@@ -45,6 +45,12 @@ NAMES = frozenset(
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 KEPT_WITH = frozenset("article content entry main post story".split())
+READERS = frozenset("comment comments disqus reply replies respond".split())
+HEAD_ONLY = frozenset("base link meta noscript script style template title".split())
+HEADINGS = frozenset("h1 h2 h3".split())
+#: A form, or an element that its name marks, is text after all if it has so many times the threshold outside links:
+#: two, and one more for each field, for a form; ten, and half of the page, for a name.
+FORM_TEXT, NAMED_TEXT = 2, 10
 
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -55,22 +61,26 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(text)} if text.strip(" /") else {}
 
 
-def _boilerplate(tag: str, attributes: dict[str, str], inside: bool, by_name: bool) -> bool:
-    """Whether an element's text is left out. ``inside``: within an article or main element."""
+def _boilerplate(tag: str, attributes: dict[str, str], inside: bool) -> str:
+    """Why an element's text is left out: ``kind`` of element, ``name`` of class or id, or empty if it is not.
+
+    ``inside``: within an article or main element.
+    """
     if tag in DROPPED or tag == "header" and not inside:
-        return True
+        return "kind"
     if tag in ("html", "body", "main") or not attributes:
-        return False
-    if "hidden" in attributes or attributes.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True
-    if not by_name or not ("class" in attributes or "id" in attributes):
-        return False
-    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
-        parts = {p.lower() for p in _PART.findall(name)}
+        return ""
+    if "hidden" in attributes or attributes.get("role", "").lower() in ROLES and tag != "form" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
+        return "kind"
+    names = [{p.lower() for p in _PART.findall(name)} for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split()]
+    every = frozenset().union(*names)
+    for parts in names:
         hit = parts & NAMES
+        if tag == "article" and every & KEPT_WITH:
+            hit &= READERS  # its topics are no boilerplate
         if hit and not (hit <= {"header"} and (inside or parts & KEPT_WITH)) and not (hit <= {"comment", "comments"} and {"no"} & parts):
-            return True
-    return False
+            return "name"
+    return ""
 
 
 def _tags(page: str) -> Iterator[tuple[str, str, str]]:
@@ -116,67 +126,106 @@ def _tags(page: str) -> Iterator[tuple[str, str, str]]:
             at = found.start() if found else size
 
 
-def lines_of(page: str, by_name: bool = True) -> list[tuple[str, int, int, int]]:
-    """(text, weight, number of the outermost article or main or 0, number of the container or 0) of each line.
+def lines_of(page: str) -> list[tuple[str, int, int, int, bool]]:
+    """(text, weight, number of the outermost article or main or 0, number of the container or 0, heading) of each line.
 
     Boilerplate outside articles and their own ends leave blank lines, but not within a container's own blocks. A
-    container without blocks inside is itself a block of the one around it.
+    container without blocks inside is itself a block of the one around it. What forms hold is judged when they
+    end, and what names mark, when the page ends.
     """
-    lines: list[tuple[str, int, int, int]] = []
-    stack: list[tuple[str, bool, int, bool, int]] = []  # tag, left out, article, within link, container
+    return _judged(page, frozenset())
+
+
+def _judged(page: str, spared: frozenset) -> list[tuple[str, int, int, int, bool]]:
+    """``spared``: places of elements that their names don't mark."""
+    lines: list[tuple] = []
+    stack: list[tuple] = []  # tag, left out, article, within link, container, place
+    named: dict[int, int] = {}  # weight of what a name leaves out, by the element's place
+    forms: list[list[int]] = []  # of each open form: lines before it, fields, the article it is in
+    place = weighed = hushed = 0  # hushed: the outermost element that a name leaves out
     around, filled = [0], [True]  # of each container: the one it is in, whether it has blocks
     parts: list[str] = []
     linked = articles = 0
+    heading = False
 
     def flush(inside: int, box: int) -> None:
-        nonlocal parts, linked
+        nonlocal parts, linked, weighed
         text = " ".join("".join(parts).split())
         if text:
             if lines and lines[-1][0] and bool(lines[-1][2]) != bool(inside):
-                lines.extend([("", 0, 0, 0)] * WIDTH)
-            lines.append((text, max(0, len(text) - linked), inside, box))
+                lines.extend([("", 0, 0, 0, False)] * WIDTH)
+            weight = max(0, len(text) - linked)
+            weighed += weight
+            lines.append((text, weight, inside, box, heading))
         parts, linked = [], 0
 
-    def top() -> tuple[str, bool, int, bool, int]:
-        return stack[-1] if stack else ("", False, 0, False, 0)
+    def top() -> tuple:
+        return stack[-1] if stack else ("", False, 0, False, 0, 0)
+
+    def cut(i: int) -> None:
+        """Elements from the i-th on end; a form with little text for its fields leaves nothing."""
+        nonlocal hushed
+        for tag, out, _, _, _, at in reversed(stack[i:]):
+            if at == hushed:
+                hushed = 0
+            if tag == "form" and not out and forms:
+                begin, fields, scope = forms.pop()
+                held = sum(line[1] for line in lines[begin:])
+                if held < THRESHOLD * (FORM_TEXT + fields) and not any(line[2] and line[2] != scope for line in lines[begin:]):
+                    lines[begin:] = [("", 0, 0, 0, False)] * (0 if scope else WIDTH)
+        del stack[i:]
 
     def pop_to(tag: str, until: frozenset | tuple) -> None:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
-                del stack[i:]
+                cut(i)
                 return
             if stack[i][0] in until:
                 return
 
     for kind, tag, text in _tags(page):
-        _, out, inside, link, box = top()
+        _, out, inside, link, box, _ = top()
         if kind == "text":
             if not out:
                 plain = html.unescape(text)
                 parts.append(plain)
                 if link:
                     linked += len(" ".join(plain.split()))
+            elif hushed and not link and stack[-1][0] not in DROPPED:
+                named[hushed] += len(" ".join(html.unescape(text).split()))
             continue
         if tag in BLOCKS:
             flush(inside, box)
+            heading = tag in HEADINGS and kind == "open"
         elif tag == "br":
             parts.append(" ")
         if kind == "close":
             pop_to(tag, () if tag in SCOPES else SCOPES)
             continue
+        place += 1
+        if (tag in BLOCKS and tag != "head" or tag == "body") and tag not in HEAD_ONLY:
+            pop_to("head", ("body", "noscript", "template"))  # it may end without saying so
         if tag in BLOCKS:
             pop_to("p", SCOPES)
             if tag in ENDED_BY_SELF:
                 pop_to(tag, ENDED_BY_SELF[tag])
+        if tag in ("input", "textarea", "select") and forms:  # what is typed or chosen
+            hidden = tag == "input" and re.search(r"""type\s*=\s*["']?(hidden|submit|button)""", text, re.IGNORECASE)
+            forms[-1][1] += 0 if hidden else 1
         if tag in VOID:
             continue
-        _, out, inside, link, box = top()
-        drop = out or _boilerplate(tag, _attributes(text), inside, by_name)
-        if drop and not out:
+        _, out, inside, link, box, _ = top()
+        why = "" if out else _boilerplate(tag, _attributes(text), inside)
+        if why == "name" and place in spared:
+            why = ""
+        drop = bool(out or why)
+        if why == "name":
+            hushed, named[place] = place, 0
+        if why:
             if tag not in ("button", "input", "label", "script", "style", "noscript", "template", "iframe", "svg", "canvas", "object"):
                 flush(inside, box)
                 if not inside:
-                    lines.extend([("", 0, 0, 0)] * WIDTH)
+                    lines.extend([("", 0, 0, 0, False)] * WIDTH)
         if not drop and not inside and tag in ("article", "main"):
             articles += 1
             inside = articles
@@ -186,18 +235,25 @@ def lines_of(page: str, by_name: bool = True) -> list[tuple[str, int, int, int]]
                 around.append(box)
                 filled.append(tag in ("article", "main"))
                 box = len(around) - 1
-        stack.append((tag, drop, inside, link or tag == "a", box))
+        if tag == "form" and not drop:
+            forms.append([len(lines), 0, inside])
+        stack.append((tag, drop, inside, link or tag == "a", box, place))
     flush(top()[2], top()[4])
-    out_lines: list[tuple[str, int, int, int]] = []
+    cut(0)
+    # a name on what holds most of the page is no verdict on it
+    large = frozenset(at for at, weight in named.items() if weight >= NAMED_TEXT * THRESHOLD and 2 * weight > weighed + weight)
+    if large - spared:
+        return _judged(page, spared | large)
+    out_lines: list[tuple] = []
     blanks, last = 0, -1
-    for text, weight, inside, box in lines:
+    for text, weight, inside, box, head in lines:
         if not text:
             blanks += 1
             continue
         own = box if filled[box] else around[box]
         if own != last:
-            out_lines.extend([("", 0, 0, 0)] * blanks)
-        out_lines.append((text, weight, inside, own))
+            out_lines.extend([("", 0, 0, 0, False)] * blanks)
+        out_lines.append((text, weight, inside, own, head))
         blanks, last = 0, own
     return out_lines
 
@@ -222,13 +278,14 @@ def spans(weights: np.ndarray, threshold: float, width: int = WIDTH) -> list[tup
     return out
 
 
-def _reach(lines: list[tuple[str, int, int, int]]) -> list[tuple[int, int]]:
-    """The line ranges of the text: what surges, and all of an article or container that reaches the threshold."""
-    weights = np.array([weight for _, weight, _, _ in lines], dtype=float)
-    scope = np.array([inside for _, _, inside, _ in lines], dtype=np.int64)
-    boxes = np.array([box for _, _, _, box in lines], dtype=np.int64)
+def _reach(lines: list[tuple[str, int, int, int, bool]]) -> list[tuple[int, int]]:
+    """The line ranges of the text: what surges, and all of an article or container that reaches the threshold, with
+    the heading right before an article."""
+    weights = np.array([line[1] for line in lines], dtype=float)
+    scope = np.array([line[2] for line in lines], dtype=np.int64)
+    boxes = np.array([line[3] for line in lines], dtype=np.int64)
     if not weights.any():  # an article of links alone
-        weights = np.array([len(text) if inside else 0 for text, _, inside, _ in lines], dtype=float)
+        weights = np.array([len(line[0]) if line[2] else 0 for line in lines], dtype=float)
     found = spans(weights, THRESHOLD)
     if not found:
         return []
@@ -236,7 +293,7 @@ def _reach(lines: list[tuple[str, int, int, int]]) -> list[tuple[int, int]]:
     totals = np.bincount(scope, weights=weights)
     numbers, first = np.unique(scope, return_index=True)
     last = len(scope) - np.unique(scope[::-1], return_index=True)[1]
-    found += [(int(a), int(b)) for number, a, b in zip(numbers, first, last) if number and totals[number] >= limit]
+    found += [(headed(lines, int(a)), int(b)) for number, a, b in zip(numbers, first, last) if number and totals[number] >= limit]
     held = np.flatnonzero(weights)
     ends = {}
     for i in held.tolist():
@@ -247,6 +304,18 @@ def _reach(lines: list[tuple[str, int, int, int]]) -> list[tuple[int, int]]:
     return merged(found)
 
 
+def headed(lines: list[tuple[str, int, int, int, bool]], at: int) -> int:
+    """The first line of what begins at ``at``, with headings right before it."""
+    i = at
+    while i > 0:
+        i -= 1
+        if lines[i][0]:
+            if not lines[i][4] or lines[i][2]:
+                break
+            at = i
+    return at
+
+
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The union of line ranges, in order."""
     out: list[tuple[int, int]] = []
@@ -260,12 +329,8 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def main_text(page: str) -> str:
     """The text of a page's article, blocks joined by line feeds; empty if there is none."""
-    for by_name in (True, False):
-        lines = lines_of(page, by_name)
-        text = "\n".join(line[0] for a, b in _reach(lines) for line in lines[a:b] if line[0])
-        if text:
-            return text
-    return ""
+    lines = lines_of(page)
+    return "\n".join(line[0] for a, b in _reach(lines) for line in lines[a:b] if line[0])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,12 +344,14 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The columns of ``keep`` with text and n_chars (code points) for every page.
+    """The columns of ``keep`` with text and n_chars (code points) for every page; ``keep`` can't name these two.
 
     Character references are decoded, white space inside a block becomes one blank, blocks are joined by a
     line feed. Null and empty pages and pages without text give the empty string. Broken markup is read as far
     as it goes: an unclosed element ends with its parent.
     """
+    if {"text", "n_chars"} & set(keep):
+        raise ValueError("text and n_chars are what is returned; rename such columns before")
     names = {f"k{i}": c for i, c in enumerate(keep)}
     source = pages.select(*[F.col(c).alias(k) for k, c in names.items()], F.col(html_col).alias("html"))
     schema = ", ".join(f"{k} {pages.schema[c].dataType.simpleString()}" for k, c in names.items())

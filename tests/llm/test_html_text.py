@@ -76,6 +76,39 @@ def test_adverts_in_a_text_end_nothing(page, text):
     assert H.main_text(page) == text
 
 
+FIELDS = "<input type=hidden name=v><input type=text name=q><select></select>"
+JUDGED = [
+    # a head that does not say where it ends
+    (f"<html><head><title>t</title><meta charset=x><body><p>{LONG}</p></body></html>", LONG),
+    (f"<head><style>p</style><script>s</script><p>{LONG}</p>", LONG),
+    (f"<head><noscript><p>no</p></noscript><title>t</title></head><div>{LONG}</div>", LONG),
+    # forms by what they hold
+    (f"<body><form method=post>{FIELDS}<div>{f'<p>{LONG}</p>' * 6}</div></form></body>", "\n".join([LONG] * 6)),
+    (f"<body><form>{FIELDS}<nav>no</nav><article><p>{LONG}</p></article></form></body>", LONG),
+    (f"<div>{f'<p>{LONG}</p>' * 3}</div><form><p>Write us a line and leave your name, it will not be shown to anybody at all.</p>{FIELDS}</form>", "\n".join([LONG] * 3)),
+    # names of topics, of comments, of what holds the page
+    (f"<article class='post category-social'><p>{LONG}</p></article><div><p>Other</p></div>", LONG),
+    (f"<article class='post'><p>{LONG}</p></article><article class='post comment'><p>{LONG}</p></article>", LONG),
+    (f"<div class='page widget-page'>{f'<p>{LONG}</p>' * 10}<div class=share>no</div></div><p>Foot</p>", "\n".join([LONG] * 10)),
+    # nothing but a notice, an advert, a menu
+    (f"<body><div class='cookie-notice'><p>{LONG}</p></div></body>", ""), (f"<div class=ad>{LONG}</div>", ""), ("<div id=menu><a href=1>Home</a><a href=2>News</a></div>", ""),
+    # a headline before the article
+    (f"<div><h1>Headline</h1><article><p>{LONG}</p></article></div>", f"Headline\n{LONG}"),
+    (f"<main2><h2>Kicker</h2><h1>Headline</h1></main2><nav>no</nav><main><p>{LONG}</p></main>", f"Kicker\nHeadline\n{LONG}"),
+]
+
+
+@pytest.mark.parametrize("page,text", JUDGED)
+def test_what_is_judged_by_content(page, text):
+    assert H.main_text(page) == text
+
+
+def test_returned_names_are_not_kept(spark):
+    pages = spark.createDataFrame([(1, "x", "y")], "page_id long, html string, text string")
+    with pytest.raises(ValueError):
+        H.extract_main_text(pages, keep=("page_id", "text"))
+
+
 def test_surges_and_dives():
     weights = np.array([5, 0, 0, 0, 3, 90, 0, 40, 2, 0, 0, 0, 8, 0, 0, 0, 95, 1], dtype=float)
     assert H.spans(weights, 86) == [(4, 9), (16, 18)]
