@@ -140,11 +140,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are expected once (equal rows share what the first of them gets)."""
     plan = mix(docs, id_col, text_col, source_col, **options).filter("taken > 0")
     plan = plan.groupBy(F.col(id_col).alias("mix_id"), F.col("h").alias("mix_h")).agg(F.min("size").alias("mix_size"), F.min("taken").alias("mix_taken"))
-    columns = docs.columns
-    found = docs.join(plan, docs[id_col].eqNullSafe(F.col("mix_id")) & (F.xxhash64(docs[text_col]) == F.col("mix_h")))
+    # the documents' own columns travel as one, so that no name clashes
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    id_, text = F.col("doc").getField(id_col), F.col("doc").getField(text_col)
+    found = own.join(plan, id_.eqNullSafe(F.col("mix_id")) & (F.xxhash64(text) == F.col("mix_h")))
     whole = F.floor(F.col("mix_taken") / F.col("mix_size")).cast("int")
     part = (F.col("mix_taken") % F.col("mix_size")).cast("int")
     words = F.array_repeat(F.col("mix_size").cast("int"), whole)
     found = found.withColumn("mix_words", F.explode(F.concat(words, F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))))
-    head = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(r"([^\x20\x09-\x0D]+)"), 1), 1, F.col("mix_words")), " ")
-    return found.select(*[F.when(F.col("mix_words") < F.col("mix_size"), head).otherwise(F.col(c)).alias(c) if c == text_col else docs[c] for c in columns])
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), 1), 1, F.col("mix_words")), " ")
+    taken = F.when(F.col("mix_words") < F.col("mix_size"), head).otherwise(text)
+    return found.select(*[taken.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns])

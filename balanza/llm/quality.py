@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from balanza.llm import words as W
 
@@ -20,6 +20,8 @@ from balanza.llm import words as W
 PASSAGE_WORDS = 64
 #: Labelled documents that the model is fitted on, about, chosen by the hash of their ids, with all of their passages.
 SAMPLE_DOCS = 8000
+#: Texts of one id that the fit looks at.
+SAMPLE_ROWS = 4
 #: Passages that a step of fitting holds at a time, about.
 STEP_PASSAGES = 1 << 18
 ENCODED, HIDDEN, STEPS, RATE, SEED = 16, 16, 400, 0.02, 11
@@ -155,16 +157,24 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """A model from the labelled documents; None if there is no label. Rows without label are left out."""
+    """A model from the labelled documents; None if there is no label. Rows without label are left out.
+
+    Labels of one id that differ count with their mean. Of rows with one id at most ``SAMPLE_ROWS`` different texts,
+    those of the smallest hashes, are learned from, so that about ``sample_docs`` times as many rows come to the driver
+    at most. Both only bound what is fitted; scoring sees every row.
+    """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
     total = known.count()
     if not total:
         return None
     chance = (F.pmod(F.xxhash64(F.lit("quality sample"), "id"), F.lit(1 << 20)) + 0.5) / float(1 << 20)
-    chosen = known.filter(chance < min(1.0, sample_docs / total)).dropDuplicates(["id"])
+    chosen = known.filter(chance < min(1.0, sample_docs / total)).groupBy("id").agg(F.avg("label").alias("label"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # at most about sample_docs pairs of numbers are broadcast
-    rows = texts.join(F.broadcast(chosen), "id").mapInArrow(_bags, f"id {docs.schema[id_col].dataType.simpleString()}, label double, x binary")
+    drawn = texts.join(F.broadcast(chosen), "id").withColumn("h", F.xxhash64("text"))
+    first = Window.partitionBy("id").orderBy("h")
+    drawn = drawn.withColumn("place", F.dense_rank().over(first)).filter(F.col("place") <= SAMPLE_ROWS).dropDuplicates(["id", "h"])
+    rows = drawn.select("id", "label", "text").mapInArrow(_bags, f"id {docs.schema[id_col].dataType.simpleString()}, label double, x binary")
     bags = sorted(rows.collect(), key=lambda r: (r.id, r.x))
     if not bags:
         return None

@@ -42,11 +42,27 @@ _PLAIN = _KIND.copy()
 _PLAIN[_PLAIN > 0] = 5
 
 
+# What a tokenizer file must say for its texts to be cut into pieces.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+
+
+def cuts_into_pieces(spec: dict) -> bool:
+    """Whether a tokenizer file (as JSON) lower-cases, drops white space, and splits words, digits and punctuation apart."""
+    before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = len(before) == 2 and before[0].get("type") == "Split" and before[0].get("pattern") == {"Regex": _SPLIT} and before[0].get("behavior") == "Removed" and before[0].get("invert")
+    return bool(
+        split and before[1].get("type") == "ByteLevel" and not before[1].get("add_prefix_space") and not before[1].get("use_regex") and spec.get("normalizer") == _NORMALIZER
+        and spec.get("model", {}).get("type") == "BPE" and not spec.get("truncation") and not spec.get("padding")
+    )
+
+
 class PieceEncoder:
     """Encodes texts with a word tokenizer, each distinct piece once while it stays in the cache.
 
     Exact for tokenizers that split at white space and between letters and punctuation before merging;
     texts with a final-sigma candidate are cut at white space only, as lower-casing looks across pieces.
+    Files that do not say that they split so encode whole texts.
     """
 
     SLOTS = 1 << 20
@@ -57,6 +73,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_pieces = cuts_into_pieces(json.load(f))
         self.reset()
 
     def reset(self) -> None:
@@ -96,6 +114,8 @@ class PieceEncoder:
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in a row, and the offsets of the rows in them."""
+        if not self.by_pieces:
+            return self._whole(data, at)
         if len(self.length) > self.ENTRIES:
             self.reset()
         raw = data.tobytes()
@@ -118,6 +138,13 @@ class PieceEncoder:
         return self.flat[pick], np.concatenate([[0], done])[np.searchsorted(starts, at)]
 
 
+    def _whole(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([t for x in ids for t in x], dtype=np.int32), np.cumsum([0, *(len(x) for x in ids)])
+
+
 _encoders: dict[str, PieceEncoder] = {}
 
 

@@ -93,3 +93,10 @@ def test_documents_of_the_mix(spark, sf_dir):
         if r.text != texts[r.doc_id]:
             assert texts[r.doc_id].split()[: words(r.text)] == r.text.split()
     assert sums == Counter({k: v for k, v in plan.items() if v})
+
+
+def test_names_that_clash(spark):
+    names = ["mix_id", "mix_h", "mix_words", "mix_size", "mix_taken", "doc", "h", "taken"]
+    docs = spark.createDataFrame([(i, "w " * 20, "s", *[k] * len(names)) for k, i in enumerate(range(30))], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    made = X.mixed_documents(docs)
+    assert made.columns == docs.columns and made.filter("mix_id <> mix_words or mix_id <> doc").count() == 0 and made.count() >= 30

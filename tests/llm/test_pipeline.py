@@ -82,3 +82,12 @@ def test_near_duplicates_keeps_one_row_of_a_group(spark, sf_dir):
     got = dict(P.STAGES)["near_duplicates"](spark, docs.repartition(5), sf_dir)
     want = [(3, b), (5, "x y"), (7, a), (8, "C d e f g h"), (9, None), (10, " "), (None, " "), (None, "i j k l m n")]
     assert got.columns == COLUMNS and sorted(map(str, (tuple(r)[:2] for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_columns_of_the_stages_names_stay(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS).limit(40)
+    for name in ("text_hash", "id", "body", "doc", "keep_id", "mix_words"):
+        docs = docs.withColumn(name, F.col("doc_id") * 2)
+    for name in ("near_duplicates", "benchmark", "mixing"):
+        got = dict(P.STAGES)[name](spark, docs, sf_dir)
+        assert got.columns == docs.columns and got.count() > 0 and got.filter("text_hash <> 2 * doc_id or body <> text_hash or id <> doc").count() == 0

@@ -75,3 +75,14 @@ def test_steps_in_pieces_give_the_same_model(monkeypatch):
     monkeypatch.setattr(Q, "STEP_PASSAGES", 40)
     pieces = Q.fit(x, offset, labels, steps=20)
     assert all(np.allclose(whole.weights[k], pieces.weights[k], atol=1e-6) for k in whole.weights)
+
+
+def test_hot_ids_and_labels_that_differ(spark, monkeypatch):
+    """Of one id a few texts are learned from, copies once; differing labels count with their mean, in any order."""
+    seen = []
+    monkeypatch.setattr(Q, "fit", lambda x, offset, labels: seen.append((len(offset) - 1, labels.tolist())))
+    docs = spark.createDataFrame([(1, f"text {i % 50}") for i in range(500)] + [(2, "two")] * 9, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 1)], "doc_id long, quality int")
+    for frame in (labels, labels.orderBy(F.desc("quality"))):
+        Q.fit_quality(docs, frame)
+    assert seen[0] == seen[1] == (Q.SAMPLE_ROWS + 1, [0.5] * Q.SAMPLE_ROWS + [1.0])

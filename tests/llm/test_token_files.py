@@ -101,3 +101,16 @@ def test_repeated_rows_and_no_rows(spark):
     got = sorted(tuple(r)[:3] for r in read_token_files(write_token_files(docs, PATH)).collect())
     assert [r[0] for r in got] == [1, 1, 1] and sorted(r[2] for r in got) == [2, 3, 3]
     assert read_token_files(write_token_files(docs.limit(0), PATH)).count() == 0
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    from balanza.llm.token_files import encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, code = Tokenizer.from_file(path), encoder(path)
+    assert not code.by_pieces and encoder(PATH).by_pieces
+    texts = ["Hello  world", "", "a\n\n b's", "日本 語.x", *HARD]
+    ids, at = code.encode(*W.strings(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
