@@ -21,6 +21,11 @@ LEAST_LANGUAGE_SHARE = 0.5
 WORD = r"[^\x20\x09-\x0D]"
 
 
+def as_one(docs: DataFrame) -> DataFrame:
+    """(id, body, text_hash, doc): all columns of a document in one, so that none clashes with the stage's own."""
+    return docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.xxhash64("text").alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known and holds at least half of their letters."""
     model = fit_languages(docs.filter(~held_out("doc_id", 4, 2)))
@@ -34,20 +39,22 @@ def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows are told apart by their text, whatever their ids; a null id comes last. Texts without words are linked to
     none: each stays once for its id.
     """
-    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    groups = ngram_jaccard_join(hashed.filter(worded), n=5, num=80, den=100, id_col="text_hash").select("text_hash", "component_id").distinct()
-    least = hashed.filter(worded).groupBy("text_hash").agg(F.min("doc_id").alias("id"))
+    rows = as_one(docs)
+    worded = F.coalesce(F.col("body").rlike(WORD), F.lit(False))
+    groups = ngram_jaccard_join(rows.filter(worded).select("text_hash", "body"), n=5, num=80, den=100, id_col="text_hash", text_col="body")
+    groups = groups.select("text_hash", "component_id").distinct()
+    least = rows.filter(worded).groupBy("text_hash").agg(F.min("id").alias("id"))
     picked = least.join(groups, "text_hash").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("low"))
     keep = picked.select(F.col("low.id").alias("keep_id"), F.col("low.text_hash").alias("keep_hash"))
-    named = hashed.filter(worded).join(keep, (F.col("text_hash") == F.col("keep_hash")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    return named.unionByName(hashed.filter(~worded)).dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns)
+    named = rows.filter(worded).join(keep, (F.col("text_hash") == F.col("keep_hash")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return named.unionByName(rows.filter(~worded)).dropDuplicates(["id", "text_hash"]).select("doc.*")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages, by the share of their words in them."""
-    verdict = decontaminate(docs.withColumn("text_hash", F.xxhash64("text")), table(spark, sf_dir, "benchmark"), id_col="text_hash")
-    return docs.join(verdict.filter("contaminated").select("text_hash").distinct(), F.xxhash64("text") == F.col("text_hash"), "left_anti")
+    rows = as_one(docs)
+    verdict = decontaminate(rows.select("text_hash", "body"), table(spark, sf_dir, "benchmark"), id_col="text_hash", text_col="body")
+    return rows.join(verdict.filter("contaminated").select("text_hash").distinct(), "text_hash", "left_anti").select("doc.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
