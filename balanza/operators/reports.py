@@ -51,6 +51,75 @@ def cover_summary(totals: DataFrame, covers: DataFrame) -> DataFrame:
     )
 
 
+# The detail sheets of a statement report and the categories each lists (all of them where none is named).
+DETAIL_SHEETS = (
+    ("todos_los_movimientos", ()),
+    ("transacciones_tpv", ("TPV",)),
+    ("efectivo", ("EFECTIVO",)),
+    ("financiamientos", ("FINANCIAMIENTO",)),
+    ("traspasos_abonos", ("TRASPASO_ABONO",)),
+    ("traspasos_cargos", ("TRASPASO_CARGO",)),
+    ("bmrcash", ("BMRCASH",)),
+    ("moratorios", ("MORATORIOS",)),
+    ("comisiones_tpv", ("COMISION_CR", "COMISION_DB", "COMISION_AMEX", "COMISION_TPV_MIXTA")),
+    ("pagos_financiamiento", ("PAGO_FINANCIAMIENTO",)),
+)
+
+
+def detail_sheets(mov: DataFrame, provider: Column) -> DataFrame:
+    """Movements on each sheet that lists them, in one pass: sheet, job_id, doc_id, mov_id, bank, period, posted,
+    description, amount, kind, category, provider.
+
+    ``provider`` is worked out for card sales only and shown on their sheet. Junk and rows of kind importe are on none; a
+    movement without a category is GENERAL, and an amount that is none is 0.
+    """
+    category = F.upper(F.coalesce("category", F.lit("GENERAL")))
+    listed = F.array_compact(F.array(*[F.when(category.isin(*names) if names else F.lit(True), F.lit(sheet)) for sheet, names in DETAIL_SHEETS]))
+    rows = mov.filter((category != "BASURA_OCR") & (F.lower(F.trim(F.coalesce("kind", F.lit("")))) != "importe"))
+    named = rows.select("job_id", "doc_id", "mov_id", "bank", "period", "posted", "description", F.coalesce("amount", F.lit(0)).alias("amount"), "kind", category.alias("category"),
+                        F.when(category == "TPV", provider).alias("provider"), listed.alias("_sheets"))
+    out = named.select(F.explode("_sheets").alias("sheet"), *named.drop("_sheets").columns)
+    return out.withColumn("provider", F.when(F.col("sheet") == "transacciones_tpv", F.col("provider")))
+
+
+def cover_sheet(covers: DataFrame, sums: DataFrame, quality: DataFrame, pages: DataFrame) -> DataFrame:
+    """The 23 columns of a cover, with doc_id and job_id before them.
+
+    ``covers`` has bank, rfc, holder, clabe, file_name, the period, declared sums, average_balance and fees; ``sums`` the
+    category sums of a document, ``quality`` what was read of it, ``pages`` its pages. Duplicates have no row. A document
+    that could not be read has its file's name and the reason in ``message``, N/A and zeros.
+    """
+    rows = reportable(covers)
+    for other in (sums.select("doc_id", "comision_cr", "comision_db", "comision_amex", "comision_tpv_mixta", "pago_financiamiento"),
+                  quality.select("doc_id", "credits_read", "charges_read", "confidence", "gap_deposits", "gap_charges", "categorized_pct"), pages.select("doc_id", "pages", "failed_pages")):
+        rows = rows.join(other, "doc_id", "left")
+    bank = F.upper(F.coalesce("bank", F.lit("BANCO")))
+    bad = bank.isin(*ERROR_BANKS)
+
+    def number(x: Column) -> Column:
+        return F.when(bad, F.lit(0.0)).otherwise(F.coalesce(x.cast("double"), F.lit(0.0)))
+
+    def text(name: str) -> Column:
+        return F.when(bad, F.lit("N/A")).otherwise(F.coalesce(F.col(name).cast("string"), F.lit("")))
+
+    def count(name: str) -> Column:
+        return F.when(bad, F.lit(0)).otherwise(F.coalesce(name, F.lit(0))).cast("bigint")
+
+    fees = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("comision_cr", "comision_db", "comision_amex", "comision_tpv_mixta")]
+    return rows.select(
+        "doc_id", "job_id", bank.alias("bank"), text("rfc").alias("rfc"), text("holder").alias("holder"),
+        F.when(bad, F.coalesce("file_name", F.lit("N/A"))).otherwise(F.coalesce("clabe", F.lit(""))).alias("clabe"),
+        text("period_start").alias("period_start"), text("period_end").alias("period_end"),
+        F.when(bank == "ERROR_CIFRADO", F.lit("CON CONTRASEÑA")).when(bad, F.lit("ERROR DE PROCESAMIENTO")).alias("message"),
+        number(F.col("deposits")).alias("deposits"), number(F.col("charges")).alias("charges"), number(F.col("credits_read")).alias("deposits_read"), number(F.col("charges_read")).alias("charges_read"),
+        number(F.col("average_balance")).alias("average_balance"), number(F.col("fees")).alias("fees"),
+        number(fees[0]).alias("fees_credit"), number(fees[1]).alias("fees_debit"), number(fees[2]).alias("fees_amex"), number(fees[0] + fees[1] + fees[2] + fees[3]).alias("fees_total"),
+        number(F.col("pago_financiamiento")).alias("financing_payments"), number(F.col("confidence")).alias("confidence"),
+        number(F.col("gap_deposits")).alias("gap_deposits"), number(F.col("gap_charges")).alias("gap_charges"), number(F.col("categorized_pct")).alias("categorized_pct"),
+        count("pages").alias("pages"), count("failed_pages").alias("failed_pages"),
+    )
+
+
 def traffic_light(score: Column) -> Column:
     return F.when(score >= 0.9, "green").when(score >= 0.7, "yellow").otherwise("red")
 

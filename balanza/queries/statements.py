@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from balanza.functions import ids, money
-from balanza.operators import classify as C, dedup, own_transfer as O, ordered, reconcile, screening, totals as T
+from balanza.operators import classify as C, dedup, own_transfer as O, ordered, reconcile, reports, screening, totals as T
 from balanza.queries.registry import COVER, TX, query, with_ctes
 from balanza.rules.tags import TagRule
-from balanza.sources import adapters as A
+from balanza.session import checkpoint_root, cut
+from balanza.sources import adapters as A, results
 
 # A small rule set of words that occur in the driver tables, one keyword list per shipped tag.
 RULES = (
@@ -368,6 +371,77 @@ def cover_summary(spark, d):
     return reports.cover_summary(T.category_totals(mov), cov)
 
 
+# Detail sheets: providers by the first words of a card sale; the whole cover sheet; both kept as results of jobs.
+_SHEET_SQL = ", ".join(f"CASE WHEN {' OR '.join(f"category = '{c}'" for c in names) or 'true'} THEN '{sheet}' END" for sheet, names in reports.DETAIL_SHEETS)
+_DETAIL = f"""detail AS (SELECT unnest(list_filter([{_SHEET_SQL}], lambda x: x IS NOT NULL)) AS sheet, job_id, doc_id, mov_id, CASE doc_id % 3 WHEN 0 THEN 'BANORTE' WHEN 1 THEN 'BBVA' ELSE 'HSBC' END AS bank,
+ strftime(posted, '01-%m-%Y') AS period, posted, description, amount, kind, category,
+ CASE WHEN category = 'TPV' THEN CASE WHEN contains(description, 'red') THEN 'UNO' WHEN contains(description, 'blue') THEN 'DOS' ELSE 'NO DEFINIDA' END END AS provider
+ FROM classified WHERE category <> 'BASURA_OCR' AND kind <> 'importe')"""
+
+
+def _detail(spark, d):
+    mov, doc = classified(spark, d), F.col("doc_id")
+    bank = F.when(doc % 3 == 0, "BANORTE").when(doc % 3 == 1, "BBVA").otherwise("HSBC")
+    provider = F.when(F.col("description").contains("red"), "UNO").when(F.col("description").contains("blue"), "DOS").otherwise("NO DEFINIDA")
+    return reports.detail_sheets(mov.withColumns({"bank": bank, "period": F.date_format("posted", "01-MM-yyyy")}), provider)
+
+
+@query("detail_sheets", with_ctes(*CLASSIFIED, _DETAIL) + """
+SELECT sheet, job_id, doc_id, mov_id, bank, period, posted::VARCHAR AS posted, description, CAST(amount AS DOUBLE) AS amount, kind, category, CASE WHEN sheet = 'transacciones_tpv' THEN provider END AS provider FROM detail""")
+def detail_sheets(spark, d):
+    return _detail(spark, d)
+
+
+_PAGED = """paged AS (SELECT doc_id, count(*) AS pages, count(*) FILTER (n = 7) AS failed_pages FROM (SELECT doc_id, order_key, max(line_no) AS n FROM tx GROUP BY ALL) GROUP BY doc_id)"""
+
+
+def _cover_sheet(spark, d):
+    mov, doc = classified(spark, d), F.col("doc_id")
+    bank = F.when(doc % 11 == 0, "error_cifrado").when(doc % 11 == 1, "ERROR_LECTURA").when(doc % 11 == 2, "duplicado").otherwise("banorte")
+    cov = A.covers(mov).withColumns({
+        "bank": bank, "rfc": F.concat(F.lit("RFC"), doc.cast("string")), "holder": F.when(doc % 5 != 0, F.concat(F.lit("H"), doc.cast("string"))), "clabe": F.lpad(doc.cast("string"), 18, "0"),
+        "file_name": F.concat(F.lit("file-"), doc.cast("string")), "average_balance": F.when(doc % 4 != 0, doc * 1.5),
+    })
+    # a page is an order; one with a seventh line could not be read
+    pages = mov.groupBy("doc_id", F.col("order_key").alias("page")).agg(F.when(F.max("line_no") == 7, 0.0).otherwise(1.0).alias("score")).withColumn("alert", F.lit("OK"))
+    sums = T.statement_sums(mov)
+    return reports.cover_sheet(cov, sums, T.extraction_quality(sums, cov), T.page_quality(pages))
+
+
+@query("cover_sheet", with_ctes(*CLASSIFIED, COVER, TOTALS, QUALITY, _PAGED) + """
+, j AS (SELECT c.doc_id, c.job_id, c.doc_id % 11 < 2 AS bad, CASE c.doc_id % 11 WHEN 0 THEN 'ERROR_CIFRADO' WHEN 1 THEN 'ERROR_LECTURA' ELSE 'BANORTE' END AS bank, c.*, t.*, q.*, p.* FROM cover c JOIN totals t ON t.doc_id = c.doc_id JOIN quality q ON q.doc_id = c.doc_id JOIN paged p ON p.doc_id = c.doc_id WHERE c.doc_id % 11 <> 2)
+SELECT doc_id, job_id, bank, CASE WHEN bad THEN 'N/A' ELSE concat('RFC', doc_id) END AS rfc, CASE WHEN bad THEN 'N/A' WHEN doc_id % 5 <> 0 THEN concat('H', doc_id) ELSE '' END AS holder,
+ CASE WHEN bad THEN concat('file-', doc_id) ELSE lpad(doc_id::VARCHAR, 18, '0') END AS clabe, CASE WHEN bad THEN 'N/A' ELSE period_start::VARCHAR END AS period_start, CASE WHEN bad THEN 'N/A' ELSE period_end::VARCHAR END AS period_end,
+ CASE WHEN bank = 'ERROR_CIFRADO' THEN 'CON CONTRASEÑA' WHEN bad THEN 'ERROR DE PROCESAMIENTO' END AS message, """ + ", ".join(
+    f"CASE WHEN bad THEN 0 ELSE round(({x})::DOUBLE, 2) END AS {n}" for n, x in (
+        ("deposits", "deposits"), ("charges", "charges"), ("deposits_read", "credits_read"), ("charges_read", "charges_read"), ("average_balance", "CASE WHEN doc_id % 4 <> 0 THEN doc_id * 1.5 ELSE 0 END"), ("fees", "fees"),
+        ("fees_credit", "comision_cr"), ("fees_debit", "comision_db"), ("fees_amex", "comision_amex"), ("fees_total", "comision_cr + comision_db + comision_amex + comision_tpv_mixta"),
+        ("financing_payments", "pago_financiamiento"), ("confidence", "confidence"), ("gap_deposits", "abs(deposits - credits_read)"), ("gap_charges", "abs(charges - charges_read)"), ("categorized_pct", "categorized_pct"),
+    )) + """, CASE WHEN bad THEN 0 ELSE pages END AS pages, CASE WHEN bad THEN 0 ELSE failed_pages END AS failed_pages FROM j""")
+def cover_sheet(spark, d):
+    out = _cover_sheet(spark, d)
+    return out.select(*[F.round(c, 2).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+# All sheets of all jobs written twice, then jobs 2 and 3 again by a run that finds no card sales: what counts, read back.
+@query("result_store", with_ctes(*CLASSIFIED, COVER, _DETAIL) + """
+, k AS (SELECT job_id, 'detail' AS sheet, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM detail WHERE NOT (job_id IN (2, 3) AND category = 'TPV') GROUP BY ALL
+ UNION ALL SELECT job_id, 'covers', count(*), CAST(sum(deposits) AS DOUBLE) FROM cover GROUP BY ALL)
+SELECT job_id, sheet, n AS "rows", total, CASE WHEN job_id IN (2, 3) THEN 'second' ELSE 'first' END AS run FROM k""")
+def result_store(spark, d):
+    path = f"{checkpoint_root(spark)}/results/{uuid.uuid4().hex}"
+    detail, covers = cut(_detail(spark, d)), cut(A.covers(A.movements(spark, d)))
+    jobs = covers.select("job_id").distinct()
+    for _ in range(2):
+        results.write_run({"detail": detail, "covers": covers}, jobs, path, "first")
+    results.write_run({"detail": detail.filter("category <> 'TPV'"), "covers": covers}, jobs.filter("job_id in (2, 3)"), path, "second")
+    runs = results.read_manifest(spark, path)
+    read = results.read_sheet(spark, path, "detail", detail.schema).select("job_id", F.lit("detail").alias("sheet"), "amount")
+    read = read.unionByName(results.read_sheet(spark, path, "covers", covers.schema).select("job_id", F.lit("covers").alias("sheet"), F.col("deposits").alias("amount")))
+    sums = read.groupBy("job_id", "sheet").agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").cast("double").alias("total"))
+    return sums.join(runs.select("job_id", "sheet", "run"), ["job_id", "sheet"])
+
+
 @query("account_summary", with_ctes(*CLASSIFIED, COVER, TOTALS) + """
 SELECT CASE WHEN c.doc_id % 7 = 0 THEN 'N/A' ELSE period_end::VARCHAR END AS month,
  CASE WHEN c.doc_id % 7 = 0 THEN concat('file-', c.doc_id) ELSE concat('BANCO-', right(lpad(CAST(c.doc_id AS VARCHAR), 18, '0'), 4)) END AS account,
