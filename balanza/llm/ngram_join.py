@@ -285,8 +285,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     within = u.join(mixed, u.gid_x == mixed.gid).drop("gid").join(v, F.col("gid_x") == F.col("gid_y")).filter("a < b and ra <> rb").select("a", "b")
     checked = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     forget(spark)
-    more = linked(across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti"))
+    more = cut(linked(across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")))
+    del pairs, across, within, left, x, y
+    forget(spark)
     roots = components(first.union(more))
+    forget(spark)
 
     # smallest id of each component, back to every row
     home = member.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "low", F.coalesce("root", "cid").alias("root"))
