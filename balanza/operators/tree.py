@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from balanza.operators.ordered import position
 from balanza.operators.ratios import ACCOUNTS
 
 #: Levels that one pass reads.
@@ -63,6 +64,27 @@ def flatten_tree(df: DataFrame, keys, tree: str = "tree", max_depth: int | None
     )
 
 
+def tree_matrix(trees: dict[str, DataFrame], years, keys=("taxpayer",)) -> DataFrame:
+    """Statements side by side: (keys, row_no) and for each name of ``trees`` its label and an amount for each year.
+
+    The frames are what ``flatten_tree`` gives. Each statement is listed in document order from row 1, a node's label
+    is indented by four blanks for each named node above it, and nodes without a name have no row. Years that a node
+    lacks are 0; where one statement is shorter its cells are NULL. ``years`` are the columns, in their order.
+    """
+    keys = list(keys)
+    rows = None
+    for name, flat in trees.items():
+        depth = F.size(F.filter("path", lambda c: c != "")) - 1
+        amounts = [F.coalesce(F.max(F.when(F.col("year") == y, F.col("amount"))), F.lit(0.0)).alias(f"y{y}") for y in years]
+        nodes = flat.filter("category <> ''").groupBy(*keys, "place", F.concat(F.repeat(F.lit("    "), depth), "category").alias("label")).agg(*amounts)
+        placed = position(nodes, keys, ["place"], F.slice("place", 1, 2), "row_no").withColumn("_tree", F.lit(name))
+        rows = placed if rows is None else rows.unionByName(placed)
+    cells = [
+        F.max(F.when(F.col("_tree") == name, F.col(c))).alias(f"{name}_{c}") for name in trees for c in ("label", *(f"y{y}" for y in years))
+    ]
+    return rows.groupBy(*keys, "row_no").agg(*cells)
+
+
 def name_matches(category: Column, names) -> Column:
     """Exact account name, or a name inside a category shorter than 2.5 times the name."""
     text = F.lower(F.trim(category))

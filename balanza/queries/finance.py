@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from balanza.operators import network as N, products as P, ratios as R, reports, risk, tree
 from balanza.queries.registry import AS_OF, INV, TX, query, with_ctes
+from balanza.session import cut
 from balanza.sources import adapters as A
 
 
@@ -67,6 +68,49 @@ def account_values(spark, d):
     return tree.account_values(flat, ["taxpayer"], _ACCOUNTS)
 
 
+# A balance of 15 levels, with a nameless node at every fifth, beside an income statement by status and pay type.
+_LEVELS, _YEARS = 15, tuple(range(2001, 1994, -1))
+
+
+def deep_trees(spark, d):
+    """(taxpayer, balance, income) as VARIANT trees of whole amounts."""
+    rows = inv(spark, d).withColumns({"year": F.year("issued"), "level": F.col("invoice_id") % _LEVELS, "whole": F.floor("total")})
+
+    def listed(cond):
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("year", "whole")))), lambda p: F.concat(F.lit(', "'), p["year"].cast("string"), F.lit('": '), p["whole"].cast("string"))), "")
+
+    deep = rows.groupBy("taxpayer", "year", "level").agg(F.sum("whole").alias("whole")).groupBy("taxpayer").agg(*[listed(F.col("level") == i).alias(f"l{i}") for i in range(_LEVELS)])
+    text = F.lit("")
+    for i in reversed(range(_LEVELS)):
+        name = "" if i % 5 == 3 else f"Nivel {i}"
+        text = F.concat(F.lit(f'{{"category": "{name}"'), F.col(f"l{i}"), F.lit(', "children": ['), text, F.lit("]}"))
+    flat = rows.groupBy("taxpayer", "year", "status", "pay_type").agg(F.sum("whole").alias("whole"))
+    leaf = flat.groupBy("taxpayer", "status", "pay_type").agg(listed(F.lit(True)).alias("v"))
+    kids = leaf.groupBy("taxpayer", "status").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pay_type", "v"))), lambda p: F.concat(F.lit('{"category": "'), p["pay_type"], F.lit('"'), p["v"], F.lit("}"))), ", ").alias("k"))
+    roots = kids.groupBy("taxpayer").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("status", "k"))), lambda p: F.concat(F.lit('{"category": "'), p["status"], F.lit('", "children": ['), p["k"], F.lit("]}"))), ", ").alias("r"))
+    income = F.concat(F.lit('{"data": ['), F.col("r"), F.lit("]}"))
+    return deep.select("taxpayer", F.parse_json(text).alias("balance")).join(roots.select("taxpayer", F.parse_json(income).alias("income")), "taxpayer")
+
+
+_SPREAD = ", ".join(f"coalesce(sum(w) FILTER (year = {y}), 0)::DOUBLE AS y{y}" for y in _YEARS)
+
+
+@query("tree_matrix", with_ctes(INV) + f"""
+, r AS (SELECT taxpayer, year(issued) AS year, invoice_id % {_LEVELS} AS level, floor(total) AS w, status, pay_type FROM inv),
+t AS (SELECT DISTINCT taxpayer FROM r),
+b AS (SELECT t.taxpayer, i AS level, {_SPREAD} FROM t CROSS JOIN (SELECT unnest(range({_LEVELS})) AS i) l LEFT JOIN r ON r.taxpayer = t.taxpayer AND r.level = i WHERE i % 5 <> 3 GROUP BY ALL),
+bn AS (SELECT *, row_number() OVER (PARTITION BY taxpayer ORDER BY level) AS row_no FROM b),
+i0 AS (SELECT taxpayer, status, '' AS pay, {", ".join(f"0::DOUBLE AS y{y}" for y in _YEARS)} FROM (SELECT DISTINCT taxpayer, status FROM r) UNION ALL SELECT taxpayer, status, pay_type, {_SPREAD} FROM r GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY taxpayer ORDER BY status, pay) AS row_no FROM i0)
+SELECT coalesce(bn.taxpayer, n.taxpayer) AS taxpayer, coalesce(bn.row_no, n.row_no) AS row_no, CASE WHEN bn.row_no IS NOT NULL THEN concat(repeat('    ', (bn.row_no - 1)::INT), 'Nivel ', level) END AS balance_label, {", ".join(f"bn.y{y} AS balance_y{y}" for y in _YEARS)},
+ CASE WHEN pay = '' THEN status WHEN pay IS NOT NULL THEN concat('    ', pay) END AS income_label, {", ".join(f"n.y{y} AS income_y{y}" for y in _YEARS)}
+FROM bn FULL JOIN n ON bn.taxpayer = n.taxpayer AND bn.row_no = n.row_no""")
+def tree_matrix(spark, d):
+    trees = cut(deep_trees(spark, d))
+    flats = {name: tree.flatten_tree(trees.select("taxpayer", F.col(name).alias("tree")), ["taxpayer"]) for name in ("balance", "income")}
+    return tree.tree_matrix(flats, _YEARS)
+
+
 # Yearly inputs: each account is the sum of the invoices with its remainder.
 _NAMES = list(R.ACCOUNTS)
 _VALUES = ("vals AS (SELECT taxpayer, year(issued) AS year, invoice_id % 29 AS k, CAST(sum(total) AS DOUBLE) AS v FROM inv GROUP BY ALL),\n"

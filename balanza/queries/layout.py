@@ -367,20 +367,37 @@ def nearest_lane(spark, d):
     return rows.select("doc_id", "row_no", F.round("left", 6).alias("x"), lane.alias("lane")).groupBy("doc_id", "row_no", "x", "lane").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("section_slices", with_ctes(LINES) + """
-, r AS (SELECT doc_id, line AS row_no, CASE WHEN line % 4 = 1 THEN concat('0', line % 9 + 1, ' ', text, ' 1,200.50') ELSE text END AS text, line % 13 + 2 AS el FROM doc_lines),
-t AS (SELECT *, replace(replace(upper(text), ' ', ''), '_', '') AS tight FROM r), s AS (SELECT *, CASE WHEN contains(tight, 'EAUX') THEN 'SPEI_RECIBIDOS' WHEN contains(tight, 'ONDRE') THEN 'PRINCIPAL' END AS sec FROM t),
+def _slices_sql(section: str) -> str:
+    """Slices of rows of blocks; ``section`` gives a row's own section from its text without blanks."""
+    rx = r"^(\d{2}/\d{2}/\d{4}|0[1-9]|[12]\d|3[01])(?:\s|$)"
+    return f"""
+, r AS (SELECT doc_id, line AS row_no, CASE WHEN line % 4 = 1 THEN concat('0', line % 9 + 1, ' ', text, ' 1,200.50') WHEN line % 8 = 6 THEN concat('cargo |  1', line % 9, ' | ', text, ' | 33.10') WHEN line % 8 = 2 THEN concat('a | b | c | 11 | ', text, ' 5.00') ELSE text END AS text, line % 13 + 2 AS el FROM doc_lines),
+t AS (SELECT *, replace(replace(upper(text), ' ', ''), '_', '') AS tight, list_filter(list_transform(list_slice(string_split(text, ' | '), 1, 3), lambda x: regexp_extract(trim(x), '{rx}', 1)), lambda x: x <> '')[1] AS dt FROM r), s AS (SELECT *, {section} AS sec FROM t),
 c AS (SELECT *, last_value(sec IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS section FROM s),
-b AS (SELECT *, regexp_matches(text, '^(\\d{2}/\\d{2}/\\d{4}|0[1-9]|[12]\\d|3[01])(?:\\s|$)') AND regexp_matches(text, '[-+]?\\s*\\d{1,3}(?:,\\d{3})*\\.\\d{2}') AS st FROM c WHERE sec IS NULL AND NOT contains(tight, 'LETRE')),
-n AS (SELECT *, sum(CASE WHEN st THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS slice FROM b),
-k AS (SELECT *, coalesce(sum(CASE WHEN st THEN el - 1 ELSE el END) OVER (PARTITION BY doc_id, slice ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n WHERE slice > 0)
-SELECT doc_id, row_no, text, coalesce(section, 'PRINCIPAL') AS section, slice::BIGINT AS slice FROM k""")
-def section_slices(spark, d):
+b AS (SELECT *, dt IS NOT NULL AND regexp_matches(text, '[-+]?\\s*\\d{{1,3}}(?:,\\d{{3}})*\\.\\d{{2}}') AS st FROM c WHERE sec IS NULL AND NOT contains(tight, 'LETRE')),
+n AS (SELECT *, sum(CASE WHEN st THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS slice FROM b)
+SELECT doc_id, row_no, text, coalesce(section, 'PRINCIPAL') AS section, slice::BIGINT AS slice, CASE WHEN st THEN dt END AS date_text FROM n WHERE slice > 0"""
+
+
+def _block_rows(spark, d):
     line = F.col("line")
-    dated = F.concat(F.lit("0"), (line % 9 + 1).cast("string"), F.lit(" "), F.col("text"), F.lit(" 1,200.50"))
-    rows = A.doc_lines(spark, d).select("doc_id", line.alias("row_no"), F.when(line % 4 == 1, dated).otherwise(F.col("text")).alias("text"), (line % 13 + 2).alias("elements"))
+    first = F.concat(F.lit("0"), (line % 9 + 1).cast("string"), F.lit(" "), F.col("text"), F.lit(" 1,200.50"))
+    second = F.concat(F.lit("cargo |  1"), (line % 9).cast("string"), F.lit(" | "), F.col("text"), F.lit(" | 33.10"))
+    fourth = F.concat(F.lit("a | b | c | 11 | "), F.col("text"), F.lit(" 5.00"))
+    text = F.when(line % 4 == 1, first).when(line % 8 == 6, second).when(line % 8 == 2, fourth).otherwise(F.col("text"))
+    return A.doc_lines(spark, d).select("doc_id", line.alias("row_no"), text.alias("text"), (line % 13 + 2).alias("elements"))
+
+
+@query("section_slices", with_ctes(LINES) + _slices_sql("CASE WHEN contains(tight, 'EAUX') THEN 'SPEI_RECIBIDOS' WHEN contains(tight, 'ONDRE') THEN 'PRINCIPAL' END"))
+def section_slices(spark, d):
     sections = (("SPEI_RECIBIDOS", lambda t: t.contains("EAUX")), ("PRINCIPAL", lambda t: t.contains("ONDRE")))
-    return L.section_slices(rows, sections, junk=("LE TRE",))
+    return L.section_slices(_block_rows(spark, d), sections, junk=("LE TRE",))
+
+
+@query("section_slices_plain", with_ctes(LINES) + _slices_sql("NULL::VARCHAR"))
+def section_slices_plain(spark, d):
+    """The same without any section marks."""
+    return L.section_slices(_block_rows(spark, d), (), junk=("LE TRE",))
 
 
 @query("opening_balance", with_ctes(LINES) + """

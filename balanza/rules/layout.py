@@ -96,6 +96,9 @@ ZONE_TRIGGERS = (
     ("DETALLE_CREDITO", ("DETALLES DEL CRÉDITO", "DETALLE DEL CRÉDITO")),
 )
 
+# Fixed value: blocks of a scanned row that may hold its date.
+DATED_BLOCKS = 3
+
 # Lines of a scanned statement to pass over, and lane positions used by default.
 SCAN_JUNK = (
     "ESTE DOCUMENTO ES UNA REPRESENTACIÓN", "SELLO DIGITAL", "CADENA ORIGINAL", "IPAB", "FONDOS DE INVERSION", "SUMA DE RETIROS",

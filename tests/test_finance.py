@@ -193,3 +193,18 @@ def test_ratio_matrix_has_the_years_of_the_invoices(spark, sf_dir, tmp_path):
     got, given = ratio_matrix(spark, str(tmp_path)), ratio_matrix(spark, sf_dir)
     assert got.columns == ["taxpayer", "ratio", *years] and given.columns == ["taxpayer", "ratio", *[str(y) for y in range(1995, 2002)]]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, given.collect()), key=str)
+
+
+def test_tree_matrix_side_by_side(spark):
+    """15 levels beside a short statement, nameless nodes, missing years, document order."""
+    node = '{"category": "last", "2020": 5}'
+    for i in reversed(range(14)):
+        node = '{"category": "%s", "2020": %d, "2019": {"Total": %d}, "children": [%s]}' % ("" if i == 4 else f"n{i}", i, 2 * i, node)
+    income = '{"data": [{"category": "b", "2019": 1, "children": [{"category": "z", "2020": 2}, {"category": "a"}]}, {"category": "a", "2018": 9}]}'
+    df = spark.createDataFrame([(7, node, income)], "taxpayer int, balance string, income string")
+    flats = {c: tree.flatten_tree(df.select("taxpayer", F.parse_json(c).alias("tree")), ["taxpayer"]) for c in ("balance", "income")}
+    got = [tuple(r) for r in tree.tree_matrix(flats, (2020, 2019)).orderBy("row_no").collect()]
+    names = [f"n{i}" for i in range(14) if i != 4] + ["last"]
+    left = [("    " * k + n, float(n[1:]) if n != "last" else 5.0, 2.0 * float(n[1:]) if n != "last" else 0.0) for k, n in enumerate(names)]
+    right = [("b", 0.0, 1.0), ("    z", 2.0, 0.0), ("    a", 0.0, 0.0), ("a", 0.0, 0.0)] + [(None, None, None)] * 10
+    assert got == [(7, i + 1, *a, *b) for i, (a, b) in enumerate(zip(left, right))]

@@ -180,3 +180,14 @@ def test_rows_of_slices(spark):
     got = {(r.page, r.row_no): (r.amount, r.description, r.orphan) for r in out.collect()}
     assert got == {(1, 1): (5.0, "PAGO UNO\nsegunda", None), (1, 2): (5.0, None, None), (2, 0): (None, None, "cola\nmás")}
     assert [(r.page, r.description) for r in L.stitch_orphans(out).collect()] == [(1, "PAGO UNO\nsegunda\ncola\nmás")]
+
+
+def test_dates_in_later_blocks_and_no_sections(spark):
+    rows = [
+        (1, 0, "nada 5.00", 1), (1, 1, "CARGO | 03 | pago | 10.00", 4), (1, 2, "sigue", 1), (1, 3, "a | b | c | 04 | 9.00", 5), (1, 4, "05 sin dinero", 1), (1, 5, "12/01/2024 | x | 1,000.00", 3),
+    ]
+    df = spark.createDataFrame(rows, "doc_id int, row_no bigint, text string, elements int")
+    got = [(r.row_no, r.section, r.slice, r.date_text) for r in L.section_slices(df, (), junk=("ZZZZ",)).orderBy("row_no").collect()]
+    assert got == [(1, "PRINCIPAL", 1, "03"), (2, "PRINCIPAL", 1, None), (3, "PRINCIPAL", 1, None), (4, "PRINCIPAL", 1, None), (5, "PRINCIPAL", 2, "12/01/2024")]
+    some = L.section_slices(df, (("S", lambda t: t.contains("SIGUE")),), junk=("ZZZZ",), first="A")
+    assert [(r.row_no, r.section) for r in some.orderBy("row_no").collect()] == [(1, "A"), (3, "S"), (4, "S"), (5, "S")]
