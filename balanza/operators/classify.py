@@ -112,14 +112,16 @@ def classify(df: DataFrame, rules=R.TAG_RULES, kind: str = "kind") -> DataFrame:
     })
 
 
-def merge_labels(df: DataFrame, labels: DataFrame, on, kind: str = "kind", label: str = "label") -> DataFrame:
+def merge_labels(df: DataFrame, labels: DataFrame, on, kind: str = "kind", label: str = "label", order: str | None = None) -> DataFrame:
     """Outside labels onto rows without a category; rows without a label become GENERAL.
 
-    ``labels`` has the key columns and ``label``. The last label of a repeated key is not defined
-    in the source, so the key must be unique.
+    ``labels`` has the key columns and ``label``. A key that comes more than once gives no row twice: the label
+    that is last by the column ``order`` counts, or without one the first of them in the alphabet; empty ones don't.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    side = labels.select(*keys, F.nullif(F.lower(F.trim(F.col(label))), F.lit("")).alias("_label"))
+    text = F.nullif(F.lower(F.trim(F.col(label))), F.lit(""))
+    counts = F.min(text) if order is None else F.max_by(text, F.when(text.isNotNull(), F.col(order)))
+    side = labels.groupBy(*keys).agg(counts.alias("_label"))
     credit = is_credit(F.col(kind))
     translated = (
         F.when(F.col("_label") == "traspaso entre cuentas",

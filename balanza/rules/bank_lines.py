@@ -112,7 +112,7 @@ BANK_LINES = {
     "banamex": LineRules((*_NET_SALES.one_line, "bn-nts {6d}"), _NET_SALES.first_line, _NET_SALES.later_lines),
     "azteca": LineRules(
         (), ("transferencia spei a su favor", "deposito spei"),
-        ("emisor: banorte", "emisor: santander", "payclip s de rl decv", "deposito bpu", *COMMON_LATER),
+        ("emisor: banorte", "emisor: santander", "payclip s de rl decv", "deposito bpu", *(p for p in COMMON_LATER if p != "payclip s de rl de cv")),
     ),
     "inbursa": LineRules(
         (), ("deposito spei",),

@@ -149,3 +149,12 @@ def test_own_by_account_and_protection(spark):
     own = O.own_by_account(mov, O.account_pool(covers))
     got = {r.mov_id: (r.suspicious, r.category) for r in O.apply_own(mov, own).collect()}
     assert got == {"a": (True, "TRASPASO_ABONO"), "b": (True, "TPV"), "c": (False, "GENERAL"), "d": (False, "GENERAL")}
+
+
+def test_labels_of_a_repeated_key(spark):
+    df = spark.createDataFrame([(1, "abono", None, None), (2, "cargo", None, None), (3, "cargo", "X", "r")], "k int, kind string, category string, reason string")
+    labels = spark.createDataFrame([(1, "traspaso entre cuentas", 1), (1, " Financiamiento ", 2), (1, "", 3), (2, None, 1), (3, "a", 1), (3, "b", 2)], "k int, label string, seq int")
+    last = {r.k: r.category for r in C.merge_labels(df, labels, "k", order="seq").collect()}
+    assert last == {1: "FINANCIAMIENTO", 2: "GENERAL", 3: "X"}
+    some = [(r.k, r.category) for r in C.merge_labels(df, labels, "k").orderBy("k").collect()]
+    assert some == [(1, "FINANCIAMIENTO"), (2, "GENERAL"), (3, "X")]
