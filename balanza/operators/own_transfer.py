@@ -10,6 +10,7 @@ from balanza.functions.plan import settle
 from balanza.functions.text import clean_company, matching_ratio, to_ascii
 from balanza.operators.ordered import attach_group
 from balanza.rules.tags import PROTECTED_CATEGORIES
+from balanza.session import cut
 
 
 def account_pool(covers: DataFrame) -> DataFrame:
@@ -47,24 +48,43 @@ def _windows(text: Column, words: Column) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, words), " "))
 
 
+#: Bits of the tables that rule out what no name has.
+TABLE_BITS = 1 << 22
+
+
+def _bit_table(values: DataFrame, *cols: str) -> Column:
+    """Bits of the hashes of ``cols`` as words of 64, a table of fixed size."""
+    at = F.pmod(F.xxhash64(*cols), F.lit(TABLE_BITS))
+    bits = values.select(F.floor(at / 64).cast("long").alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("_bits"))
+    every = values.sparkSession.range(TABLE_BITS // 64).select(F.col("id").alias("_word"), F.lit(0).cast("long").alias("_bits"))
+    words = bits.unionByName(every).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    return words.agg(F.transform(F.sort_array(F.collect_list(F.struct("_word", "_bits"))), lambda w: w["_bits"]).alias("_table")).scalar()
+
+
+def _in_table(table: Column, *cols: Column) -> Column:
+    at = F.pmod(F.xxhash64(*cols), F.lit(TABLE_BITS))
+    return F.getbit(F.get(table, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1
+
+
 def own_by_name_exact(mov: DataFrame, names: DataFrame, key: str = "mov_id") -> DataFrame:
     """Keys of movements whose text contains a holder name of the same job.
 
-    Names and texts meet on job and on the first four characters of the name at a place of the
-    text, so a job with many names does not pair each text with each name.
+    Places of a text where no name of the job can begin are ruled out by a bit table of first four characters, and pieces
+    as long as a name by a second one of whole names, in the task and before any shuffle. What is left meets the names by
+    job and piece, and that join decides; a text itself travels nowhere.
     """
+    names = cut(names.select("job_id", "name").distinct())
+    first = _bit_table(names.select("job_id", F.left("name", F.lit(4)).alias("_gram")), "job_id", "_gram")
+    whole = _bit_table(names, "job_id", "name")
+    sizes = names.agg(F.sort_array(F.collect_set(F.length("name"))).alias("_sizes")).scalar()
     text = mov.select("job_id", key, name_text(F.col("description")).alias("_text"))
-    grams = F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - 3, F.lit(1))), lambda i: F.substr(F.col("_text"), i, F.lit(4)))
-    )
-    left = text.select("job_id", key, "_text", F.explode(grams).alias("_gram"))
-    right = names.select("job_id", "name", F.left("name", F.lit(4)).alias("_gram"))
-    return (
-        left.join(right, ["job_id", "_gram"])
-        .filter(F.col("_text").contains(F.col("name")))
-        .select("job_id", key)
-        .distinct()
-    )
+    job, n = F.col("job_id"), F.length("_text")
+    at = text.select("*", F.explode(F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1)))).alias("_at"))
+    at = at.filter(_in_table(first, job, F.substr(F.col("_text"), F.col("_at"), F.lit(4))))
+    sized = at.select("*", sizes.alias("_sizes")).select("job_id", key, "_text", "_at", F.explode("_sizes").alias("_size")).filter(F.col("_at") + F.col("_size") - 1 <= n)
+    pieces = settle(sized.select("job_id", key, "_text", "_at", "_size"), {"name": F.substr(F.col("_text"), F.col("_at"), F.col("_size"))})
+    found = pieces.filter(_in_table(whole, job, F.col("name"))).select("job_id", key, "name")
+    return found.join(names, ["job_id", "name"], "left_semi").select("job_id", key).distinct()
 
 
 def own_by_name_fuzzy(mov: DataFrame, names: DataFrame, key: str = "mov_id", threshold: float = 0.85) -> DataFrame:
