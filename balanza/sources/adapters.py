@@ -87,14 +87,23 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
 
 
-def doc_pages(spark: SparkSession, sf_dir: str, size: int = 5) -> DataFrame:
-    """Lines with a page number, ``size`` lines to a page."""
-    return doc_lines(spark, sf_dir).withColumn("page", F.floor(F.col("line") / size).cast("int") + 1)
+def doc_pages(spark: SparkSession, sf_dir: str, size: int = 5, dealt: bool = False) -> DataFrame:
+    """Lines with a page number, ``size`` lines to a page.
+
+    With ``dealt``, whole texts are dealt by document before they are split, so that lines and words of a page or document
+    lie together and groupings, windows and joins by these keys move none of them again. Such frames go into no union
+    that is grouped or joined later: Spark 4.1 takes the parts of its inputs to fit each other, which they need not.
+    """
+    lines = doc_lines(spark, sf_dir)
+    if dealt:
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+        lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return lines.withColumn("page", F.floor(F.col("line") / size).cast("int") + 1)
 
 
 def doc_words(spark: SparkSession, sf_dir: str, size: int = 5) -> DataFrame:
-    """Words with positions: y from the line within its page, x from the place in the line."""
-    lines = doc_pages(spark, sf_dir, size)
+    """Words with positions: y from the line within its page, x from the place in the line; dealt by document."""
+    lines = doc_pages(spark, sf_dir, size, dealt=True)
     words = lines.select("doc_id", "page", "line", F.posexplode(F.split("text", " ")).alias("place", "text"))
     return words.filter(F.col("text") != "").select(
         "doc_id", "page", "line", "place", "text",
