@@ -11,18 +11,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def running_sum(df: DataFrame, keys, order, values: dict[str, Column], block: Column) -> DataFrame:
-    """Running sums in order, one output column per entry of ``values``."""
+def running_sum(df: DataFrame, keys, order, values: dict[str, Column], block: Column | str) -> DataFrame:
+    """Running sums in order, one output column per entry of ``values``.
+
+    A block that is the name of a column stays, and the rows lie together by key and block afterwards.
+    """
     keys = list(keys)
-    data = df.withColumn("_block", block)
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = data.groupBy(*keys, "_block").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in values.items()])
+    at = block if isinstance(block, str) else "_block"
+    data = df if isinstance(block, str) else df.withColumn(at, block)
+    inside = Window.partitionBy(*keys, at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    totals = data.groupBy(*keys, at).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in values.items()])
     starts = totals.select(
-        *keys, "_block", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in values]
+        *keys, at, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in values]
     )
     scanned = data.withColumns({n: F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in values.items()})
-    joined = scanned.join(starts, [*keys, "_block"])
+    joined = scanned.join(starts, [*keys, at])
     return joined.withColumns({n: F.col(n) + F.col(f"_s_{n}") for n in values}).drop(
         "_block", *[f"_s_{n}" for n in values]
     )

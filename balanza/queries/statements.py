@@ -525,14 +525,14 @@ SELECT doc_id, mov_id, CAST(expected AS DOUBLE) AS expected, balance IS NULL OR
 def running_balance_strict(spark, d):
     mov = A.movements(spark, d)
     signed = F.when(F.col("kind") == "abono", F.col("amount")).when(F.col("kind") == "cargo", -F.col("amount")).otherwise(0)
-    block = F.trunc("posted", "month")
-    true = ordered.running_sum(mov, ["doc_id"], ["posted", "mov_id"], {"_true": signed}, block)
+    mov = mov.select("doc_id", "mov_id", "posted", "kind", "amount", "line_no", "order_key", F.trunc("posted", "month").alias("month"))
+    true = ordered.running_sum(mov, ["doc_id"], ["posted", "mov_id"], {"_true": signed}, "month")
     creep = ((F.col("order_key") % 5 - 1) * F.lit(0.01).cast("decimal(4,2)")).cast("decimal(18,2)")
     read = true.withColumn(
         "balance",
         F.when(F.col("line_no") == 6, F.col("_true") + 1010).when(F.col("line_no") != 5, F.col("_true") + 1000 + creep),
-    ).drop("_true")
-    out = reconcile.running_balance_strict(read, F.lit(1000).cast("decimal(18,2)"), ["posted", "mov_id"], block)
+    ).drop("_true", "line_no", "order_key")
+    out = reconcile.running_balance_strict(read, F.lit(1000).cast("decimal(18,2)"), ["posted", "mov_id"], "month")
     return out.select("doc_id", "mov_id", F.col("expected").cast("double").alias("expected"), "review", F.col("inferred").cast("double").alias("inferred"), F.col("carried").cast("double").alias("carried"))
 
 

@@ -66,3 +66,20 @@ def test_nothing_read(spark):
     check(spark, {"d": (Decimal(0), [(0, "abono", Decimal("1.10"), None), (1, "cargo", Decimal("2.20"), None)])}, F.lit(0))
     df = spark.createDataFrame([], "doc string, n int, kind string, amount decimal(18,2), balance decimal(18,2)")
     assert running_balance_strict(df, F.lit(0), ["n"], F.lit(0), keys=["doc"]).collect() == []
+
+
+def test_fractions_of_cents(spark):
+    """Changes finer than cents are summed up before they are rounded."""
+    rows = [(n, "abono", Decimal("0.004"), Decimal(n * 4 // 10 + 1) / 100) for n in range(40)]
+    df = spark.createDataFrame([("d", *r) for r in rows], "doc string, n int, kind string, amount decimal(18,3), balance decimal(18,2)")
+    got = {r.n: r.carried for r in running_balance_strict(df, F.lit(0), ["n"], F.floor(F.col("n") / 7), keys=["doc"]).collect()}
+    assert len(got) == 40 and got[39] == Decimal("0.16")
+
+
+def test_rows_are_made_once(spark, sf_dir):
+    """The movements are read and joined once, and travel once more at the end."""
+    from balanza.queries import QUERIES, load_all
+
+    load_all()
+    plan = QUERIES["running_balance_strict"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "l_extendedprice" not in plan
