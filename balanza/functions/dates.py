@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from balanza.functions.plan import let
+
 # Month abbreviations in the two languages that occur.
 SPANISH_MONTHS = ("ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sep", "oct", "nov", "dic")
 ENGLISH_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -87,62 +89,80 @@ def complete_date(df: DataFrame, raw: str, start: str, end: str, name: str = "sh
 
     ``raw`` is a text column, ``start`` and ``end`` are dates. In order: ``dd/mmm`` with the year
     from the period, a full numeric date, then a bare day placed in the start month, the end month
-    or the month after the start, whichever falls inside the period. The steps are columns of
-    their own, so each part is computed once per row.
+    or the month after the start, whichever falls inside the period. A form is looked for only where
+    those before it do not apply, each part is computed once per row (``let``), and only digits are cast: a failed
+    ``try_cast`` costs an exception.
     """
-    begin, finish = F.col(start), F.col(end)
-    named_rx, full_rx = r"^(\d{1,2})/([a-zA-Z]{3})", r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})\b"
-    text = F.col("_text")
-
-    parts = df.withColumn("_text", F.trim(F.coalesce(F.col(raw), F.lit("")))).withColumns({
-        "_mon": F.array_position(F.array(*[F.lit(m) for m in SPANISH_MONTHS]), F.lower(F.regexp_extract(text, named_rx, 2))).cast("int"),
-        "_named": F.regexp_extract(text, named_rx, 1).try_cast("int"),
-        "_y": F.regexp_extract(text, full_rx, 3).try_cast("int"),
-        "_m": F.regexp_extract(text, full_rx, 2).try_cast("int"),
-        "_d": F.regexp_extract(text, full_rx, 1).try_cast("int"),
-        "_num": F.coalesce(
-            F.nullif(F.regexp_extract(text, r"\b(\d{1,3})\b", 1), F.lit("")),
+    named_rx, full_rx, day_rx = r"^(\d{1,2})/([a-zA-Z]{3})", r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})\b", r"\b(\d{1,3})\b"
+
+    def named(text: Column, begin: Column, finish: Column) -> Column:
+        month = F.array_position(F.array(*[F.lit(m) for m in SPANISH_MONTHS]), F.lower(F.regexp_extract(text, named_rx, 2))).cast("int")
+        year = (
+            F.when((F.year(finish) != F.year(begin)) & (month == F.month(finish)), F.year(finish))
+            .when((F.month(begin) >= 11) & (month == 1), F.year(begin) + 1)
+            .otherwise(F.year(begin))
+        )
+        whole = F.concat_ws("/", _two(F.regexp_extract(text, named_rx, 1)), _two(month), year.cast("string"))
+        return F.when((month > 0) & begin.isNotNull(), whole).otherwise(text)
+
+    def full(text: Column) -> Column:
+        """``dd/mm/yyyy`` of a numeric date that the calendar has, else NULL."""
+        def of(p: Column) -> Column:
+            d, m, y = (F.get(p, F.lit(i)).cast("int") for i in range(3))
+            year = F.when(y < 100, y + 2000).otherwise(y)
+            leap = F.when((year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0)), 1).otherwise(0)
+            last = F.when(m == 2, leap + 28).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+            return F.when(m.between(1, 12) & (y >= 0) & d.between(1, last), F.concat_ws("/", _two(d), _two(m), F.lpad(year.cast("string"), 4, "0")))
+
+        return F.when(text.rlike(full_rx), let(F.split(F.translate(F.regexp_extract(text, full_rx, 0), "-", "/"), "/"), of))
+
+    def shown_on(day: Column) -> Column:
+        return F.concat_ws("/", _two(F.dayofmonth(day)), _two(F.month(day)), F.lpad(F.year(day).cast("string"), 4, "0"))
+
+    def bare(number: Column, text: Column, begin: Column, finish: Column) -> Column:
+        tail = F.right(number.cast("string"), F.lit(2)).cast("int")
+        day = F.when(number == 0, F.lit(1)).when(number <= 31, number.cast("int")).when(tail.between(1, 31), tail)
+        return F.when(number.isNull(), text).otherwise(let(day, lambda d: (
+            F.when(d.isNull(), F.concat(number.cast("string"), F.lit("/??/???? (Inválido)")))
+            .when(begin.isNull(), F.concat(_two(d), F.lit("/??/????")))
+            .otherwise(let(placed(d, begin, finish), lambda pick: F.coalesce(
+                shown_on(pick), F.concat_ws("/", _two(d), _two(F.month(begin)), F.year(begin).cast("string"))
+            )))
+        )))
+
+    def placed(day: Column, begin: Column, finish: Column) -> Column:
+        other_month = (F.month(finish) != F.month(begin)) | (F.year(finish) != F.year(begin))
+        found = F.array_compact(F.array(
+            _day_in(month_start(begin), day),
+            F.when(other_month, _day_in(month_start(finish), day)),
+            _day_in(F.add_months(month_start(begin), 1), day),
+        ))
+
+        def choose(cand: Column) -> Column:
+            later = finish.isNotNull() & (F.month(begin) != F.month(finish)) & (day < F.dayofmonth(begin)) & (F.size(cand) > 1)
+            return F.coalesce(
+                F.get(F.filter(cand, lambda c: c.between(begin, finish)), F.lit(0)),
+                F.get(cand, F.when(later, F.lit(1)).otherwise(F.lit(0))),
+            )
+
+        return let(found, choose)
+
+    def of_number(text: Column, begin: Column, finish: Column) -> Column:
+        number = F.coalesce(
+            F.nullif(F.regexp_extract(text, day_rx, 1), F.lit("")),
             F.nullif(F.regexp_replace(text, r"\D", ""), F.lit("")),
-        ).try_cast("decimal(38,0)"),
-    })
-    tail = F.right(F.col("_num").cast("string"), F.lit(2)).try_cast("int")
-    days = parts.withColumns({
-        "_full": F.when(F.col("_m").between(1, 12) & (F.col("_y") >= 0), _day_in(
-            F.add_months(F.make_date(F.when(F.col("_y") < 100, F.col("_y") + 2000).otherwise(F.col("_y")), F.lit(1), F.lit(1)), F.col("_m") - 1), F.col("_d")
-        )),
-        "_day": F.when(F.col("_num") == 0, F.lit(1)).when(F.col("_num") <= 31, F.col("_num").cast("int")).when(tail.between(1, 31), tail),
-        "_next": F.add_months(month_start(begin), 1),
-    })
-    other_month = (F.month(finish) != F.month(begin)) | (F.year(finish) != F.year(begin))
-    day = F.col("_day")
-    placed = days.withColumn("_cand", F.array_compact(F.array(
-        _day_in(month_start(begin), day),
-        F.when(other_month, _day_in(month_start(finish), day)),
-        _day_in(F.col("_next"), day),
-    )))
-    cand = F.col("_cand")
-    later = finish.isNotNull() & (F.month(begin) != F.month(finish)) & (day < F.dayofmonth(begin)) & (F.size(cand) > 1)
-    chosen = placed.withColumn("_pick", F.coalesce(
-        F.get(F.filter(cand, lambda c: c.between(begin, finish)), F.lit(0)),
-        F.get(cand, F.when(later, F.lit(1)).otherwise(F.lit(0))),
-    ))
-    year_named = (
-        F.when((F.year(finish) != F.year(begin)) & (F.col("_mon") == F.month(finish)), F.year(finish))
-        .when((F.month(begin) >= 11) & (F.col("_mon") == 1), F.year(begin) + 1)
-        .otherwise(F.year(begin))
-    )
-    shown = (
-        F.when(text == "", F.lit(""))
-        .when(F.col("_named").isNotNull() & (F.col("_mon") > 0) & begin.isNotNull(), F.concat_ws("/", _two(F.col("_named")), _two(F.col("_mon")), year_named.cast("string")))
-        .when(F.col("_named").isNotNull(), text)
-        .when(F.col("_full").isNotNull(), F.date_format("_full", "dd/MM/yyyy"))
-        .when(F.col("_num").isNull(), text)
-        .when(day.isNull(), F.concat(F.col("_num").cast("string"), F.lit("/??/???? (Inválido)")))
-        .when(begin.isNull(), F.concat(_two(day), F.lit("/??/????")))
-        .when(F.col("_pick").isNotNull(), F.date_format("_pick", "dd/MM/yyyy"))
-        .otherwise(F.concat_ws("/", _two(day), _two(F.month(begin)), F.year(begin).cast("string")))
-    )
-    return chosen.withColumn(name, shown).drop("_text", "_mon", "_named", "_y", "_m", "_d", "_num", "_full", "_day", "_next", "_cand", "_pick")
+        )
+        return let(F.when(number.isNotNull(), number.try_cast("decimal(38,0)")), lambda n: bare(n, text, begin, finish))
+
+    def complete(text: Column) -> Column:
+        begin, finish = F.col(start), F.col(end)
+        return (
+            F.when(text == "", F.lit(""))
+            .when(text.rlike(named_rx), named(text, begin, finish))
+            .otherwise(let(full(text), lambda whole: F.coalesce(whole, of_number(text, begin, finish))))
+        )
+
+    return df.withColumn(name, let(F.trim(F.coalesce(F.col(raw), F.lit(""))), complete))
 
 
 def movement_period(display: Column, start: Column) -> Column:

@@ -83,3 +83,10 @@ def test_recent_proof_and_blanks(spark):
     assert one(spark, D.recent_proof(F.lit("2025-02-20"), "2025-06-20")) is False
     assert one(spark, D.recent_proof(F.lit("mal"), "2025-06-20")) is None
     assert one(spark, X.squeeze_blanks(F.lit("a   b\t\tc\nd"))) == "a b c\nd"
+
+
+def test_complete_date_casts_digits_only(spark):
+    """A failed cast costs an exception for each row, so texts without a numeric date are not cast."""
+    df = spark.createDataFrame([("abc", None, None)], "r string, s date, e date")
+    plan = D.complete_date(df, "r", "s", "e")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [i for i in range(len(plan)) if plan.startswith("try_cast(", i) and "as int)" in plan[i : plan.find(" as ", i) + 8]]
