@@ -41,8 +41,12 @@ def name_text(text: Column) -> Column:
     return F.regexp_replace(to_ascii(F.lower(text), lowered=True), r"[^\w\s]", "")
 
 
-def _windows(text: Column, words: Column) -> Column:
-    tokens = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+def _tokens(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+
+
+def _windows(tokens: Column, words: Column) -> Column:
+    """Runs of ``words`` tokens; ``tokens`` is a column, since it is read for each run."""
     count = F.size(tokens) - words + 1
     starts = F.when(count >= 1, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, words), " "))
@@ -145,17 +149,18 @@ def _near_names(mov: DataFrame, names: DataFrame, key: str, edits, widest: Colum
     )
     load = mov.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
 
-    text = mov.select("job_id", key, name_text(F.col("description")).alias("_text"))
+    text = mov.select("job_id", key, _tokens(name_text(F.col("description"))).alias("_text"))
     shaped = attach_group(text, shapes.join(letters, "job_id").join(load, "job_id"), ["job_id"])
     runs = shaped.select("job_id", key, "_text", "_letters", F.explode("_shapes").alias("_s")).select(
         "job_id", key, "_s", "_letters", F.explode(F.array_distinct(_windows(F.col("_text"), F.col("_s._words")))).alias("_run")
     )
     m = F.length("_run")
-    # A character that no name of the job has is an edit.
+    # A character that no name of the job has is an edit; it is counted where the length alone does not decide.
     strange = F.length(F.expr("translate(_run, _letters, '')"))
-    runs = runs.filter(
-        (strange <= edits(m, F.col("_s._long"))) & (m >= F.col("_s._short") - edits(m, F.col("_s._short"))) & (m <= F.col("_s._long") + edits(m, F.col("_s._long")))
-    ).select("job_id", key, F.col("_s._words").alias("_words"), F.col("_s._lens").alias("_lens"), "_run")
+    fits = (m >= F.col("_s._short") - edits(m, F.col("_s._short"))) & (m <= F.col("_s._long") + edits(m, F.col("_s._long")))
+    runs = runs.filter(F.when(fits, strange <= edits(m, F.col("_s._long"))).otherwise(False))
+    # They are read twice, for the pairs and for the keys of those that fit.
+    runs = cut(runs.select("job_id", key, F.col("_s._words").alias("_words"), F.col("_s._lens").alias("_lens"), "_run"))
     distinct_runs = runs.groupBy("job_id", "_words", "_run").agg(F.first("_lens").alias("_lens"))
     grams = F.flatten(F.transform("_lens", lambda size: F.transform(
         F.sequence(F.lit(0), F.greatest(F.length("_run") - size, F.lit(0))), lambda i: F.struct(i.alias("_from"), F.substr(F.col("_run"), i + 1, size).alias("_part"))

@@ -59,3 +59,13 @@ def test_runs_near_a_name(spark):
     mov = spark.createDataFrame(texts, "job_id int, mov_id string, description string")
     pool = spark.createDataFrame([(j, n) for j, ns in own.items() for n in ns], "job_id int, name string")
     assert {tuple(r) for r in own_by_name_ratio(mov, pool).collect()} == want and len(want) > 40
+
+
+def test_runs_are_made_once(spark, sf_dir):
+    """Pairs and keys read the runs of words that were written; the movements are not read again for either."""
+    from balanza.queries import QUERIES, load_all
+
+    load_all()
+    for name in ("own_transfer_fuzzy", "own_transfer_ratio"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode(array_distinct" not in plan, name
