@@ -430,7 +430,7 @@ def cover_sheet(spark, d):
 SELECT job_id, sheet, n AS "rows", total, CASE WHEN job_id IN (2, 3) THEN 'second' ELSE 'first' END AS run FROM k""")
 def result_store(spark, d):
     path = f"{checkpoint_root(spark)}/results/{uuid.uuid4().hex}"
-    detail, covers = cut(_detail(spark, d)), cut(A.covers(A.movements(spark, d)))
+    detail, covers = cut(_detail(spark, d), "zstd"), cut(A.covers(A.movements(spark, d)))
     jobs = covers.select("job_id").distinct()
     for _ in range(2):
         results.write_run({"detail": detail, "covers": covers}, jobs, path, "first")

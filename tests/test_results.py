@@ -48,3 +48,12 @@ def test_detail_sheets(spark):
     assert {k[1] for k in got if k[0] == "todos_los_movimientos"} == {"m1", "m2", "m3", "m5", "m7"}
     assert {k: v for k, v in got.items() if k[0] != "todos_los_movimientos"} == {("transacciones_tpv", "m1"): ("TPV", "P"), ("transacciones_tpv", "m2"): ("TPV", "P"), ("comisiones_tpv", "m5"): ("COMISION_DB", None)}
     assert got["todos_los_movimientos", "m3"] == ("GENERAL", None) and got["todos_los_movimientos", "m1"] == ("TPV", None)
+
+
+def test_sheets_are_small(spark, tmp_path):
+    """Texts that stand on several sheets are written in zstd."""
+    path = tmp_path / "store"
+    a = spark.createDataFrame([(1, "x")], "job_id int, k string")
+    results.write_run({"a": a}, a.select("job_id"), str(path), "r1")
+    files = list((path / "sheet=a").rglob("*.parquet"))
+    assert files and all(f.name.endswith(".zstd.parquet") for f in files)
