@@ -4,9 +4,11 @@
    order. The order only decides how much is compared; the result is the same for every order.
 2. A document's prefix is its first ``n - ceil(t n) + 1`` n-grams in that order: linked documents share one.
    Documents with equal sets become one class; classes with the same prefix and size become one group.
-3. Groups meet at their prefix n-grams, filtered by size and by position. First only with the hub of an
-   n-gram (the group that has it earliest), which joins most copies into components in linear work; then all
-   group pairs that are still in different components. Prefixes alone rule out most pairs that meet.
+3. Groups meet at their prefix n-grams, filtered by size and by position. Of n-grams that the same groups have, only
+   the first in the order counts: the first n-gram of a pair is always such a one. First groups meet only with the hub
+   of an n-gram (the group that has it earliest), which joins most copies into components in linear work; then all
+   group pairs that are still in different components, at the first n-gram they share. Prefixes alone rule out most
+   pairs that meet.
 4. Group pairs are expanded to their classes, and each pair is verified on the whole sets.
 """
 
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from balanza.llm import words as W
 from balanza.llm.components import components
@@ -29,6 +31,8 @@ from balanza.session import cut
 #: Counters of the order's count table, as a power of two: 4 million, 4 MB in each task.
 SKETCH_BITS = 22
 SEGMENTS = 16
+#: n-grams before its own that an entry carries, to tell whether a pair has met already. It saves work only.
+EARLIER = 8
 #: Bits of the table that picks the texts to verify, as a power of two: 2 MB in each task. It saves work only.
 FILTER_BITS = 24
 
@@ -100,8 +104,8 @@ def gram_classes(texts: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.ndarra
     for row in merged.collect():  # SEGMENTS rows, of fixed total size
         counts[row.seg * width : (row.seg + 1) * width] = np.frombuffer(zlib.decompress(row.counts), dtype=np.uint32)
     usual = counts.mean()
-    limit = usual + 8 * math.sqrt(usual) + 8
-    return np.where(counts > limit, 1 + np.floor(np.log2(np.maximum(counts / limit, 1))), 0).astype(np.uint8)
+    over, limit = counts - usual, 3 * math.sqrt(usual) + 3  # what cells have beyond the usual, and how much of that is chance
+    return np.where(over > limit, 1 + np.floor(np.log2(np.maximum(over / limit, 1))), 0).astype(np.uint8)
 
 
 def _prefixes(n: int, num: int, den: int, classes, bits: int):
@@ -158,6 +162,27 @@ def is_marked(h: np.ndarray, table: np.ndarray) -> np.ndarray:
     return ((table[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
+def gram_entries(met: DataFrame, groups: DataFrame, many: DataFrame) -> DataFrame:
+    """(tok, gid, np, earlier, k) of the pairs (tok, gid) in ``met``; ``groups`` has gid, n and prefix, ``many`` gid and many.
+
+    ``np`` is the gram's place in the prefix with the group's set size (p * 2^32 + n), ``k`` the groups of the gram, those of
+    several classes counted twice, and ``earlier`` the last grams of the group before this one. Of grams that the same
+    groups have, only the first has entries: a pair that shares one of them shares all, and meets at the first.
+    """
+    same = [F.bit_xor(F.xxhash64("gid")).alias("h1"), F.bit_xor(F.xxhash64("gid", F.lit(1))).alias("h2")]
+    counted = met.join(many, "gid").groupBy("tok").agg(F.sum(F.lit(1) + F.col("many")).alias("k"), F.count(F.lit(1)).alias("groups"), *same)
+    kept = counted.groupBy("groups", "h1", "h2").agg(F.min(F.struct("tok", "k")).alias("low")).select("low.tok", "low.k")
+    place = F.shiftleft((F.array_position("prefix", F.col("tok")) - 1).cast("long"), 32).bitwiseOR(F.col("n"))
+    before = Window.partitionBy("gid").orderBy("tok").rowsBetween(-EARLIER, -1)
+    placed = met.join(kept, "tok").join(groups, "gid").select("tok", "gid", place.alias("np"), "k")
+    return placed.select("tok", "gid", "np", F.collect_list("tok").over(before).alias("earlier"), "k")
+
+
+def first_meeting(x: str, y: str) -> Column:
+    """No gram that both entries carry lies before theirs; a pair with such a one meets there."""
+    return ~F.arrays_overlap(x, y)
+
+
 def forget(spark: SparkSession) -> None:
     """Lets the driver notice that shuffles of finished steps are unused, so that their files go from the executors' disks."""
     gc.collect()
@@ -212,14 +237,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shown = known.filter("prefix is not null").select("gid", "n", "prefix", F.xxhash64("gid").alias("h")).filter(may_meet("h"))
     groups = shown.join(met.select("gid").distinct(), "gid", "left_semi").groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     groups = cut(groups, "zstd")
-    # an entry: a gram, its group, the gram's place in the prefix with the group's set size (p * 2^32 + n), and the
-    # groups of the gram, those of several classes counted twice
-    place = F.shiftleft((F.array_position("prefix", F.col("tok")) - 1).cast("long"), 32).bitwiseOR(F.col("n"))
-    entries = met.join(groups, "gid").select("tok", "gid", place.alias("np"))
     many = member.groupBy("gid").agg((F.min("cid") != F.max("cid")).cast("int").alias("many"))
-    counted = met.join(many, "gid").groupBy("tok").agg(F.sum(F.lit(1) + F.col("many")).alias("k"))
-    entries = cut(entries.join(counted, "tok"), "zstd")
-    del met, shown, counted, many
+    entries = cut(gram_entries(met, groups, many), "zstd")
+    del met, shown, many
     forget(spark)
 
     def fits(x, y):
@@ -272,10 +292,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left = entries.filter("k > 2").drop("k").join(span, "gid")  # two classes have met in the hub round
     open_toks = left.groupBy("tok").agg(F.min("r1").alias("m1"), F.max("r2").alias("m2")).filter("m1 <> m2").select("tok")
     left = left.join(open_toks, "tok")
-    x = left.select("tok", *[F.col(c).alias(f"{c}_x") for c in ("gid", "np", "r1", "r2")])
-    y = left.select("tok", *[F.col(c).alias(f"{c}_y") for c in ("gid", "np", "r1", "r2")])
+    x = left.select("tok", *[F.col(c).alias(f"{c}_x") for c in ("gid", "np", "earlier", "r1", "r2")])
+    y = left.select("tok", *[F.col(c).alias(f"{c}_y") for c in ("gid", "np", "earlier", "r1", "r2")])
     one_root = (F.col("r1_x") == F.col("r2_x")) & (F.col("r1_y") == F.col("r2_y")) & (F.col("r1_x") == F.col("r1_y"))
-    pairs = x.join(y, (x.tok == y.tok) & (F.col("gid_x") < F.col("gid_y")) & fits("np_x", "np_y") & ~one_root)
+    pairs = x.join(y, (x.tok == y.tok) & (F.col("gid_x") < F.col("gid_y")) & fits("np_x", "np_y") & ~one_root & first_meeting("earlier_x", "earlier_y"))
     pairs = plausible(pairs.select(F.col("gid_x").alias("x"), F.col("gid_y").alias("y")).distinct())
     pairs = pairs.select(F.col("x").alias("gid_x"), F.col("y").alias("gid_y"))
     u = placed.select(F.col("gid").alias("gid_x"), F.col("cid").alias("a"), F.col("root").alias("ra"))

@@ -3,12 +3,15 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from balanza.llm import words as W
 from balanza.llm.components import components
-from balanza.llm.ngram_join import ngram_jaccard_join
+from balanza.llm.ngram_join import first_meeting, gram_classes, gram_entries, ngram_jaccard_join
 from balanza.llm.queries import QUERIES
 
 
@@ -102,3 +105,30 @@ def test_words_equal_a_plain_split(sf_dir):
 def test_query(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()]
     assert sorted(map(tuple, QUERIES["op3_ngram_jaccard_join"](spark, sf_dir).collect()), key=str) == brute(rows, 3, 90, 100)
+
+
+def test_pairs_meet_once(spark):
+    """Groups that share a passage meet at its first n-gram, and at no later n-gram that others have too."""
+    run, tail = list(range(100, 130)), [200, 201]
+    prefixes = {g: [g, *run, *tail] for g in range(1, 13)} | {20: [20, *tail]}  # 12 groups share the passage, 13 its last grams
+    groups = spark.createDataFrame([(g, 300, p) for g, p in prefixes.items()], "gid long, n long, prefix array<long>")
+    met = spark.createDataFrame([(t, g) for g, p in prefixes.items() for t in p[1:]], "tok long, gid long")
+    many = spark.createDataFrame([(g, int(g == 20)) for g in prefixes], "gid long, many int")
+    entries = gram_entries(met, groups, many)
+    assert sorted(map(tuple, entries.select("tok", "gid", "np", "k").collect())) == sorted(
+        [(100, g, (1 << 32) + 300, 12) for g in range(1, 13)] + [(200, g, (31 << 32) + 300, 14) for g in range(1, 13)] + [(200, 20, (1 << 32) + 300, 14)]
+    )
+    x, y = entries.select("tok", F.col("gid").alias("x"), F.col("earlier").alias("ex")), entries.select("tok", F.col("gid").alias("y"), F.col("earlier").alias("ey"))
+    pairs = [tuple(r) for r in x.join(y, "tok").filter("x < y").filter(first_meeting("ex", "ey")).select("x", "y").collect()]
+    assert sorted(pairs) == [(a, b) for a in prefixes for b in prefixes if a < b]
+
+
+def test_grams_of_a_few_dozen_texts_come_last(spark):
+    """Among two million n-grams the count table still tells those of 24 texts from those of one."""
+    own = [" ".join(f"{t}x{i}" for i in range(16_000)) for t in range(120)]
+    shared = " ".join(f"s{i}" for i in range(40))
+    texts = spark.createDataFrame([(f"{t} | {shared}" if i < 24 else t,) for i, t in enumerate(own)], "text string").repartition(4)
+    classes = gram_classes(texts, 1, bits=17)
+    grams = next(iter(W.gram_sets(*W.strings(pa.array([shared])), 1)))
+    assert (classes[(grams >> np.uint64(64 - 17)).astype(np.int64)] > 0).mean() > 0.5
+    assert (classes > 0).mean() < 0.02
