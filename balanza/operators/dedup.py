@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from balanza.functions.ids import digits
+from balanza.functions.plan import settle
 from balanza.operators.ordered import attach_group
 from balanza.session import cut
 
@@ -63,27 +64,31 @@ def match_fragments(
     so a key with many parents and children does not pair them all.
     """
     cents = F.round(F.col("amount") * 100).cast("bigint")
-    base = rows.select("doc_id", "posted", cents.alias("cents"), "description", "role", F.col(order).alias("_at"))
+    base = rows.select("doc_id", "posted", F.struct("posted").alias("day"), cents.alias("cents"), "description", "role", F.col(order).alias("_at"))
     parents = base.filter(F.col("role") == "parent")
-    children = base.filter(F.col("role") == "child")
-    exact = parents.groupBy("doc_id", "posted", "cents").agg(
+    # the day as a struct, which is never null itself: so no case puts a filter of its own below the shuffle they share
+    children = base.filter((F.col("role") == "child") & F.col("doc_id").isNotNull() & F.col("cents").isNotNull()).drop("posted")
+    dated = parents.filter("posted is not null")
+    exact = dated.groupBy("doc_id", "day", "cents").agg(
         F.count(F.lit(1)).alias("_parents"), F.min("_at").alias("_only")
     )
-    placed = children.join(exact, ["doc_id", "posted", "cents"], "left")
-    single = placed.filter(F.col("_parents") == 1).select(
-        "doc_id", F.col("_at").alias("child"), F.col("_only").alias("parent"), F.lit(True).alias("only_candidate")
+    # one frame for all three cases, so that children and their texts travel once
+    placed = children.join(exact, ["doc_id", "day", "cents"], "left")
+    several = F.coalesce(F.col("_parents") != 1, F.lit(True))
+    placed = settle(placed, {"_found": F.col("_parents"), "_sole": F.col("_only"), "_words": F.when(several, keywords(F.col("description"), ignored))})
+    single = placed.filter(F.col("_found") == 1).select(
+        "doc_id", F.col("_at").alias("child"), F.col("_sole").alias("parent"), F.lit(True).alias("only_candidate")
     )
     worded = parents.withColumn("_word", F.explode(keywords(F.col("description"), ignored)))
-    by_day = worded.groupBy("doc_id", "posted", "cents", "_word").agg(F.min("_at").alias("parent"))
-    open_words = placed.filter(F.coalesce("_parents", F.lit(0)) != 1).select(
-        "doc_id", "posted", "cents", "_parents", F.col("_at").alias("child"),
-        F.explode(keywords(F.col("description"), ignored)).alias("_word"),
+    by_day = worded.filter("posted is not null").groupBy("doc_id", "day", "cents", "_word").agg(F.min("_at").alias("parent"))
+    open_words = placed.filter(F.coalesce("_found", F.lit(0)) != 1).select(
+        "doc_id", "day", "cents", "_found", F.col("_at").alias("child"), F.explode("_words").alias("_word")
     )
-    found = open_words.filter(F.col("_parents") > 1).join(by_day, ["doc_id", "posted", "cents", "_word"]).select("doc_id", "child", "parent")
+    found = open_words.filter(F.col("_found") > 1).join(by_day, ["doc_id", "day", "cents", "_word"]).select("doc_id", "child", "parent")
     if any_date:
         by_amount = worded.groupBy("doc_id", "cents", "_word").agg(F.min("_at").alias("parent"))
         found = found.unionByName(
-            open_words.filter(F.col("_parents").isNull()).join(by_amount, ["doc_id", "cents", "_word"]).select("doc_id", "child", "parent")
+            open_words.filter(F.col("_found").isNull()).join(by_amount, ["doc_id", "cents", "_word"]).select("doc_id", "child", "parent")
         )
     shared = found.groupBy("doc_id", "child").agg(F.min("parent").alias("parent")).withColumn("only_candidate", F.lit(False))
     return single.unionByName(shared)
@@ -121,27 +126,33 @@ def apply_fragments(rows: DataFrame, order: str = "mov_id", unit: float = 0.01)
     one parent go first, behind DESGLOSE; the other children are matched one by one among what is left.
     Texts follow the order of their groups and rows.
     """
+    rows = cut(rows, "zstd")  # read by each match and for the texts
     child, flat = F.col("role") == "child", F.trim(F.replace("description", F.lit("\n"), F.lit(" ")))
-    pieces = rows.filter(child & F.col("fragment"))
-    sums = match_fragment_sums(pieces.select("doc_id", "posted", "description", "amount", F.col(order).alias("mov_id")),
+    piece = F.coalesce(child & F.col("fragment"), F.lit(False))
+    sums = match_fragment_sums(rows.filter(piece).select("doc_id", "posted", "description", "amount", F.col(order).alias("mov_id")),
                                rows.filter("role = 'parent'").select("doc_id", "posted", "amount", F.col(order).alias("mov_id")), unit)
     sums = cut(sums.select("doc_id", "parent", "ref", "child"))
-    rest = rows.join(sums.select("doc_id", F.col("child").alias(order)), ["doc_id", order], "left_anti")
+    # only fragments can have gone
+    alone = rows.filter(piece).join(sums.select("doc_id", F.col("child").alias(order)), ["doc_id", order], "left_anti")
+    rest = cut(rows.filter(~piece).unionByName(alone).select("doc_id", "posted", "amount", "description", "role", order), "zstd")
     single = cut(match_fragments(rest, order).select("doc_id", "parent", "child"))
-    texts = rows.filter(child).select("doc_id", F.col(order).alias("child"), flat.alias("_flat"), F.col("description").alias("_text"))
 
-    def joined(kind: str) -> Column:
-        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("child", kind))), lambda p: p[kind]), " | ")
+    # texts travel once, to meet the parent that takes them up
+    mark = F.struct(F.col("parent").alias("parent"), F.col("ref").alias("ref"))
+    marks = sums.unionByName(single.withColumn("ref", F.lit(None).cast("string"))).select("doc_id", F.col("child").alias(order), mark.alias("_mark"))
+    met = settle(rows.join(marks, ["doc_id", order], "left"), {"_gone": F.col("_mark"), "_child": child})
 
-    parts = sums.join(texts, ["doc_id", "child"]).groupBy("doc_id", "parent", "ref").agg(joined("_flat").alias("_t"))
-    parts = parts.groupBy("doc_id", "parent").agg(F.array_sort(F.collect_list(F.struct("ref", "_t"))).alias("_p")).select(
-        "doc_id", F.col("parent").alias(order), F.array_join(F.transform("_p", lambda p: F.concat(F.lit(" | DESGLOSE: "), p["_t"])), "").alias("_parts")
+    def joined(kind: Column) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("child"), kind.alias("t")))), lambda p: p["t"]), " | ")
+
+    taken = met.filter(F.col("_gone").isNotNull() & F.col("_child")).groupBy("doc_id", F.col("_gone.parent").alias("parent"), F.col("_gone.ref").alias("ref")).agg(
+        F.when(F.col("ref").isNull(), joined(F.col("description"))).otherwise(joined(flat)).alias("_t")
     )
-    ones = single.join(texts, ["doc_id", "child"]).groupBy("doc_id", "parent").agg(joined("_text").alias("_t")).select(
-        "doc_id", F.col("parent").alias(order), F.concat(F.lit(" | "), "_t").alias("_ones")
+    parts = F.array_sort(F.collect_list(F.when(F.col("ref").isNotNull(), F.struct("ref", "_t"))))
+    taken = taken.groupBy("doc_id", "parent").agg(parts.alias("_p"), F.max(F.when(F.col("ref").isNull(), F.concat(F.lit(" | "), "_t"))).alias("_ones")).select(
+        "doc_id", F.col("parent").alias(order), F.array_join(F.transform("_p", lambda p: F.concat(F.lit(" | DESGLOSE: "), p["_t"])), "").alias("_parts"), "_ones"
     )
-    left = rest.join(single.select("doc_id", F.col("child").alias(order)), ["doc_id", order], "left_anti")
-    full = left.join(parts, ["doc_id", order], "left").join(ones, ["doc_id", order], "left")
+    full = met.filter(F.col("_gone").isNull()).drop("_gone", "_child", "_mark").join(taken, ["doc_id", order], "left")
     text = F.concat("description", F.coalesce("_parts", F.lit("")), F.coalesce("_ones", F.lit("")))
     return full.withColumn("description", text).select(*rows.columns)
 

@@ -52,3 +52,15 @@ def test_declared_parts(spark):
     df = screening.kapital_parts(spark.createDataFrame([(text,)], "text string")).withColumns({"bank": F.lit("KAPITAL"), "deposits": F.lit(0.0), "charges": F.lit(0.0)})
     r = reconcile.kapital_sums(df).first()
     assert (r.deposits, r.charges) == (1507.5, 20.0)
+
+
+def test_movements_are_made_once(spark, monkeypatch):
+    """Rows, and what the sums leave of them, are written before they are read again."""
+    seen = []
+    monkeypatch.setattr(D, "cut", lambda df, compression=None: seen.append(df) or df.localCheckpoint())
+    rows = spark.range(40).select(
+        (F.col("id") % 4).alias("doc_id"), F.concat(F.lit("m"), "id").alias("mov_id"), F.lit("d").alias("posted"), (F.col("id") % 5).cast("decimal(18,2)").alias("amount"),
+        (F.col("id") % 3 == 0).alias("fragment"), F.concat(F.lit("word number "), "id").alias("description"), F.when(F.col("id") < 20, "parent").otherwise("child").alias("role"),
+    )
+    D.apply_fragments(rows).collect()
+    assert [f.columns[-1] for f in seen] == ["role", "child", "mov_id", "child"] and seen[0].columns == rows.columns
