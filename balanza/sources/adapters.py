@@ -101,9 +101,9 @@ def doc_pages(spark: SparkSession, sf_dir: str, size: int = 5, dealt: bool = Fal
     return lines.withColumn("page", F.floor(F.col("line") / size).cast("int") + 1)
 
 
-def doc_words(spark: SparkSession, sf_dir: str, size: int = 5) -> DataFrame:
+def doc_words(spark: SparkSession, sf_dir: str, size: int = 5, dealt: bool = True) -> DataFrame:
     """Words with positions: y from the line within its page, x from the place in the line; dealt by document."""
-    lines = doc_pages(spark, sf_dir, size, dealt=True)
+    lines = doc_pages(spark, sf_dir, size, dealt)
     words = lines.select("doc_id", "page", "line", F.posexplode(F.split("text", " ")).alias("place", "text"))
     return words.filter(F.col("text") != "").select(
         "doc_id", "page", "line", "place", "text",
