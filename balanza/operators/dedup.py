@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from balanza.functions.ids import digits
-from balanza.functions.plan import settle
 from balanza.operators.ordered import attach_group
 from balanza.session import cut
 
@@ -14,6 +13,9 @@ IGNORED_WORDS = (
     "de", "la", "el", "en", "por", "para", "un", "una", "spei", "pago", "envio", "transferencia", "cv", "sa",
 )
 
+# Rows that one task sorts at a time, which bounds its memory.
+PART_ROWS = 1 << 18
+
 
 def statement_signature(df: DataFrame) -> list[Column]:
     """Bank, tax id, account digits, period and declared sums, normalized."""
@@ -49,10 +51,55 @@ def dedup_statements(covers: DataFrame, order, job: str = "job_id") -> DataFrame
 
 def keywords(text: Column, ignored=IGNORED_WORDS) -> Column:
     """Distinct words of three or more characters that carry meaning."""
-    words = F.split(F.regexp_replace(F.lower(text), r"[^\w\s]", " "), r"\s+")
+    words = F.split(F.lower(text), r"\W+")
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*ignored)))
 
 
+def _sided(rows: DataFrame, order: str) -> DataFrame:
+    """Adds ``_side``, true for parents and false for children, and ``_key``, their amount in cents.
+
+    Rows that can match no other have no side, and a key that only spreads them.
+    """
+    cents = F.round(F.col("amount") * 100).cast("bigint")
+    able = F.col("doc_id").isNotNull() & cents.isNotNull() & F.col("role").isin("parent", "child")
+    return rows.withColumns({"_side": F.when(able, F.col("role") == "parent"), "_key": F.when(able, cents).otherwise(F.xxhash64(order))})
+
+
+def _bit(word: Column) -> Column:
+    """One of 64 bits, so that a number tells which words a set can't have."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.hash(word), F.lit(64)))
+
+
+def _matched(dealt: DataFrame, order: str, carried: list[str], any_date: bool, ignored) -> DataFrame:
+    """Adds ``_parent``, the row that takes up a child, and ``_found``, the parents of its day and amount, to sided rows.
+
+    They are dealt by document and ``_key``, and all windows lie within these, so no row travels. A row goes through
+    the words once as itself, with the ``carried`` columns, and once for each of its words, without them.
+    """
+    keys, itself = ["doc_id", "_key"], F.col("_word").isNull()
+    child, parent_at, a_parent = ~F.col("_side"), F.when(F.col("_side"), F.col(order)), F.when(F.col("_side"), 1)
+    group, day = Window.partitionBy(*keys), Window.partitionBy(*keys, "posted")
+    found = F.when(F.col("posted").isNotNull(), F.count(a_parent).over(day)).otherwise(F.lit(0))
+    undecided = child & ((F.col("_found") != 1) if any_date else (F.col("_found") > 1))
+    counted = dealt.withColumns({"_found": found, "_only": F.min(parent_at).over(day)})
+    counted = counted.withColumn("_only", F.when(child & (F.col("_found") == 1), F.col("_only")))
+    words = F.when(F.col("_side") | undecided, keywords(F.col("description"), ignored))
+    counted = counted.withColumn("_words", F.coalesce(words, F.array().cast("array<string>")))
+    counted = counted.withColumn("_bits", F.aggregate("_words", F.lit(0).cast("bigint"), lambda bits, w: bits.bitwiseOR(_bit(w))))
+    # a word that no row of the other side can have is not looked for
+    other = F.when(F.col("_side"), F.bit_or(F.when(undecided, F.col("_bits"))).over(group)).otherwise(F.bit_or(F.when(F.col("_side"), F.col("_bits"))).over(group))
+    counted = counted.withColumns({"_other": F.coalesce(other, F.lit(0)), "_id": F.monotonically_increasing_id()})
+    looked = F.filter("_words", lambda w: F.col("_other").bitwiseAND(_bit(w)) != 0)
+    each = counted.withColumn("_word", F.explode(F.concat(F.array(F.lit(None).cast("string")), looked)))
+    each = each.select(*keys, "posted", order, "_side", "_found", "_only", "_id", "_word", *[F.when(itself, F.col(c)).alias(c) for c in carried])
+    met = each.withColumn("_near", F.min(parent_at).over(Window.partitionBy(*keys, "_word", "posted")))
+    if any_date:
+        met = met.withColumn("_any", F.min(parent_at).over(Window.partitionBy(*keys, "_word")))
+        met = met.withColumn("_near", F.when(F.col("_found") > 1, F.col("_near")).otherwise(F.col("_any")))
+    shared = F.min(F.when(undecided & ~itself, F.col("_near"))).over(Window.partitionBy(*keys, "_id"))
+    return met.withColumn("_shared", shared).filter(itself).withColumn("_parent", F.coalesce("_only", "_shared"))
+
+
 def match_fragments(
     rows: DataFrame, order: str = "mov_id", any_date: bool = True, ignored=IGNORED_WORDS
 ) -> DataFrame:
@@ -60,38 +107,14 @@ def match_fragments(
 
     A child takes the only parent of its document, date and amount. With several, it takes the
     first in order that shares a keyword; with none, the first of the same amount on any date that
-    shares a keyword (``any_date``). Parents are grouped per key and per keyword before the join,
-    so a key with many parents and children does not pair them all.
+    shares a keyword (``any_date``). Rows travel once, by document and amount, and windows find the first
+    parent of a day and of a keyword, so a key with many parents and children does not pair them all.
     """
-    cents = F.round(F.col("amount") * 100).cast("bigint")
-    base = rows.select("doc_id", "posted", F.struct("posted").alias("day"), cents.alias("cents"), "description", "role", F.col(order).alias("_at"))
-    parents = base.filter(F.col("role") == "parent")
-    # the day as a struct, which is never null itself: so no case puts a filter of its own below the shuffle they share
-    children = base.filter((F.col("role") == "child") & F.col("doc_id").isNotNull() & F.col("cents").isNotNull()).drop("posted")
-    dated = parents.filter("posted is not null")
-    exact = dated.groupBy("doc_id", "day", "cents").agg(
-        F.count(F.lit(1)).alias("_parents"), F.min("_at").alias("_only")
-    )
-    # one frame for all three cases, so that children and their texts travel once
-    placed = children.join(exact, ["doc_id", "day", "cents"], "left")
-    several = F.coalesce(F.col("_parents") != 1, F.lit(True))
-    placed = settle(placed, {"_found": F.col("_parents"), "_sole": F.col("_only"), "_words": F.when(several, keywords(F.col("description"), ignored))})
-    single = placed.filter(F.col("_found") == 1).select(
-        "doc_id", F.col("_at").alias("child"), F.col("_sole").alias("parent"), F.lit(True).alias("only_candidate")
+    sided = _sided(rows.select("doc_id", "posted", "amount", "description", "role", order), order).filter(F.col("_side").isNotNull())
+    met = _matched(sided.drop("amount", "role").repartition("doc_id", "_key"), order, [], any_date, ignored)
+    return met.filter(F.col("_parent").isNotNull()).select(
+        "doc_id", F.col(order).alias("child"), F.col("_parent").alias("parent"), (F.col("_found") == 1).alias("only_candidate")
     )
-    worded = parents.withColumn("_word", F.explode(keywords(F.col("description"), ignored)))
-    by_day = worded.filter("posted is not null").groupBy("doc_id", "day", "cents", "_word").agg(F.min("_at").alias("parent"))
-    open_words = placed.filter(F.coalesce("_found", F.lit(0)) != 1).select(
-        "doc_id", "day", "cents", "_found", F.col("_at").alias("child"), F.explode("_words").alias("_word")
-    )
-    found = open_words.filter(F.col("_found") > 1).join(by_day, ["doc_id", "day", "cents", "_word"]).select("doc_id", "child", "parent")
-    if any_date:
-        by_amount = worded.groupBy("doc_id", "cents", "_word").agg(F.min("_at").alias("parent"))
-        found = found.unionByName(
-            open_words.filter(F.col("_found").isNull()).join(by_amount, ["doc_id", "cents", "_word"]).select("doc_id", "child", "parent")
-        )
-    shared = found.groupBy("doc_id", "child").agg(F.min("parent").alias("parent")).withColumn("only_candidate", F.lit(False))
-    return single.unionByName(shared)
 
 
 def match_fragment_sums(fragments: DataFrame, parents: DataFrame, unit: float = 0.01) -> DataFrame:
@@ -124,37 +147,45 @@ def apply_fragments(rows: DataFrame, order: str = "mov_id", unit: float = 0.01)
 
     ``rows`` has doc_id, mov_id, posted, amount, description, role and ``fragment``. Fragments that sum up to
     one parent go first, behind DESGLOSE; the other children are matched one by one among what is left.
-    Texts follow the order of their groups and rows.
+    Texts follow the order of their groups and rows. A child that is matched alone has its parent's amount, so
+    rows and texts travel once, by document and amount, and once more only if the sums are too many to broadcast.
     """
-    rows = cut(rows, "zstd")  # read by each match and for the texts
-    child, flat = F.col("role") == "child", F.trim(F.replace("description", F.lit("\n"), F.lit(" ")))
-    piece = F.coalesce(child & F.col("fragment"), F.lit(False))
+    names = rows.columns
+    rows = cut(rows, "zstd")  # read by the sums and for the texts
+    piece = F.coalesce((F.col("role") == "child") & F.col("fragment"), F.lit(False))
     sums = match_fragment_sums(rows.filter(piece).select("doc_id", "posted", "description", "amount", F.col(order).alias("mov_id")),
                                rows.filter("role = 'parent'").select("doc_id", "posted", "amount", F.col(order).alias("mov_id")), unit)
     sums = cut(sums.select("doc_id", "parent", "ref", "child"))
-    # only fragments can have gone
-    alone = rows.filter(piece).join(sums.select("doc_id", F.col("child").alias(order)), ["doc_id", order], "left_anti")
-    rest = cut(rows.filter(~piece).unionByName(alone).select("doc_id", "posted", "amount", "description", "role", order), "zstd")
-    single = cut(match_fragments(rest, order).select("doc_id", "parent", "child"))
-
-    # texts travel once, to meet the parent that takes them up
-    mark = F.struct(F.col("parent").alias("parent"), F.col("ref").alias("ref"))
-    marks = sums.unionByName(single.withColumn("ref", F.lit(None).cast("string"))).select("doc_id", F.col("child").alias(order), mark.alias("_mark"))
-    met = settle(rows.join(marks, ["doc_id", order], "left"), {"_gone": F.col("_mark"), "_child": child})
 
-    def joined(kind: Column) -> Column:
-        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("child"), kind.alias("t")))), lambda p: p["t"]), " | ")
-
-    taken = met.filter(F.col("_gone").isNotNull() & F.col("_child")).groupBy("doc_id", F.col("_gone.parent").alias("parent"), F.col("_gone.ref").alias("ref")).agg(
-        F.when(F.col("ref").isNull(), joined(F.col("description"))).otherwise(joined(flat)).alias("_t")
-    )
-    parts = F.array_sort(F.collect_list(F.when(F.col("ref").isNotNull(), F.struct("ref", "_t"))))
-    taken = taken.groupBy("doc_id", "parent").agg(parts.alias("_p"), F.max(F.when(F.col("ref").isNull(), F.concat(F.lit(" | "), "_t"))).alias("_ones")).select(
-        "doc_id", F.col("parent").alias(order), F.array_join(F.transform("_p", lambda p: F.concat(F.lit(" | DESGLOSE: "), p["_t"])), "").alias("_parts"), "_ones"
+    def joined(pieces: Column) -> Column:
+        return F.array_join(F.transform(F.array_sort(pieces), lambda p: p["t"]), " | ")
+
+    # what became of the rows of a sum: the parent has texts, its fragments have none
+    flat = rows.filter(piece).select("doc_id", F.col(order).alias("child"), F.trim(F.replace("description", F.lit("\n"), F.lit(" "))).alias("t"))
+    text = F.concat(F.lit(" | DESGLOSE: "), joined(F.collect_list(F.struct("child", "t"))))
+    summed = sums.join(flat, ["doc_id", "child"]).groupBy("doc_id", "parent", "ref").agg(text.alias("text"), F.collect_set("child").alias("gone"))
+    summed = summed.groupBy("doc_id", "parent").agg(F.array_sort(F.collect_list(F.struct("ref", "text", "gone"))).alias("p"))
+    gone = F.transform(F.array_distinct(F.flatten("p.gone")), lambda c: F.struct(F.lit(None).cast("string").alias("text"), c.alias("at")))
+    became = F.explode(F.concat(F.array(F.struct(F.array_join("p.text", "").alias("text"), F.col("parent").alias("at"))), gone))
+    became = cut(summed.select("doc_id", became.alias("b")).select("doc_id", F.col("b.text").isNull().alias("_gone"), F.col("b.text").alias("_parts"), F.col("b.at").alias(order)))
+    left = _sided(rows.join(became, ["doc_id", order], "left").filter(~F.coalesce("_gone", F.lit(False))).drop("_gone"), order)
+    left = left.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PART_ROWS)), "doc_id", "_key")
+
+    # a child goes to its parent; a row that is no parent stays by itself
+    carried = [c for c in [*names, "_parts"] if c not in ("doc_id", "posted", order)]
+    met = _matched(left, order, carried, True, IGNORED_WORDS)
+    goes, stays = F.col("_parent").isNotNull(), F.col("_parent").isNull()
+    met = met.withColumns({"_to": F.when(goes, F.col("_parent")).when(F.col("_side"), F.col(order)), "_child": F.struct(F.col(order).alias("at"), F.col("description").alias("t"))})
+    met = met.withColumn("_own", F.when(F.col("_to").isNull(), F.monotonically_increasing_id()))
+    whole = met.groupBy("doc_id", "_key", "_to", "_own").agg(
+        F.collect_list(F.when(goes, F.col("_child"))).alias("_ones"), F.collect_list(F.when(stays, F.struct(*[c for c in names if c != "doc_id"], "_parts"))).alias("_rows")
     )
-    full = met.filter(F.col("_gone").isNull()).drop("_gone", "_child", "_mark").join(taken, ["doc_id", order], "left")
-    text = F.concat("description", F.coalesce("_parts", F.lit("")), F.coalesce("_ones", F.lit("")))
-    return full.withColumn("description", text).select(*rows.columns)
+    ones = F.when(F.size("_ones") > 0, F.concat(F.lit(" | "), joined(F.col("_ones"))))
+    whole = whole.select("doc_id", F.coalesce(ones, F.lit("")).alias("_ones"), F.explode("_rows").alias("_row")).select("doc_id", "_ones", "_row.*")
+    whole = whole.withColumn("description", F.concat("description", F.coalesce("_parts", F.lit("")), "_ones"))
+    # sorted and matched once, however often the result is read
+    whole = cut(whole.select(*[c for c in names if c != order], F.col(order).alias("child")), "zstd")
+    return whole.withColumnRenamed("child", order).select(*names)
 
 
 # Words that mark a main-section row as a transfer, and one more word without meaning.

@@ -64,3 +64,20 @@ def test_movements_are_made_once(spark, monkeypatch):
     )
     D.apply_fragments(rows).collect()
     assert [f.columns[-1] for f in seen] == ["role", "child", "mov_id", "child"] and seen[0].columns == rows.columns
+
+
+def test_rows_travel_once(spark, monkeypatch):
+    """Rows and their texts are shuffled once, to their document and amount."""
+    seen = []
+    write = D.cut
+    monkeypatch.setattr(D, "cut", lambda df, compression=None: seen.append(df) or write(df, compression))
+    data = [(1, "p1", 1, 10.0, "renta norte", "parent", False), (1, "p2", 1, 30.0, "luz", "parent", False), (1, "c1", 1, 10.0, "x", "child", False), (1, "c2", 2, 10.0, "sur norte", "child", False),
+            (1, "c3", 2, 10.0, "sur", "child", False), (1, "f1", 1, 10.0, "ref 00000001", "child", True), (1, "f2", 1, 20.0, "ref\n00000001", "child", True), (1, "f3", 1, 20.0, "ref 00000002", "child", True),
+            (None, "n1", 1, 10.0, "renta", "child", False), (None, "n1", 1, 10.0, "renta", "child", False), (1, "n2", 1, None, "renta", "child", None), (1, "n3", None, 10.0, None, "child", False)]
+    rows = spark.createDataFrame(data, "doc_id int, mov_id string, posted int, amt double, description string, role string, fragment boolean").withColumn("amount", F.col("amt").cast("decimal(18,2)")).drop("amt")
+    got = sorted((r.mov_id, r.description) for r in D.apply_fragments(rows).collect())
+    assert [g[0] for g in got] == ["c3", "f3", "n1", "n1", "n2", "n3", "p1", "p2"]
+    assert [t for m, t in got if m in ("p1", "p2")] == ["renta norte | x | sur norte", "luz | DESGLOSE: ref 00000001 | ref 00000001"]
+    last, alone = (f._jdf.queryExecution().executedPlan().toString().splitlines() for f in (seen[-1], D.match_fragments(rows)))
+    moved, single = ([line for line in plan if "Exchange hashpartitioning" in line] for plan in (last, alone))
+    assert len(moved) == len(single) == 1 and all("_key" in line for line in moved + single)
